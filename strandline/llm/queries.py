@@ -7,18 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import quality_rules, simhash
+from strandline.llm import packing, pii, quality_rules, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenise(_table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(pieces)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    every = tuple(k.name for k in pii.KINDS)
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.joined(pii.BASE).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(every).alias("spans"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(simhash.fingerprints(_table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    index = warc.build_index(warc.write_archives(pages))
+    captures = warc.lookup(index, pages.select(warc.url_key(F.col("url")).alias("key")))
+    return warc.read_records(captures, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
     base = F.col("failures").bitwiseAND(F.lit(quality_rules.policy_mask(1))) != 0
@@ -26,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash, "op10_quality_rules": op10_quality_rules}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op8_warc": op8_warc, "op7_simhash": op7_simhash, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
