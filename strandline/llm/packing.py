@@ -30,7 +30,7 @@ CAPACITY = 1024
 END_TOKEN = 2
 VOCABULARY = "byte_bpe_50k"
 #: Pieces ranked together at most; a longer run of one length is split into that many groups.
-RANK_GROUP = 200_000
+RANK_GROUP = 2_000
 #: Rows of the plan that may be broadcast. The plan cannot exceed it at the default capacity: at most about three
 #: patterns for each length, each with at most 44 different lengths (1 + 2 + ... + 45 > 1024).
 PLAN_ROWS = 3 * CAPACITY * 45

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import packing, pii, quality_rules, simhash, substring_dedup, warc
+from strandline.llm import decontam, line_dedup, packing, pii, quality_rules, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("chars_before", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    done = line_dedup.dedup_lines(docs, drop_emptied=False)
+    text = F.coalesce("text", F.lit(""))
+    return done.select("doc_id", "chars_before", F.length(text).cast("long").alias("chars_after"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(simhash.fingerprints(_table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -53,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op8_warc": op8_warc, "op4_substring_dedup": op4_substring_dedup, "op7_simhash": op7_simhash, "op10_quality_rules": op10_quality_rules}
+    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op8_warc": op8_warc, "op4_substring_dedup": op4_substring_dedup, "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination, "op7_simhash": op7_simhash, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
