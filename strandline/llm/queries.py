@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, line_dedup, packing, pii, quality_rules, simhash, substring_dedup, warc
+from strandline.llm import decontam, html_extract, line_dedup, packing, pii, quality_rules, simhash, substring_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.decide(pages, url_filter.fit(url_filter.seed_labels(pages)))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(captures, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
     base = F.col("failures").bitwiseAND(F.lit(quality_rules.policy_mask(1))) != 0
@@ -64,7 +73,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_pii": op2_pii, "op8_warc": op8_warc, "op4_substring_dedup": op4_substring_dedup, "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination, "op7_simhash": op7_simhash, "op10_quality_rules": op10_quality_rules}
+    return {
+        "op1_packing": op1_packing,
+        "op2_pii": op2_pii,
+        "op3_url_filter": op3_url_filter,
+        "op4_substring_dedup": op4_substring_dedup,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_decontamination": op6_decontamination,
+        "op7_simhash": op7_simhash,
+        "op8_warc": op8_warc,
+        "op9_html_extraction": op9_html_extraction,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
