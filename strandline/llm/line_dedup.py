@@ -77,7 +77,8 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
     gone = materialize(gone, "gone-chunks").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
     # The chunks stand for the text in the shuffle.
     keyed = with_chunks(docs.withColumn("_key", F.xxhash64("text")), "_chunks", divisor).drop("text")
-    joined = keyed.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
+    # What goes grows with the corpus, so it is never broadcast: one plan at every size, and skewed parts can be split.
+    joined = keyed.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
     left = F.array_join(F.filter(F.col("_chunks"), lambda x, i: F.col("_gone").isNull() | ~F.array_contains(F.col("_gone"), i)), _NL)
     word = r"[^ \t\n\x0B\f\r]"
     changed = joined.withColumn("_new", left)
