@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.columns import bucket, lag_seconds
+from strandline.functions.columns import bucket_seconds, lag_seconds
 from strandline.operators.state import coverage_state, materialisation_state
 
 CHANNELS = ("candle_5m", "trade", "orderbook_l2", "funding", "open_interest")
@@ -37,8 +37,7 @@ def symbol_health(sync: DataFrame, bars: DataFrame, as_of: Column, bar_minutes:
     keys = ["exchange", "symbol"]
     universe = sync.select(*keys).union(bars.select(*keys)).distinct()
     j = universe.join(channel_pivot(sync), keys, "left").join(state, keys, "left").join(coverage, keys, "left").join(recent_counts(bars, as_of), keys, "left")
-    width = f"{bar_minutes} minutes"
-    at = lambda c: F.unix_timestamp(bucket(c, width))
+    at = lambda c: bucket_seconds(c, bar_minutes)
     j = j.withColumns({"_from": F.coalesce("_earliest", "candle_5m_latest_raw_time"), "_day": as_of - F.expr("INTERVAL 24 HOURS")}).withColumns({"_a": at("_from"), "_b": at("_day"), "_z": at("candle_5m_latest_raw_time")})
     expected = F.when(F.col("_z").isNull(), 0).otherwise(F.greatest(((F.col("_z") - F.greatest("_a", "_b")) / (bar_minutes * 60)).cast("long") + 1, F.lit(0)))
     rows = [c for c in j.columns if c.startswith("recent_") or c.endswith("_row_count") or c == "historical_expected_bars"]

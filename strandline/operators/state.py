@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.columns import bucket
+from strandline.functions.columns import bucket, bucket_seconds
 
 # ---- K1: merge with rules ----------------------------------------------------------------------
 
@@ -82,10 +82,8 @@ def materialisation_state(bars: DataFrame) -> DataFrame:
 
 def coverage_state(bounds: DataFrame, bars: DataFrame, width_minutes: int) -> DataFrame:
     """Expected bars from the raw bounds, observed and finalised ratios capped at 1."""
-    width = f"{width_minutes} minutes"
     raw = bounds.groupBy("exchange", "symbol").agg(F.min("earliest_raw_time").alias("lo"), F.max("latest_raw_time").alias("hi"))
-    at = lambda c: F.unix_timestamp(bucket(c, width))
-    raw = raw.withColumns({"_lo": at("lo"), "_hi": at("hi")})
+    raw = raw.withColumns({"_lo": bucket_seconds("lo", width_minutes), "_hi": bucket_seconds("hi", width_minutes)})
     j = materialisation_state(bars).withColumnRenamed("feature_rows", "observed_bars").join(raw, ["exchange", "symbol"], "full_outer")
     expected = F.coalesce(((F.col("_hi") - F.col("_lo")) / (width_minutes * 60)).cast("long") + 1, F.col("observed_bars"))
     j = j.withColumns({"observed_bars": F.coalesce("observed_bars", F.lit(0)), "finalized_bars": F.coalesce("finalized_bars", F.lit(0))}).withColumn("expected_bars", expected)
