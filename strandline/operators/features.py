@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.columns import frame
 
@@ -33,6 +34,11 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], value: str, tim
     return l.unionByName(r).withColumn(value, F.last("_value", ignorenulls=True).over(w)).filter("_side = 1").drop("_side", "_value")
 
 
+def at_least(x: Column, lo: float) -> Column:
+    """``x`` but not below ``lo``; null stays null (``greatest`` would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(lo)))
+
+
 def _lag(c: str, n: int = 1) -> Column:
     return F.lag(c, n).over(Window.partitionBy(*BY).orderBy("time"))
 
@@ -54,7 +60,7 @@ def with_returns(df: DataFrame) -> DataFrame:
 
 def rolling_volatility(n: int, r: str = "r") -> Column:
     """Root of the mean squared return over ``n`` returns, at least 1e-4."""
-    return F.sqrt(F.greatest(_over(F.avg(F.col(r) * F.col(r)), r, n), F.lit(1e-8)))
+    return F.sqrt(at_least(_over(F.avg(F.col(r) * F.col(r)), r, n), 1e-8))
 
 
 def _change(n: int, c: str = "close") -> Column:
@@ -64,7 +70,7 @@ def _change(n: int, c: str = "close") -> Column:
 
 def scaled_return(n: int) -> Column:
     """The log change over ``n`` bars by the volatility of max(n / 2, 3) bars."""
-    return _change(n) / F.greatest(rolling_volatility(max(n // 2, 3)), F.lit(1e-4))
+    return _change(n) / at_least(rolling_volatility(max(n // 2, 3)), 1e-4)
 
 
 def sma_spread(fast: int, slow: int) -> Column:
@@ -105,7 +111,7 @@ def directional_index(n: int) -> Column:
 
 def perturbation(n: int, volatility: Column) -> Column:
     """The log change over ``n`` bars by the volatility."""
-    return _change(n) / F.greatest(volatility, F.lit(1e-4))
+    return _change(n) / at_least(volatility, 1e-4)
 
 
 def interest_momentum(n: int) -> Column:
@@ -128,7 +134,7 @@ def ema_distance(n: int, volatility: Column) -> Column:
     w = frame(BY, "time", n - 1)
     closes = F.collect_list("close").over(w)
     ema = F.aggregate(F.zip_with(closes, F.array(*[F.lit(x) for x in ema_weights(n)]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.count("close").over(w) == n, F.ln(F.col("close") / ema)) / F.greatest(volatility, F.lit(1e-4))
+    return F.when(F.count("close").over(w) == n, F.ln(F.col("close") / ema)) / at_least(volatility, 1e-4)
 
 
 def directional_persistence(n: int, r: str = "r") -> Column:
@@ -140,7 +146,7 @@ def directional_persistence(n: int, r: str = "r") -> Column:
 
 def summed_return(n: int, r: str = "r") -> Column:
     """The sum of ``n`` returns by the volatility of max(n / 2, 3) of them."""
-    return _over(F.sum(r), r, n) / F.greatest(rolling_volatility(max(n // 2, 3), r), F.lit(1e-4))
+    return _over(F.sum(r), r, n) / at_least(rolling_volatility(max(n // 2, 3), r), 1e-4)
 
 
 def rolling_z(c: str, n: int) -> Column:
@@ -158,9 +164,7 @@ def rolling_median(c: str, n: int) -> Column:
 
 def ema(df: DataFrame, spans: dict[str, int], c: str = "close", by: list[str] = BY) -> DataFrame:
     """Recursive averages seeded with the first value. True recursion: one sorted group a symbol, Arrow batches."""
-    schema = df.schema
-    for name in spans:
-        schema = schema.add(name, "double")
+    schema = T.StructType([*df.schema.fields, *(T.StructField(name, T.DoubleType()) for name in spans)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("time")

@@ -171,7 +171,7 @@ def cross_backtest(bars: DataFrame, fee_bps: float = 6.0, calm: int = 60) -> Dat
     df = df.withColumn("signal", F.when((F.col("ema_fast") > F.col("ema_slow")) & (F.col("vol") <= F.avg("vol").over(w.rowsBetween(Window.unboundedPreceding, 0))), 1.0).otherwise(0.0))
     df = df.withColumn("position", F.coalesce(F.lag("signal").over(w), F.lit(0.0)))
     df = df.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))))
-    df = df.withColumn("strategy_ret", F.col("position") * F.col("ret") - F.col("turnover") * fee_bps / 10_000.0)
+    df = df.withColumn("strategy_ret", F.greatest(F.lit(-0.9999), F.col("position") * F.col("ret") - F.col("turnover") * fee_bps / 10_000.0))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("equity", F.exp(F.sum(F.log1p("strategy_ret")).over(run)))
     return df.withColumn("drawdown", F.col("equity") / F.max("equity").over(run) - 1.0)
@@ -187,7 +187,8 @@ def sweep(bars: DataFrame, fast: list[int], slow: list[int], fee_bps: float = 6.
     j = a.withColumn("_avg", averages).select("symbol", "time", "ret", "_i", "_n", "_avg").crossJoin(F.broadcast(grid))
     pw = Window.partitionBy("symbol", "fast", "slow").orderBy("time")
     j = j.withColumn("signal", F.when(F.col("_avg")[F.col("fast")] > F.col("_avg")[F.col("slow")], 1.0).otherwise(0.0)).withColumn("position", F.coalesce(F.lag("signal").over(pw), F.lit(0.0)))
-    j = j.withColumn("net", F.col("position") * F.col("ret") - F.abs(F.col("position") - F.coalesce(F.lag("position").over(pw), F.lit(0.0))) * fee_bps / 10_000.0)
+    # A loss can't exceed what is there.
+    j = j.withColumn("net", F.greatest(F.lit(-0.9999), F.col("position") * F.col("ret") - F.abs(F.col("position") - F.coalesce(F.lag("position").over(pw), F.lit(0.0))) * fee_bps / 10_000.0))
     inside = F.col("_i") <= F.floor(F.col("_n") * split)
     part = lambda test: F.exp(F.sum(F.when(test, F.log1p("net")).otherwise(0.0))) - 1.0
     return j.groupBy("symbol", "fast", "slow").agg(part(inside).alias("train_return"), part(~inside).alias("test_return"))
