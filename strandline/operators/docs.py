@@ -17,7 +17,7 @@ def new_documents(docs: DataFrame, seen: DataFrame | None = None, by: str = "con
     first = docs.withColumn("dedup_key", key).groupBy("dedup_key").agg(F.min("id").alias("id"))
     if seen is not None:
         first = first.join(seen.select("dedup_key"), "dedup_key", "left_anti")
-    return docs.join(first, "id").dropDuplicates(["id"])
+    return docs.join(first, "id")
 
 
 def chunk_sizes(limit: int, overlap_percent: int, safety_percent: int) -> tuple[int, int]:

@@ -186,7 +186,7 @@ def sweep(bars: DataFrame, fast: list[int], slow: list[int], fee_bps: float = 6.
     averages = F.create_map(*[x for n in lengths for x in (F.lit(n), F.col(f"_a{n}"))])
     j = a.withColumn("_avg", averages).select("symbol", "time", "ret", "_i", "_n", "_avg").crossJoin(F.broadcast(grid))
     pw = Window.partitionBy("symbol", "fast", "slow").orderBy("time")
-    j = j.withColumn("signal", F.when(F.col("_avg")[F.col("fast")] > F.col("_avg")[F.col("slow")], 1.0).otherwise(0.0)).withColumn("position", F.coalesce(F.lag("signal").over(pw), F.lit(0.0)))
+    j = j.withColumn("signal", F.when(F.col("_avg")[F.col("fast")] - F.col("_avg")[F.col("slow")] > 1e-9, 1.0).otherwise(0.0)).withColumn("position", F.coalesce(F.lag("signal").over(pw), F.lit(0.0)))
     # A loss can't exceed what is there.
     j = j.withColumn("net", F.greatest(F.lit(-0.9999), F.col("position") * F.col("ret") - F.abs(F.col("position") - F.coalesce(F.lag("position").over(pw), F.lit(0.0))) * fee_bps / 10_000.0))
     inside = F.col("_i") <= F.floor(F.col("_n") * split)
