@@ -403,7 +403,7 @@ def ema_backtest(m: Market):
     return P.cross_backtest(X.ema(m.daily_bars.select("symbol", "time", "close"), {"ema_fast": 5, "ema_slow": 21})).select("symbol", "time", "position", "strategy_ret", "equity", "drawdown")
 
 
-@query("sweep", sql(f"""SELECT symbol, fast, slow, {rr('exp(sum(CASE WHEN i <= floor(n * 0.7) THEN ln(1 + net) ELSE 0 END)) - 1 AS train_return', 'exp(sum(CASE WHEN i > floor(n * 0.7) THEN ln(1 + net) ELSE 0 END)) - 1 AS test_return', digits=8)} FROM (SELECT *, greatest(pos * ret - abs(pos - coalesce(lag(pos) OVER pw, 0)) * 6 / 10000.0, -0.9999) AS net FROM (SELECT *, coalesce(lag(CASE WHEN fa - sa > 1e-9 THEN 1.0 ELSE 0.0 END) OVER pw, 0) AS pos FROM sg WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)) WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)) GROUP BY 1, 2, 3""", "db", extra={
+@query("sweep", sql(f"""SELECT symbol, fast, slow, {rr('exp(sum(CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN ln(1 + net) ELSE 0 END)) - 1 AS train_return', 'exp(sum(CASE WHEN i > floor(n * 0.7::DOUBLE) THEN ln(1 + net) ELSE 0 END)) - 1 AS test_return', digits=8)} FROM (SELECT *, greatest(pos * ret - abs(pos - coalesce(lag(pos) OVER pw, 0)) * 6 / 10000.0, -0.9999) AS net FROM (SELECT *, coalesce(lag(CASE WHEN fa - sa > 1e-9 THEN 1.0 ELSE 0.0 END) OVER pw, 0) AS pos FROM sg WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)) WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)) GROUP BY 1, 2, 3""", "db", extra={
     "sa0": f"SELECT symbol, time, coalesce(close / lag(close) OVER ({_W}) - 1, 0) AS ret, row_number() OVER ({_W}) AS i, count(*) OVER (PARTITION BY symbol) AS n, {', '.join(f'avg(close) OVER ({_W} ROWS {n - 1} PRECEDING) AS a{n}' for n in (3, 5, 10, 20))} FROM db",
     "sg": " UNION ALL ".join(f"SELECT symbol, time, ret, i, n, {f} AS fast, {s} AS slow, a{f} AS fa, a{s} AS sa FROM sa0" for f in (3, 5) for s in (10, 20)),
 }))

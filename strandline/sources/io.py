@@ -84,7 +84,7 @@ def read_wiki_dump(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_tree(spark: SparkSession, path: str, pattern: str = "*.{txt,rst,md,asciidoc}") -> DataFrame:
     """IO15: whole text files under a folder, with their path."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
