@@ -158,7 +158,7 @@ def remove(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
 
     @F.pandas_udf("string")
     def kept(text, ranges):
-        return text.combine(ranges, lambda t, r: _kept(t.encode(), list(r), window)[1].decode())
+        return text.combine(ranges, lambda t, r: _kept((t or "").encode(), list(r), window)[1].decode())
 
     keyed = _keyed(docs, "_row")
     cut = keyed.join(found.withColumnRenamed("row", "_row"), ["doc_id", "_row"], "left")
