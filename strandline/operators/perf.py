@@ -235,3 +235,36 @@ def strategy_performance(runs: DataFrame) -> DataFrame:
     )
     factor = F.when(F.col("_l") > 0, F.col("_g") / F.col("_l")).when(F.col("_g") > 0, 999.0).otherwise(0.0)
     return g.withColumns({"win_rate": F.col("wins") / F.col("trades"), "profit_factor": factor, "sharpe": F.when(F.col("_d") > 0, F.col("_m") / F.col("_d") * F.sqrt(F.col("trades").cast("double"))).otherwise(0.0)}).drop("_g", "_l", "_m", "_d")
+
+
+def micro_features(bars: DataFrame, roll: int = 24, momentum: int = 6, reversal: int = 2) -> DataFrame:
+    """Book imbalance, order-flow proxy, their z-score, and the momentum or reversal signal by volatility."""
+    w = Window.partitionBy("symbol", "exchange").orderBy("time")
+    back = w.rowsBetween(-(roll - 1), 0)
+    change = lambda n: F.col("close") / F.lag("close", n).over(w) - 1.0
+    depth = F.col("bid_depth_10") + F.col("ask_depth_10")
+    df = bars.withColumns({"ret": F.coalesce(change(1), F.lit(0.0)), "forward": F.lead("close").over(w) / F.col("close") - 1.0, "imbalance": F.coalesce(safe_divide(F.col("bid_depth_10") - F.col("ask_depth_10"), depth), F.lit(0.0))})
+    df = df.withColumn("micro_raw", 0.65 * F.col("imbalance") + 0.35 * F.col("ret") * F.log1p(F.greatest("volume", F.lit(0.0))))
+    full = F.count("micro_raw").over(back) == roll
+    sd = F.stddev_samp("micro_raw").over(back)
+    df = df.withColumns({"vol": F.coalesce(F.stddev_samp("ret").over(back), F.lit(0.0)), "micro_z": F.when(full & (sd > 1e-12), (F.col("micro_raw") - F.avg("micro_raw").over(back)) / sd).otherwise(0.0)})
+    calm = F.avg("vol").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("regime_signal", F.coalesce(F.when(F.col("vol") > calm, -change(reversal)).otherwise(change(momentum)), F.lit(0.0)))
+
+
+def micro_execution(features: DataFrame, enter: float = 1.0, leave: float = 0.2, seed: int = 42, maker_bps: float = 1.5, taker_bps: float = 4.5) -> DataFrame:
+    """Score to position with an exit rule, hashed lag and fill, cost, return and equity (T5: hashed, so it repeats)."""
+    w = Window.partitionBy("symbol", "exchange").orderBy("time")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    score = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), 0.75 * F.col("micro_z") + 0.25 * F.col("regime_signal") / (F.col("vol") + 1e-8)))
+    df = features.withColumn("score", score).withColumn("_go", F.when(F.col("score") > enter, 1.0).when(F.col("score") < -enter, -1.0))
+    df = df.withColumn("desired", F.when(F.abs("score") < leave, 0.0).otherwise(F.coalesce(F.last("_go", ignorenulls=True).over(run), F.lit(0.0))))
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "symbol", "exchange", "time"), F.lit(1_000_000)) / 1_000_000.0
+    df = df.withColumn("position", F.coalesce(F.when(u(1) < 0.2, F.lag("desired", 1).over(w)).otherwise(F.col("desired")), F.lit(0.0)))
+    df = df.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))))
+    slip = F.greatest(F.lit(1.0), F.least(F.lit(35.0), 1.0 + 500.0 * F.col("vol") + F.greatest(F.coalesce("spread_pct", F.lit(0.0)), F.lit(0.0)) * 35.0))
+    filled = F.when((F.col("turnover") > 0) & (u(2) <= F.greatest(F.lit(0.0), F.least(F.lit(0.95), 0.05 + 2.0 * F.col("vol")))), 0.0).otherwise(1.0)
+    df = df.withColumns({"slippage_bps": slip, "filled": filled})
+    cost = F.col("turnover") * F.col("filled") * (F.when(F.col("turnover") > 0, taker_bps).otherwise(maker_bps) + F.col("slippage_bps")) / 10_000.0
+    df = df.withColumn("strategy_ret", F.greatest(F.lit(-0.9999), F.col("position") * F.coalesce("forward", F.lit(0.0)) - cost))
+    return df.withColumn("equity", F.exp(F.sum(F.log1p("strategy_ret")).over(run))).drop("_go")

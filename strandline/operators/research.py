@@ -338,3 +338,37 @@ def sleeve_correlation(returns: DataFrame, n_steps: int = 32) -> DataFrame:
         return pd.DataFrame({"key": [pdf.key.iloc[0]], "avg_correlation": [off.mean() if len(off) else 0.0], "first_share": [float(v @ m @ v / max(np.trace(m), 1e-12))]})
 
     return cov.groupBy("key").applyInPandas(run, f"key {returns.schema['key'].dataType.simpleString()}, avg_correlation double, first_share double")
+
+
+# ---- scales --------------------------------------------------------------------------------------
+
+
+def participation_weight(strength: Column, threshold: float) -> Column:
+    """0 below the threshold, then linear to 1 at full strength."""
+    return F.when(strength < threshold, 0.0).otherwise(clamp((strength - threshold) / max(1.0 - threshold, 1e-9), 0, 1))
+
+
+def gross_net_targets(regimes_df: DataFrame, gross: float = 0.5, scale: float = 1.0, threshold: float = 0.15, bias: float = 0.5, flat_threshold: float = 0.15, flat_scale: float = 0.5, hazard_floor: float = 0.4) -> DataFrame:
+    """Gross target after the flat-regime throttle and the trend hazard, and the net target of the regime bias."""
+    trend, breadth = F.col("anchor_trend"), F.col("breadth")
+    flat = (F.abs(trend) < flat_threshold) & (F.abs(breadth) < flat_threshold)
+    hazard = clamp(1.0 - F.abs(trend) / max(flat_threshold, 1e-9), 0, 1)
+    total = gross * min(max(scale, 0.05), 1.0) * F.when(flat, min(max(flat_scale, 0.05), 1.0)).otherwise(1.0) * clamp(1.0 - hazard * (1.0 - hazard_floor), hazard_floor, 1.0)
+    out = regimes_df.withColumns({"flat_regime": flat, "hazard": hazard, "gross_target": total})
+    return out.withColumn("net_target", F.col("gross_target") * clamp(F.col("score"), -1, 1) * participation_weight(F.abs("score"), threshold) * min(max(bias, 0.0), 1.0))
+
+
+def compression_scale(z: Column, strength: float = 0.5, threshold: float = 1.0) -> Column:
+    """Gross scale that falls by a logistic of the compression z-score, at least 0.05."""
+    return clamp(1.0 - strength / (1.0 + F.exp(-(z - threshold))), 0.05, 1.0)
+
+
+def robust_z(df: DataFrame, value: str, by: list[str], order: str, back: int = 30) -> DataFrame:
+    """Distance to the median of the preceding rows in scaled median deviations (frames are bounded)."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-back, -1)
+    history = F.array_sort(F.collect_list(value).over(w))
+    mid = lambda a: (F.element_at(a, F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, F.ceil((F.size(a) + 1) / 2).cast("int"))) / 2.0
+    df = df.withColumn("_h", history).withColumn("_m", F.when(F.size("_h") > 1, mid(F.col("_h"))))
+    df = df.withColumn("_d", F.array_sort(F.transform("_h", lambda x: F.abs(x - F.col("_m")))))
+    spread = 1.4826 * F.when(F.size("_d") > 1, mid(F.col("_d")))
+    return df.withColumn("z", F.when(spread > 1e-9, (F.col(value) - F.col("_m")) / spread)).drop("_h", "_m", "_d")
