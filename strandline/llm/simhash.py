@@ -6,6 +6,10 @@ therefore posts every distinct fingerprint under each choice of four positions a
 bits): exactly the pairs that reach the minimum meet, and the tally of shared bytes lets each pair through once. The
 fingerprints are then compared bit by bit. Exact copies share a fingerprint and are one class from the start.
 
+``components`` works on one fingerprint a document. ``keep_one`` can take several independent ones (the same shingle
+hashes, mixed anew): documents are then linked if any of their fingerprints are, which finds near copies that differ by
+more bits under a single one.
+
 Defined results: a text without words (null, empty, white space) has fingerprint 0 and is linked like any other; fewer
 words than a shingle make one shingle; rows repeated under one id give one fingerprint row per row; an empty table gives
 an empty result; extra columns are ignored by ``fingerprints`` and kept by ``keep_one``.
@@ -14,6 +18,7 @@ an empty result; extra columns are ignored by ``fingerprints`` and kept by ``kee
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,11 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import connected, materialize, pick
+from strandline.llm.common import BASE_A, connected, materialize, mix, pick
 
 MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
+#: Near-duplicate stages: words of a shingle, and fingerprints a document.
+NEAR_SHINGLE = 5
+NEAR_COUNT = 4
 POSITIONS = list(combinations(range(8), 8 - MAX_BITS))
 
 
@@ -56,19 +64,28 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def simhash(text: bytes, size: int = SHINGLE) -> int:
+    return simhashes(text, size, 1)[0]
+
+
+def simhashes(text: bytes, size: int, count: int) -> list[int]:
+    """``count`` fingerprints: the first on the shingle hashes, the others on further mixes of them."""
     h = shingle_hashes(text, size)
-    return majority(h) if len(h) else 0
+    if not len(h):
+        return [0] * count
+    with np.errstate(over="ignore"):
+        return [majority(h), *(majority(mix(h + np.uint64(k) * BASE_A)) for k in range(1, count))]
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, count: int = 1) -> DataFrame:
+    """(doc_id, fp, and with a ``count`` over 1 fp1, fp2, ...): fingerprints of every whole text as signed longs."""
+    names = ["fp", *(f"fp{k}" for k in range(1, count))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [simhash(t or b"", size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            values = np.array([simhashes(t or b"", size, count) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, count)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(count))], ["doc_id", *names])
 
-    return pick(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _signed(x: int) -> int:
@@ -79,12 +96,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(src, dst): each pair of distinct fingerprints within ``max_bits`` (at most 4) differing bits, once, src < dst."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the index guarantees pairs up to {MAX_BITS} bits")
-    choices = F.array(*[F.struct(F.lit(k).cast("byte").alias("choice"), F.lit(_signed(sum(255 << 8 * i for i in c))).alias("mask"), F.lit(c[-1]).alias("last")) for k, c in enumerate(POSITIONS)])
-    posted = fps.select("fp").distinct().select("fp", F.explode(choices).alias("c")).select("fp", "c.choice", "c.last", F.col("fp").bitwiseAND(F.col("c.mask")).alias("shared"))
-    a, b = posted.alias("a"), posted.select("fp", "choice", "shared").alias("b")
+    choices = F.array(*[F.struct(F.lit(k).cast("byte").alias("choice"), F.lit(_signed(sum(255 << 8 * i for i in c))).alias("mask")) for k, c in enumerate(POSITIONS)])
+    posted = fps.select("fp").distinct().select("fp", F.explode(choices).alias("c")).select("fp", "c.choice", F.col("fp").bitwiseAND(F.col("c.mask")).alias("shared"))
+    a, b = posted.alias("a"), posted.alias("b")  # the same rows, so one shuffle serves both sides
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     # The tally up to the last chosen position: 4 only under the first choice that the pair shares.
-    tally = sum(F.when((F.lit(i) <= F.col("a.last")) & (F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0), 1).otherwise(0) for i in range(8))
+    last = F.get(F.array(*[F.lit(c[-1]) for c in POSITIONS]), F.col("a.choice").cast("int"))
+    tally = sum(F.when((F.lit(i) <= last) & (F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0), 1).otherwise(0) for i in range(8))
     met = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.shared") == F.col("b.shared")) & (F.col("a.fp") < F.col("b.fp"))
     return a.join(b, met & (F.bit_count(differ) <= max_bits) & (tally == 8 - MAX_BITS)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
@@ -100,14 +118,34 @@ def components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+def linked(fps: DataFrame, names: list[str], max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, component_id) where documents are linked by any of the fingerprints ``names``.
+
+    The nodes are the fingerprints, each hashed with its number: links join fingerprints of one number, and the rows of
+    a document join its own. A document belongs to the component of its first fingerprint.
+    """
+    node = lambda k, c: F.xxhash64(F.lit(k), c)
+    edges = [links(fps.select(F.col(n).alias("fp")), max_bits).select(node(k, F.col("src")).alias("src"), node(k, F.col("dst")).alias("dst")) for k, n in enumerate(names)]
+    own = [fps.select(node(0, F.col(names[0])).alias("src"), node(k, F.col(n)).alias("dst")).distinct() for k, n in enumerate(names) if k]
+    labels = connected(reduce(DataFrame.union, [*edges, *own]))
+    first = fps.withColumn("node", node(0, F.col(names[0])))
+    classes = first.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = classes.join(smallest, "root").select("node", "component_id")
+    return first.join(named, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = NEAR_SHINGLE, max_bits: int = MAX_BITS, count: int = NEAR_COUNT) -> DataFrame:
     """The rows of ``docs`` that stand for their component (smallest doc_id); rows repeated under that id: one of them.
 
-    Only light (doc_id, fingerprint) rows are shuffled; whole texts move only for documents linked to another.
+    Only light fingerprint rows are grouped; whole texts move once, to meet the ids that go.
     """
-    found = materialize(components(fingerprints(docs, size), max_bits), "simhash-found")
+    names = ["fp", *(f"fp{k}" for k in range(1, count))]
+    fps = materialize(fingerprints(docs, size, count), "simhash-fps")
+    found = materialize(linked(fps, names, max_bits), "simhash-found")
     gone = found.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # What goes grows with the corpus, so it is never broadcast: one plan at every size.
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id"])
