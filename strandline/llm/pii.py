@@ -72,7 +72,7 @@ def _digits(match: Column) -> Column:
 def confirmed(kind: str, match: Column) -> Column:
     """The validator of a kind."""
     if kind == "ip":
-        small = lambda p: F.when(F.length(F.ltrim(F.lit("0"), p)) > 3, F.lit(False)).otherwise(F.substr(F.concat(F.lit("000"), F.ltrim(F.lit("0"), p)), F.lit(-3)) <= "255")
+        small = lambda p: F.when(F.length(F.ltrim(p, F.lit("0"))) > 3, F.lit(False)).otherwise(F.substr(F.concat(F.lit("000"), F.ltrim(p, F.lit("0"))), F.lit(-3)) <= "255")
         return F.forall(F.split(match, r"\."), small)
     if kind == "card":
         return F.when(F.length(_digits(match)).between(14, 19), luhn(_digits(match))).otherwise(False)
