@@ -134,7 +134,7 @@ def ema_distance(n: int, volatility: Column) -> Column:
     w = frame(BY, "time", n - 1)
     closes = F.collect_list("close").over(w)
     ema = F.aggregate(F.zip_with(closes, F.array(*[F.lit(x) for x in ema_weights(n)]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.count("close").over(w) == n, F.ln(F.col("close") / ema)) / at_least(volatility, 1e-4)
+    return F.when(F.count("close").over(w) == n, F.ln(F.try_divide(F.col("close"), ema))) / at_least(volatility, 1e-4)
 
 
 def directional_persistence(n: int, r: str = "r") -> Column:

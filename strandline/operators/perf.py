@@ -182,7 +182,7 @@ def sweep(bars: DataFrame, fast: list[int], slow: list[int], fee_bps: float = 6.
     grid = bars.sparkSession.createDataFrame([(f, s) for f in fast for s in slow if f < s], "fast int, slow int")
     lengths = sorted({*fast, *slow})
     w = Window.partitionBy("symbol").orderBy("time")
-    a = bars.withColumns({"_i": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("symbol")), "ret": F.coalesce(F.col("close") / F.lag("close").over(w) - 1.0, F.lit(0.0)), **{f"_a{n}": F.avg("close").over(w.rowsBetween(-(n - 1), 0)) for n in lengths}})
+    a = bars.withColumns({"_i": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("symbol")), "ret": F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1.0, F.lit(0.0)), **{f"_a{n}": F.avg("close").over(w.rowsBetween(-(n - 1), 0)) for n in lengths}})
     averages = F.create_map(*[x for n in lengths for x in (F.lit(n), F.col(f"_a{n}"))])
     j = a.withColumn("_avg", averages).select("symbol", "time", "ret", "_i", "_n", "_avg").crossJoin(F.broadcast(grid))
     pw = Window.partitionBy("symbol", "fast", "slow").orderBy("time")
@@ -241,9 +241,9 @@ def micro_features(bars: DataFrame, roll: int = 24, momentum: int = 6, reversal:
     """Book imbalance, order-flow proxy, their z-score, and the momentum or reversal signal by volatility."""
     w = Window.partitionBy("symbol", "exchange").orderBy("time")
     back = w.rowsBetween(-(roll - 1), 0)
-    change = lambda n: F.col("close") / F.lag("close", n).over(w) - 1.0
+    change = lambda n: F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1.0
     depth = F.col("bid_depth_10") + F.col("ask_depth_10")
-    df = bars.withColumns({"ret": F.coalesce(change(1), F.lit(0.0)), "forward": F.lead("close").over(w) / F.col("close") - 1.0, "imbalance": F.coalesce(safe_divide(F.col("bid_depth_10") - F.col("ask_depth_10"), depth), F.lit(0.0))})
+    df = bars.withColumns({"ret": F.coalesce(change(1), F.lit(0.0)), "forward": F.try_divide(F.lead("close").over(w), F.col("close")) - 1.0, "imbalance": F.coalesce(safe_divide(F.col("bid_depth_10") - F.col("ask_depth_10"), depth), F.lit(0.0))})
     df = df.withColumn("micro_raw", 0.65 * F.col("imbalance") + 0.35 * F.col("ret") * F.log1p(F.greatest("volume", F.lit(0.0))))
     full = F.count("micro_raw").over(back) == roll
     sd = F.stddev_samp("micro_raw").over(back)

@@ -66,7 +66,7 @@ def venue_mux(bars: DataFrame, sentiment: DataFrame, top: int = 30) -> DataFrame
 def momentum_rank(bars: DataFrame, sentiment: DataFrame, short: int = 30, long: int = 240, least: int = 120, smooth: int = 20) -> DataFrame:
     """``(0.4 short + 0.6 long) / vol + 0.75 sentiment`` of each symbol's latest bar, where there are enough bars."""
     w = Window.partitionBy("symbol").orderBy("time")
-    change = lambda n: F.col("close") / F.lag("close", n).over(w) - 1.0
+    change = lambda n: F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1.0
     p = bars.withColumn("ret", F.coalesce(change(1), F.lit(0.0))).withColumns({"mom_short": change(short), "mom_long": change(long), "vol": X._over(F.stddev_samp("ret"), "ret", long), "n": F.count("*").over(Window.partitionBy("symbol")), "k": F.row_number().over(w)})
     last = p.filter((F.col("k") == F.col("n")) & (F.col("n") >= least)).select("symbol", "close", "mom_short", "mom_long", "vol")
     sw = Window.partitionBy("symbol").orderBy("observed_at", "source")

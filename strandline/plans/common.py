@@ -65,7 +65,7 @@ class Market:
         """Daily candles of each symbol over both venues, with carry."""
         ohlc = B.candles(self.trades.withColumn("exchange", F.lit("all")), "4 hours").drop("exchange")
         context = self.context.groupBy(B.bucket("time", "4 hours").alias("time"), "symbol").agg(F.avg("funding_rate").alias("funding_rate"), F.avg("open_interest").alias("open_interest"))
-        book = self.books.groupBy(B.bucket("time", "4 hours").alias("time"), "symbol").agg(F.avg(F.col("spread") / F.col("mid_price") * 10_000).alias("spread_bps"), F.avg((F.col("bid_depth_10") + F.col("ask_depth_10")) / 2.0 * F.col("mid_price")).alias("depth_usd"))
+        book = self.books.groupBy(B.bucket("time", "4 hours").alias("time"), "symbol").agg(F.avg(F.try_divide("spread", "mid_price") * 10_000).alias("spread_bps"), F.avg((F.col("bid_depth_10") + F.col("ask_depth_10")) / 2.0 * F.col("mid_price")).alias("depth_usd"))
         return ohlc.join(context, ["time", "symbol"], "left").join(book, ["time", "symbol"], "left")
 
     @cached_property
@@ -120,7 +120,7 @@ CTES: dict[str, str] = {name: sql.replace(f"{{{SOURCE_OF[name]}}}", SOURCE_OF[na
     "ohlc_all": f"SELECT time_bucket(INTERVAL '4 hours', t.time) AS time, symbol, {_OHLC.replace(', time)', ', t.time)')} FROM trades t GROUP BY 1, 2",
     "db": """SELECT o.*, c.funding_rate, c.open_interest, b.spread_bps, b.depth_usd FROM ohlc_all o
         LEFT JOIN (SELECT time_bucket(INTERVAL '4 hours', x.time) AS time, symbol, avg(funding_rate) AS funding_rate, avg(open_interest) AS open_interest FROM context x GROUP BY 1, 2) c USING (time, symbol)
-        LEFT JOIN (SELECT time_bucket(INTERVAL '4 hours', x.time) AS time, symbol, avg(spread / mid_price * 10000) AS spread_bps, avg((bid_depth_10 + ask_depth_10) / 2.0 * mid_price) AS depth_usd FROM books x GROUP BY 1, 2) b USING (time, symbol)""",
+        LEFT JOIN (SELECT time_bucket(INTERVAL '4 hours', x.time) AS time, symbol, avg(spread / nullif(mid_price, 0) * 10000) AS spread_bps, avg((bid_depth_10 + ask_depth_10) / 2.0 * mid_price) AS depth_usd FROM books x GROUP BY 1, 2) b USING (time, symbol)""",
     "grid": "SELECT g.time, s.symbol, db.* EXCLUDE (time, symbol) FROM (SELECT DISTINCT time FROM db) g CROSS JOIN (SELECT DISTINCT symbol FROM db) s LEFT JOIN db ON db.time = g.time AND db.symbol = s.symbol",
     "gr": "SELECT *, CASE WHEN close > 0 AND lag(close) OVER (PARTITION BY symbol ORDER BY time) > 0 THEN ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY time)) END AS r FROM grid",
     "sync": " UNION ALL ".join(f"SELECT exchange, symbol, '{c}' AS channel, min(time) AS earliest_raw_time, max(time) AS latest_raw_time, count(*) AS row_count FROM {t} GROUP BY exchange, symbol" for c, t in (("candle_5m", "c5"), ("trade", "trades"), ("orderbook_l2", "books"), ("funding", "context"), ("open_interest", "context"))),

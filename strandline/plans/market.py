@@ -163,7 +163,7 @@ def venue_mux(m: Market):
 @query("momentum_rank", sql(f"""SELECT symbol, {rr('close', 'mom_short', 'mom_long', 'vol', 'coalesce(s.roll, 0) AS sentiment', '(mom_short * 0.4 + mom_long * 0.6) / vol + coalesce(s.roll, 0) * 0.75 AS alpha_score')} FROM
     (SELECT symbol, close, mom_short, mom_long, CASE WHEN k240 = 48 AND v > 0 THEN v ELSE 1e-6 END AS vol FROM (SELECT *, stddev_samp(ret) OVER w AS v, count(ret) OVER w AS k240 FROM p WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS 47 PRECEDING)) WHERE k = n AND n >= 24) l LEFT JOIN ss s USING (symbol)""", "c1h", "sentiment", extra={
     "x1": _X1,
-    "p": "SELECT symbol, time, close, coalesce(close / lag(close) OVER w - 1, 0) AS ret, close / lag(close, 6) OVER w - 1 AS mom_short, close / lag(close, 48) OVER w - 1 AS mom_long, row_number() OVER w AS k, count(*) OVER (PARTITION BY symbol) AS n FROM x1 WINDOW w AS (PARTITION BY symbol ORDER BY time)",
+    "p": "SELECT symbol, time, close, coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0) AS ret, close / nullif(lag(close, 6) OVER w, 0) - 1 AS mom_short, close / nullif(lag(close, 48) OVER w, 0) - 1 AS mom_long, row_number() OVER w AS k, count(*) OVER (PARTITION BY symbol) AS n FROM x1 WINDOW w AS (PARTITION BY symbol ORDER BY time)",
     "ss": "SELECT symbol, roll FROM (SELECT symbol, avg(sentiment_score) OVER (PARTITION BY symbol ORDER BY observed_at, source ROWS 19 PRECEDING) AS roll, row_number() OVER (PARTITION BY symbol ORDER BY observed_at DESC, source DESC) AS k FROM sentiment) WHERE k = 1",
 }))
 def momentum_rank(m: Market):

@@ -121,7 +121,7 @@ def compression_penalty(m: Market):
 
 
 @query("micro_score", sql(f"""SELECT time, symbol, exchange, {rr('imbalance', 'CASE WHEN c = 24 AND sd > 1e-12 THEN (micro_raw - mu) / sd ELSE 0 END AS micro_z', 'v AS vol')} FROM (SELECT *, count(micro_raw) OVER k AS c, stddev_samp(micro_raw) OVER k AS sd, avg(micro_raw) OVER k AS mu, coalesce(stddev_samp(ret) OVER k, 0) AS v FROM (SELECT *, 0.65 * imbalance + 0.35 * ret * ln(1 + greatest(volume, 0)) AS micro_raw FROM
-    (SELECT *, coalesce(close / lag(close) OVER (PARTITION BY symbol, exchange ORDER BY time) - 1, 0) AS ret, coalesce((bid_depth_10 - ask_depth_10) / nullif(bid_depth_10 + ask_depth_10, 0), 0) AS imbalance FROM b5)) WINDOW k AS (PARTITION BY symbol, exchange ORDER BY time ROWS 23 PRECEDING))""", "b5"))
+    (SELECT *, coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol, exchange ORDER BY time), 0) - 1, 0) AS ret, coalesce((bid_depth_10 - ask_depth_10) / nullif(bid_depth_10 + ask_depth_10, 0), 0) AS imbalance FROM b5)) WINDOW k AS (PARTITION BY symbol, exchange ORDER BY time ROWS 23 PRECEDING))""", "b5"))
 def micro_score(m: Market):
     return rounded(P.micro_features(m.bars_5m).select("time", "symbol", "exchange", "imbalance", "micro_z", "vol"))
 

@@ -43,7 +43,7 @@ def _scaled(n: int) -> str:
 
 def _ema_dist(n: int, vol: str) -> str:
     ema = " + ".join(f"{w!r} * {_lagw('close', n - 1 - k) if k < n - 1 else 'close'}" for k, w in enumerate(X.ema_weights(n)))
-    return f"CASE WHEN count(close) OVER ({_W} ROWS {n - 1} PRECEDING) = {n} THEN ln(close / ({ema})) END / {_floor(vol)}"
+    return f"CASE WHEN count(close) OVER ({_W} ROWS {n - 1} PRECEDING) = {n} THEN ln(nullif(close / nullif({ema}, 0), 0)) END / {_floor(vol)}"
 
 
 def _tstat(n: int) -> str:
@@ -129,10 +129,10 @@ def macd(m: Market):
     return rounded(X.macd(m.daily_bars.select("symbol", "time", "close")).drop("close"))
 
 
-@query("drawdown", sql(f"SELECT time, symbol, {rr('eq AS equity', 'max(eq) OVER (PARTITION BY symbol ORDER BY time) AS peak', 'eq / max(eq) OVER (PARTITION BY symbol ORDER BY time) - 1 AS drawdown')} FROM (SELECT time, symbol, exp(sum(ln(1 + coalesce(r, 0))) OVER ({_W})) AS eq FROM (SELECT *, close / lag(close) OVER ({_W}) - 1 AS r FROM db))", "db"))
+@query("drawdown", sql(f"SELECT time, symbol, {rr('eq AS equity', 'max(eq) OVER (PARTITION BY symbol ORDER BY time) AS peak', 'eq / max(eq) OVER (PARTITION BY symbol ORDER BY time) - 1 AS drawdown')} FROM (SELECT time, symbol, exp(sum(ln(1 + coalesce(r, 0))) OVER ({_W})) AS eq FROM (SELECT *, close / nullif(lag(close) OVER ({_W}), 0) - 1 AS r FROM db))", "db"))
 def drawdown(m: Market):
     w = Window.partitionBy("symbol").orderBy("time")
-    return rounded(X.drawdown(m.daily_bars.withColumn("r", F.col("close") / F.lag("close").over(w) - 1.0)).select("time", "symbol", "equity", "peak", "drawdown"))
+    return rounded(X.drawdown(m.daily_bars.withColumn("r", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1.0)).select("time", "symbol", "equity", "peak", "drawdown"))
 
 
 @query("ffill_positions", sql(f"SELECT time, symbol, last_value(d IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS position FROM (SELECT time, symbol, CASE WHEN close > 300 THEN 1 WHEN close < 200 THEN 0 END AS d FROM db)", "db"))
@@ -314,10 +314,10 @@ def allocate(m: Market):
     return rounded(_allocation(m))
 
 
-@query("portfolio_returns", sql(f"SELECT time, {rr('ln(1 + sum(w * fwd)) AS r', 'sum(abs(w)) AS gross', 'sum(w) AS net')} FROM (SELECT time, symbol, weight * sd AS w FROM a7 WHERE adj > 0) JOIN (SELECT time, symbol, lead(close) OVER ({_W}) / close - 1 AS fwd FROM db) USING (time, symbol) WHERE fwd IS NOT NULL GROUP BY time", "db", extra=_ALLOC))
+@query("portfolio_returns", sql(f"SELECT time, {rr('ln(1 + sum(w * fwd)) AS r', 'sum(abs(w)) AS gross', 'sum(w) AS net')} FROM (SELECT time, symbol, weight * sd AS w FROM a7 WHERE adj > 0) JOIN (SELECT time, symbol, lead(close) OVER ({_W}) / nullif(close, 0) - 1 AS fwd FROM db) USING (time, symbol) WHERE fwd IS NOT NULL GROUP BY time", "db", extra=_ALLOC))
 def portfolio_returns(m: Market):
     w = _allocation(m).select("time", "symbol", F.when(F.col("direction") == "LONG", F.col("weight")).otherwise(-F.col("weight")).alias("weight"))
-    forward = m.daily_bars.withColumn("forward", F.lead("close").over(Window.partitionBy("symbol").orderBy("time")) / F.col("close") - 1.0).filter("forward IS NOT NULL").select("time", "symbol", "forward")
+    forward = m.daily_bars.withColumn("forward", F.try_divide(F.lead("close").over(Window.partitionBy("symbol").orderBy("time")), F.col("close")) - 1.0).filter("forward IS NOT NULL").select("time", "symbol", "forward")
     return rounded(P.portfolio_returns(w, forward).select("time", "r", "gross", "net"))
 
 
@@ -404,7 +404,7 @@ def ema_backtest(m: Market):
 
 
 @query("sweep", sql(f"""SELECT symbol, fast, slow, {rr('exp(sum(CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN ln(1 + net) ELSE 0 END)) - 1 AS train_return', 'exp(sum(CASE WHEN i > floor(n * 0.7::DOUBLE) THEN ln(1 + net) ELSE 0 END)) - 1 AS test_return', digits=8)} FROM (SELECT *, greatest(pos * ret - abs(pos - coalesce(lag(pos) OVER pw, 0)) * 6 / 10000.0, -0.9999) AS net FROM (SELECT *, coalesce(lag(CASE WHEN fa - sa > 1e-9 THEN 1.0 ELSE 0.0 END) OVER pw, 0) AS pos FROM sg WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)) WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)) GROUP BY 1, 2, 3""", "db", extra={
-    "sa0": f"SELECT symbol, time, coalesce(close / lag(close) OVER ({_W}) - 1, 0) AS ret, row_number() OVER ({_W}) AS i, count(*) OVER (PARTITION BY symbol) AS n, {', '.join(f'avg(close) OVER ({_W} ROWS {n - 1} PRECEDING) AS a{n}' for n in (3, 5, 10, 20))} FROM db",
+    "sa0": f"SELECT symbol, time, coalesce(close / nullif(lag(close) OVER ({_W}), 0) - 1, 0) AS ret, row_number() OVER ({_W}) AS i, count(*) OVER (PARTITION BY symbol) AS n, {', '.join(f'avg(close) OVER ({_W} ROWS {n - 1} PRECEDING) AS a{n}' for n in (3, 5, 10, 20))} FROM db",
     "sg": " UNION ALL ".join(f"SELECT symbol, time, ret, i, n, {f} AS fast, {s} AS slow, a{f} AS fa, a{s} AS sa FROM sa0" for f in (3, 5) for s in (10, 20)),
 }))
 def sweep(m: Market):
