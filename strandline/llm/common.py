@@ -21,7 +21,12 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        root = root.rstrip("/")
+        if "://" not in root:  # a bare path means the default file system, for every reader of it alike
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+            root = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
+        return root
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-strandline-")
