@@ -1,16 +1,20 @@
-"""Line deduplication by content-defined chunks, with Spark functions only.
+"""Line deduplication by content-defined units of lines, with Spark functions only.
 
-A text's lines are hashed, a rolling hash over each line and the one before it chooses the chunk ends (one in
-``DIVISOR`` on average), so a shared run of lines is cut alike wherever it stands, from its second line on. Chunks of at
-least ``MIN_LINES`` lines that hold text are looked up over all documents: chunks with equal bytes (the grouping key
-holds the text itself, so bytes are compared) in documents with different ids stay in the document with the smallest
-id; within one document the first copy stays.
+A unit is a pair of neighbouring lines that hold text (with the blank lines between them), or one line of at least
+``LONG_WORDS`` words. Units overlap and depend on nothing outside themselves, so every shared run of two or more lines is
+found whole wherever it stands. Units with equal bytes in documents with different ids stay in the document with the
+smallest id; within one document the first copy stays (and lines that a later copy shares with the first one). Every
+line that a repeated unit covers goes; some copy of each line always stays.
 
-Only one chunk table with text is shuffled, after combining equal chunks on the map side; after that the rows are light.
+Units are met by the two 64-bit hashes of each of their lines. Bytes are compared once a line: where two different lines
+share both hashes, their units are kept. Texts are shuffled twice, once by line and once by document; the rest is light.
 
-Defined results: a null text stays null; an empty text and a text of one line are unchanged; kept chunks are joined as
-they stood; rows repeated under one doc_id count as one document and each keeps its first copies; a null doc_id takes
-no part; an empty table gives an empty result; extra columns are kept.
+``with_chunks``, ``repeated_chunks`` and ``dedup_lines`` are the single cut into disjoint chunks (one chunk end in
+``DIVISOR`` lines): it finds few of the short runs, and no query uses it.
+
+Defined results: a null text stays null; an empty text is unchanged; kept lines are joined as they stood; rows repeated
+under one doc_id count as one document and each keeps its first copies; a null doc_id takes no part; an empty table gives
+an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ from strandline.llm.common import materialize, pick
 
 DIVISOR = 3
 MIN_LINES = 2
+LONG_WORDS = 50  # a line of so many words is a passage of its own
 _NL = "\n"
+_WORD = r"[^ \t\x0B\f\r]"
+_UNIT = ["a1", "a2", "b1", "b2", "gap"]
 
 
 def with_chunks(docs: DataFrame, name: str, divisor: int = DIVISOR) -> DataFrame:
@@ -87,3 +94,80 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LI
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("_gone").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.select(*[c.alias(n) for n, c in out.items()])
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    keyed = pick(docs, ["doc_id", "text"]).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return keyed.select("doc_id", F.xxhash64("text").alias("row"), F.split("text", _NL, -1).alias("lines"))
+
+
+def _units(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, at, end, and the key: the hashes of both lines and what stands between them)."""
+    none = F.lit(-1)
+    held = _lines(docs).withColumn("held", F.filter(F.transform("lines", lambda x, i: F.when(F.regexp_like(x, F.lit(_WORD)), i).otherwise(none)), lambda i: i >= 0))
+
+    def mark(i: Column) -> Column:
+        x = F.get("lines", i)
+        # The shortest line of so many words: one character a word, one between two.
+        long = (F.length(x) >= 2 * LONG_WORDS - 1) & (F.regexp_count(x, F.lit(_WORD + "+")) >= LONG_WORDS)
+        return F.struct(i.alias("at"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), long.alias("long"))
+
+    marks = held.select("doc_id", "row", "lines", "held", F.transform("held", mark).alias("marks"))
+
+    def pair(m: Column, k: Column) -> Column:
+        n = F.get("marks", k + 1)
+        between = n["at"] - m["at"] - 1
+        gap = F.when(between > 0, F.concat(F.lit(_NL), F.array_join(F.slice("lines", m["at"] + 2, between), _NL))).when(between == 0, F.lit(""))
+        # Two long lines are units of their own.
+        return F.when(~(m["long"] & n["long"]), F.struct(m["at"].alias("at"), n["at"].alias("end"), m["h1"].alias("a1"), m["h2"].alias("a2"), n["h1"].alias("b1"), n["h2"].alias("b2"), gap.alias("gap")))
+
+    zero = F.lit(0).cast("long")
+    # What stands between two lines is white space, so the word can't be met there.
+    single = lambda m: F.struct(m["at"].alias("at"), m["at"].alias("end"), m["h1"].alias("a1"), m["h2"].alias("a2"), zero.alias("b1"), zero.alias("b2"), F.lit("single").alias("gap"))
+    pairs, singles = F.filter(F.transform("marks", pair), lambda u: u.isNotNull()), F.transform(F.filter("marks", lambda m: m["long"]), single)
+    made = marks.select("doc_id", "row", "lines", "marks", pairs.alias("pairs"), singles.alias("singles"))
+    return made.select("doc_id", "row", F.explode(F.concat("pairs", "singles")).alias("u")).select("doc_id", "row", "u.*")
+
+
+def _clashes(docs: DataFrame) -> DataFrame:
+    """(h1, h2) that two different lines share; as a rule none."""
+    lines = _lines(docs).select(F.explode("lines").alias("line")).filter(F.regexp_like("line", F.lit(_WORD)))
+    same = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))}).groupBy("h1", "h2", "line").agg(F.lit(1).alias("one"))
+    return same.groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter("texts > 1").select("h1", "h2")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, at): the lines to remove, by their place in their document; a line may be named more than once."""
+    units = materialize(_units(docs), "line-units")
+    shared = units.groupBy(*_UNIT).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    clashes = materialize(_clashes(docs), "line-clashes")
+    if not clashes.isEmpty():
+        for a, b in (("a1", "a2"), ("b1", "b2")):
+            shared = shared.join(clashes.select(F.col("h1").alias(a), F.col("h2").alias(b)).hint("merge"), [a, b], "left_anti")
+    met = materialize(units.join(shared.hint("merge"), _UNIT), "met-units")
+    elsewhere = met.filter("doc_id > first").select("doc_id", "row", "at", "end")
+    # Copies inside one document: all but the first, less the lines of the first.
+    lowest = met.filter("doc_id = first").groupBy("doc_id", "row", *_UNIT).agg(F.min("at").alias("low"), F.min("end").alias("low_end"), F.max("at").alias("high")).filter("high > low")
+    again = met.filter("doc_id = first").join(lowest.hint("merge"), ["doc_id", "row", *_UNIT]).filter("at > low").select("doc_id", "row", F.greatest("at", F.col("low_end") + 1).alias("at"), "end")
+    return elsewhere.union(again).filter("at <= end").select("doc_id", "row", F.explode(F.sequence("at", "end")).alias("at"))
+
+
+def dedup_passages(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
+    """``docs`` with the lines of repeated units removed from ``text`` (and ``n_chars``, where there is one, counted anew).
+
+    With ``drop_emptied``, documents of which no word is left go.
+    """
+    gone = repeated_lines(docs).groupBy("doc_id", "row").agg(F.collect_set("at").alias("_lines_gone"))
+    gone = materialize(gone, "gone-lines").select(F.col("doc_id").alias("_lines_id"), F.col("row").alias("_lines_row"), "_lines_gone")
+    # What goes grows with the corpus, so it is never broadcast: one plan at every size, and skewed parts can be split.
+    joined = docs.withColumn("_lines_key", F.xxhash64("text")).join(gone.hint("merge"), (F.col("doc_id") == F.col("_lines_id")) & (F.col("_lines_key") == F.col("_lines_row")), "left")
+    cut = joined.withColumn("_lines_all", F.when(F.col("_lines_gone").isNotNull(), F.split("text", _NL, -1)))
+    cut = cut.withColumn("_lines_left", F.array_except(F.sequence(F.lit(0), F.size("_lines_all") - 1), "_lines_gone"))
+    text = F.array_join(F.transform("_lines_left", lambda i: F.get("_lines_all", i)), _NL)
+    # Referred to twice, so that no line's look-up splits the text anew.
+    cut = cut.withColumn("_lines_new", F.when(F.col("_lines_all").isNotNull(), text).otherwise(F.col("text")))
+    kept = cut.filter(F.col("_lines_gone").isNull() | F.regexp_like("_lines_new", F.lit(_WORD.replace("[^ ", "[^ \\n")))) if drop_emptied else cut
+    out = {c: F.col(c) for c in docs.columns} | {"text": F.col("_lines_new")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("_lines_gone").isNotNull(), F.length("_lines_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.select(*[c.alias(n) for n, c in out.items()])

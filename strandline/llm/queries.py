@@ -41,7 +41,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("chars_before", F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    done = line_dedup.dedup_lines(docs, drop_emptied=False)
+    done = line_dedup.dedup_passages(docs, drop_emptied=False)
     text = F.coalesce("text", F.lit(""))
     return done.select("doc_id", "chars_before", F.length(text).cast("long").alias("chars_after"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 

@@ -278,6 +278,51 @@ def test_line_dedup_against_brute_force(spark, given):
     assert set(texts_of(line_dedup.dedup_lines(df))) == {i for i in docs if brute.words(want[i]) or want[i] == docs[i]}
 
 
+def passages_left(docs):
+    """{id: text} by the rule of dedup_passages, on unique ids."""
+    units, first = {}, {}
+    for i in sorted(docs):
+        lines = docs[i].split("\n")
+        held = [k for k, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]
+        long = {k for k in held if len(brute.words(lines[k])) >= 50}
+        units[i] = [(a, b, "\n".join(lines[a : b + 1])) for a, b in zip(held, held[1:]) if not (a in long and b in long)] + [(k, k, lines[k]) for k in sorted(long)]
+        for a, b, u in units[i]:
+            first.setdefault(u, (i, a, b))
+    out = {}
+    for i, us in units.items():
+        gone = set()
+        for a, b, u in us:
+            d, low, low_end = first[u]
+            gone |= set(range(a, b + 1)) if d < i else set(range(a, b + 1)) - set(range(low, low_end + 1)) if a > low else set()
+        out[i] = "\n".join(x for k, x in enumerate(docs[i].split("\n")) if k not in gone)
+    return out
+
+
+def test_passages_against_brute_force(spark, given):
+    rng = random.Random(11)
+    few = {7000 + i: "\n".join(rng.choices(["a", "b b", "", " ", "c"], k=rng.randint(1, 12))) for i in range(150)}
+    docs = {i: t for i, t in given.items() if t is not None} | few
+    df = spark.createDataFrame([(i, t, "c", "k") for i, t in docs.items()], "doc_id long, text string, gone string, _key string")
+    want = passages_left(docs)
+    got = line_dedup.dedup_passages(df, drop_emptied=False)
+    assert got.columns == df.columns and texts_of(got) == want
+    assert set(texts_of(line_dedup.dedup_passages(df))) == {i for i in docs if brute.words(want[i]) or want[i] == docs[i]}
+
+
+def test_passages_recall_on_planted_runs(spark, as_table):
+    """Every run of 2 to 8 lines and every line of 50 words goes from its second document, whatever stands around it."""
+    docs, want = {}, {}
+    for k in range(70):
+        run = "\n".join(f"run {k} line {j} says this" for j in range(2 + k % 7)) if k < 63 else " ".join(f"long{k}w{j}" for j in range(50))
+        docs[k], docs[1000 + k] = f"before {k}\n{run}\nafter {k}", f"other {k}\nlines {k}\n{run}\n\nend {k}"
+        want[k], want[1000 + k] = docs[k], f"other {k}\nlines {k}\n\nend {k}"
+    docs[5000] = want[5000] = "short\nown line\n\nafter 3"  # a repeated short line alone is no passage
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs.items()], DOCS)
+    assert texts_of(line_dedup.dedup_passages(df)) == want
+    rows = {r.doc_id: r for r in queries.op5_line_dedup(spark, as_table(df)).collect()}
+    assert all(rows[i].kept_sha256 == hashlib.sha256(t.encode()).hexdigest() and rows[i].chars_after == len(t) for i, t in want.items())
+
+
 # ---- 6 benchmark -----------------------------------------------------------------------------------
 
 
