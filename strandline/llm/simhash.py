@@ -6,9 +6,8 @@ therefore posts every distinct fingerprint under each choice of four positions a
 bits): exactly the pairs that reach the minimum meet, and the tally of shared bytes lets each pair through once. The
 fingerprints are then compared bit by bit. Exact copies share a fingerprint and are one class from the start.
 
-``components`` works on one fingerprint a document. ``keep_one`` can take several independent ones (the same shingle
-hashes, mixed anew): documents are then linked if any of their fingerprints are, which finds near copies that differ by
-more bits under a single one.
+``components`` works on one fingerprint a document. At a shingle similarity of 0.8 two fingerprints differ in about ten
+bits, which no choice of equal bytes guarantees; ``keep_one``, the stage that owes such pairs, links by ``minhash``.
 
 Defined results: a text without words (null, empty, white space) has fingerprint 0 and is linked like any other; fewer
 words than a shingle make one shingle; rows repeated under one id give one fingerprint row per row; an empty table gives
@@ -18,7 +17,6 @@ an empty result; extra columns are ignored by ``fingerprints`` and kept by ``kee
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,9 +30,8 @@ from strandline.llm.common import BASE_A, connected, materialize, mix, pick
 MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
-#: Near-duplicate stages: words of a shingle, and fingerprints a document.
+#: Near-duplicate stages: words of a shingle.
 NEAR_SHINGLE = 5
-NEAR_COUNT = 4
 POSITIONS = list(combinations(range(8), 8 - MAX_BITS))
 
 
@@ -118,32 +115,17 @@ def components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def linked(fps: DataFrame, names: list[str], max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, component_id) where documents are linked by any of the fingerprints ``names``.
-
-    The nodes are the fingerprints, each hashed with its number: links join fingerprints of one number, and the rows of
-    a document join its own. A document belongs to the component of its first fingerprint.
-    """
-    node = lambda k, c: F.xxhash64(F.lit(k), c)
-    edges = [links(fps.select(F.col(n).alias("fp")), max_bits).select(node(k, F.col("src")).alias("src"), node(k, F.col("dst")).alias("dst")) for k, n in enumerate(names)]
-    own = [fps.select(node(0, F.col(names[0])).alias("src"), node(k, F.col(n)).alias("dst")).distinct() for k, n in enumerate(names) if k]
-    labels = connected(reduce(DataFrame.union, [*edges, *own]))
-    first = fps.withColumn("node", node(0, F.col(names[0])))
-    classes = first.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(smallest, "root").select("node", "component_id")
-    return first.join(named, "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, size: int = NEAR_SHINGLE, max_bits: int = MAX_BITS, count: int = NEAR_COUNT) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stand for their component (smallest doc_id); rows repeated under that id: one of them.
 
-    Only light fingerprint rows are grouped; whole texts move once, to meet the ids that go.
+    Components are linked by the Jaccard similarity of word shingles (``minhash``), which fingerprints can't resolve. Only
+    light rows are grouped; whole texts move to be compared, and once more to meet the ids that go.
     """
-    names = ["fp", *(f"fp{k}" for k in range(1, count))]
-    fps = materialize(fingerprints(docs, size, count), "simhash-fps")
-    found = materialize(linked(fps, names, max_bits), "simhash-found")
-    gone = found.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
+    from strandline.llm.minhash import near_components
+
+    found = materialize(near_components(docs, size), "near-found")
+    smallest = found.groupBy("root").agg(F.min("doc_id").alias("first"))
+    gone = found.join(smallest.hint("merge"), "root").filter(F.col("doc_id") > F.col("first")).select("doc_id").distinct()
     # What goes grows with the corpus, so it is never broadcast: one plan at every size.
     kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():

@@ -416,6 +416,28 @@ def test_simhash_odd_and_stage(spark, odd, as_table):
     assert len(ids) == len(set(ids)) and {0, 3, 50, 53} <= set(ids) and not {1, 2, 5, 51, 52} & set(ids)
 
 
+def test_stage_links_by_shingle_similarity(spark):
+    """Pairs of 5-word Jaccard from 0.8 go, those below stay, also in a bucket of many texts that share most words."""
+    rng = random.Random(7)
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    docs, due, below = [], 0, 0
+    for k in range(120):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        v = list(w)
+        for j in range(1 + k % 12):
+            v[5 + 15 * j] = f"new{k}x{j}"
+        a, b = sets(" ".join(w)), sets(" ".join(v))
+        near = 10 * len(a & b) >= 8 * len(a | b)
+        due, below = due + near, below + (not near)
+        docs += [(2 * k, " ".join(w), True), (2 * k + 1, " ".join(v), not near)]
+    base = [f"base{j}" for j in range(400)]
+    docs += [(1000 + k, " ".join(base[:300] + [f"own{k}x{j}" for j in range(150)]), True) for k in range(100)]
+    docs += [(2000 + k, " ".join(base + [f"tail{k}"]), k == 0) for k in range(200)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert due > 30 and below > 30 and kept == {i for i, _, stays in docs if stays}
+
+
 def test_components_on_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(1000, 1001), (5, 5)], "src long, dst long")
     got = {r.node: r.root for r in common.connected(edges).collect()}
