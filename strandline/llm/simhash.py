@@ -11,7 +11,7 @@ bits, which no choice of equal bytes guarantees; ``keep_one``, the stage that ow
 
 Defined results: a text without words (null, empty, white space) has fingerprint 0 and is linked like any other; fewer
 words than a shingle make one shingle; rows repeated under one id give one fingerprint row per row; an empty table gives
-an empty result; extra columns are ignored by ``fingerprints`` and kept by ``keep_one``.
+an empty result; extra columns are ignored by ``fingerprints`` and kept by ``keep_one``, which keys rows by id and text.
 """
 
 from __future__ import annotations
@@ -116,18 +116,22 @@ def components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stand for their component (smallest doc_id); rows repeated under that id: one of them.
+    """One row of ``docs`` for each component: that of the smallest doc_id, then of the smallest text hash.
 
-    Components are linked by the Jaccard similarity of word shingles (``minhash``), which fingerprints can't resolve. Only
-    light rows are grouped; whole texts move to be compared, and once more to meet the ids that go.
+    Components are linked by the Jaccard similarity of word shingles (``minhash``), which fingerprints can't resolve. Rows
+    are keyed by doc_id and text, so an id that occurs with several texts has several rows, each judged by its own text. A
+    null doc_id is no id in common: such rows are told apart by their texts and come after all others in the choice.
+    Only light rows are grouped; whole texts move to be compared, and once more to meet the keys that go.
     """
     from strandline.llm.minhash import near_components
 
     found = materialize(near_components(docs, size), "near-found")
-    smallest = found.groupBy("root").agg(F.min("doc_id").alias("first"))
-    gone = found.join(smallest.hint("merge"), "root").filter(F.col("doc_id") > F.col("first")).select("doc_id").distinct()
+    key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    chosen = found.groupBy("root").agg(F.min(key).alias("chosen"))
+    gone = found.join(chosen.hint("merge"), "root").filter(key != F.col("chosen")).select(F.col("doc_id").alias("_near_id"), F.col("row").alias("_near_row")).distinct()
     # What goes grows with the corpus, so it is never broadcast: one plan at every size.
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    keyed = docs.withColumn("_near_key", F.xxhash64("text"))
+    kept = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_key") == F.col("_near_row")), "left_anti")
+    if not found.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_near_key"])
+    return kept.select(*docs.columns)

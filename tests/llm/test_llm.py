@@ -438,6 +438,16 @@ def test_stage_links_by_shingle_similarity(spark):
     assert due > 30 and below > 30 and kept == {i for i, _, stays in docs if stays}
 
 
+def test_stage_keys_rows_by_id_and_text(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    rows = [(3, text(0), "a"), (5, text(0), "b"), (5, text(1), "c"), (6, text(1) + " end", "d"), (5, text(2), "e"), (5, text(2), "e"), (None, text(3), "f"), (None, text(4), "g"), (None, text(4), "g"), (None, text(0), "h"), (7, None, "i"), (None, None, "j"), (8, text(5), "k")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(r.source for r in kept.collect()) == ["a", "c", "e", "f", "g", "i", "k"]
+    # A null id with many texts keeps them all, also where no id occurs twice.
+    many = spark.createDataFrame([(None, text(10 + k)) for k in range(30)] + [(1, text(1))], "doc_id long, text string")
+    assert simhash.keep_one(many).count() == 31
+
+
 def test_components_on_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(1000, 1001), (5, 5)], "src long, dst long")
     got = {r.node: r.root for r in common.connected(edges).collect()}
