@@ -523,6 +523,14 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert got[100].startswith("Welcome")  # one page says nothing about its site
 
 
+def test_copied_pages_keep_their_text(spark):
+    page = lambda i: f"<body><p>Story {i} tells of thing {i * 7}</p><p>And more {i}</p>"
+    rows = [(i, "http://one.example.org/p", page(min(i, 1))) for i in range(3)]  # 2 copies among 3 pages
+    rows += [(100 + i, "http://two.example.org/p", page(max(i, 9))) for i in range(30)]  # 10 copies, a third of the host
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == re.sub(r"</p><p>", "\n", h)[9:-4] for i, _, h in rows)
+
+
 # ---- 10 rules --------------------------------------------------------------------------------------
 
 
