@@ -18,8 +18,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir`` (or of ``setCheckpointDir``).
+
+    Where neither is set, a local master gets a folder of its own (tests); any other master is an error, because its
+    executors would write to their own disks and the driver would read nothing back.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         root = root.rstrip("/")
         if "://" not in root:  # a bare path means the default file system, for every reader of it alike
@@ -27,6 +31,8 @@ def scratch_root(spark: SparkSession) -> str:
             root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
             root = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-strandline-")
@@ -53,6 +59,17 @@ def pick(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def fresh(df: DataFrame, *labels: str) -> list[str]:
+    """Column names of our own, made from ``labels``, that ``df`` doesn't have (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for label in labels:
+        while label.lower() in taken:
+            label += "_"
+        taken.add(label.lower())
+        out.append(label)
+    return out
+
+
 class WordHash(dict):
     """word (bytes) -> 64-bit XXH64, remembered; forgets everything at ``limit`` words to bound the memory."""
 

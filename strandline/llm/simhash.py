@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BASE_A, connected, materialize, mix, pick
+from strandline.llm.common import BASE_A, connected, fresh, materialize, mix, pick
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -120,18 +120,21 @@ def keep_one(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
 
     Components are linked by the Jaccard similarity of word shingles (``minhash``), which fingerprints can't resolve. Rows
     are keyed by doc_id and text, so an id that occurs with several texts has several rows, each judged by its own text. A
-    null doc_id is no id in common: such rows are told apart by their texts and come after all others in the choice.
-    Only light rows are grouped; whole texts move to be compared, and once more to meet the keys that go.
+    null doc_id is no id in common: such rows are told apart by their texts and come after all others in the choice. Of rows
+    with one id and one text, the first by the JSON of the other columns stays.
+    Only light rows are grouped; whole texts move to be compared, and once more to meet the keys that go. Repeated rows
+    are thinned to one a task before that move.
     """
     from strandline.llm.minhash import near_components
 
     found = materialize(near_components(docs, size), "near-found")
     key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
     chosen = found.groupBy("root").agg(F.min(key).alias("chosen"))
-    gone = found.join(chosen.hint("merge"), "root").filter(key != F.col("chosen")).select(F.col("doc_id").alias("_near_id"), F.col("row").alias("_near_row")).distinct()
+    null, id_, row, turn = names = fresh(docs, "null", "id", "row", "turn")
+    gone = found.join(chosen.hint("merge"), "root").filter(key != F.col("chosen"))
+    gone = gone.select(F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("row").alias(row)).distinct()
     # What goes grows with the corpus, so it is never broadcast: one plan at every size.
-    keyed = docs.withColumn("_near_key", F.xxhash64("text"))
-    kept = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_key") == F.col("_near_row")), "left_anti")
-    if not found.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_near_key"])
-    return kept.select(*docs.columns)
+    keyed = docs.withColumns({null: F.col("doc_id").isNull(), id_: F.coalesce("doc_id", F.lit(0)), row: F.xxhash64("text")})
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != "text"]))
+    once = keyed.withColumn(turn, F.row_number().over(Window.partitionBy(*names[:3]).orderBy(others))).filter(F.col(turn) == 1)
+    return once.join(gone.hint("merge"), names[:3], "left_anti").select(*docs.columns)
