@@ -2,7 +2,8 @@
 
 ``split`` and ``regexp_extract_all`` scan a text with the same pattern, left to right and without overlap, so the pieces
 between the matches and the matches themselves alternate; running sums of their lengths are the positions, in code
-points. Patterns use possessive repeats and look-behinds, so that each character is visited a bounded number of times
+points. Running sums are folded in blocks, and context comes from the pieces, so that a text of many matches costs in
+proportion to its length. Patterns use possessive repeats and look-behinds, so that each character is visited a bounded number of times
 and the regular expression engine never recurses over a long run; both leave the matches as they are, because in each
 pattern what follows a repeat can't start inside it.
 
@@ -10,7 +11,7 @@ Kinds, in order: the base kinds ``email ip card phone``, then the added kinds ``
 whatever their score; an added span needs a score of ``KEEP`` or more.
 
 Defined results: a null or empty text has no spans; rows repeated under one id give one row each; an empty table gives
-an empty result; extra columns are ignored; a text is never cut.
+an empty result; extra columns are ignored by ``find`` and kept by ``redact``; a text is never cut.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import pick
+from strandline.llm.common import fresh, pick
 
-CONTEXT_CHARS = 40
+CONTEXT_CHARS = 40  # on each side, from the piece there, the match beyond it and the piece beyond that
 KEEP = 0.5
+_FOLD = 256  # items folded at a time: a fold copies what it has gathered at each step
+_CUT = 1024  # code points of the slices that a text is rewritten from
 
 
 @dataclass(frozen=True)
@@ -91,28 +94,44 @@ def matches_of(kind: Kind, text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(kind.needs)), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def spans_of(kind: Kind, text: Column, matches: Column, between: Column) -> Column:
+def _before(items: Column, value, join) -> Column:
+    """struct<at, seen>: ``seen`` is what ``join`` made of the values before each item, ``at`` what it made of all."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
+    return F.aggregate(items, start, lambda acc, x: F.struct(join(acc["at"], value(x)).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))
+
+
+def _folded(items: Column, value, join) -> Column:
+    """``items`` (a column, not empty) in blocks of ``_FOLD``, each folded by ``_before``."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _FOLD).cast("int")), lambda b: F.slice(items, b * _FOLD + 1, _FOLD))
+    return F.transform(blocks, lambda block: _before(block, value, join))
+
+
+def _running(folded: Column, join) -> Column:
+    """What stands before each item over all blocks."""
+    return F.flatten(F.zip_with(folded, _before(folded, lambda w: w["at"], join)["seen"], lambda w, o: F.transform(w["seen"], lambda x: join(x, o))))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def spans_of(kind: Kind, matches: Column, between: Column, before: Column) -> Column:
     """array<struct<start, end, kind, score>> of the confirmed matches of one kind, in order.
 
-    ``between`` are the pieces of the text around ``matches``.
+    ``between`` are the pieces of the text around ``matches``, ``before`` the lengths of all that stands before each piece.
     """
-    # (position, spans): one fold over the pieces keeps running lengths, at a cost in proportion to the matches.
-    lengths = F.zip_with(F.transform(between, lambda x: F.length(x)), F.transform(matches, lambda x: F.length(x)), lambda gap, size: F.struct(F.coalesce(gap, F.lit(0)).alias("gap"), F.coalesce(size, F.lit(0)).alias("size")))
-    start = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")),
-        lambda acc: acc["starts"],
-    )
-    raw = F.zip_with(matches, F.slice(start, F.lit(1), F.size(matches)), lambda m, s: F.struct(s.alias("start"), m.alias("match")))
+    raw = F.zip_with(matches, before, lambda m, at: F.struct(m.alias("match"), at.alias("at")))
+    raw = F.transform(raw, lambda x, i: F.struct((x["at"] + F.length(F.get(between, i))).alias("start"), x["match"].alias("match"), i.alias("i")))
     good = F.filter(raw, lambda x: confirmed(kind.name, x["match"]))
+    piece = lambda array, i, side: F.coalesce(side(F.get(array, i), F.lit(CONTEXT_CHARS)), F.lit(""))
 
     def scored(x: Column) -> Column:
-        end = x["start"] + F.length(x["match"])
-        first = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.concat(F.substr(text, first + 1, x["start"] - first), F.lit(" "), F.substr(text, end + 1, F.lit(CONTEXT_CHARS))))
+        i = x["i"]
+        left = F.right(F.concat(piece(between, i - 1, F.right), piece(matches, i - 1, F.right), piece(between, i, F.right)), F.lit(CONTEXT_CHARS))
+        right = F.left(F.concat(piece(between, i + 1, F.left), piece(matches, i + 1, F.left), piece(between, i + 2, F.left)), F.lit(CONTEXT_CHARS))
+        near = F.lower(F.concat(left, F.lit(" "), right))
         score = F.lit(kind.prior) + F.when(F.regexp_like(near, F.lit(kind.context)), F.lit(0.3)).otherwise(F.lit(0.0))
-        return F.struct(x["start"].alias("start"), end.alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
 
     found = F.transform(good, scored)
     if kind.name not in BASE:
@@ -120,17 +139,26 @@ def spans_of(kind: Kind, text: Column, matches: Column, between: Column) -> Colu
     return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(NO_SPANS))
 
 
-def _with_spans(docs: DataFrame, text: Column, mark: str = "_pii_") -> DataFrame:
-    """``docs`` with one array of spans for each kind, named ``mark`` + kind. Each pattern runs once over a text."""
-    matched = docs.withColumns({f"{mark}m_{k.name}": matches_of(k, text) for k in KINDS})
-    cut = matched.withColumns({f"{mark}b_{k.name}": F.when(F.size(f"{mark}m_{k.name}") > 0, F.split(text, k.pattern, -1)) for k in KINDS})
-    return cut.withColumns({f"{mark}{k.name}": spans_of(k, text, F.col(f"{mark}m_{k.name}"), F.col(f"{mark}b_{k.name}")) for k in KINDS})
+def _with_spans(docs: DataFrame, text: Column, mark: str) -> DataFrame:
+    """``docs`` with one array of spans for each kind, named ``mark`` + kind. Each pattern runs once over a text.
+
+    One projection a step: an array that a lambda looks into is a column of its own, or it would be made anew for each element.
+    """
+    step = lambda kind, letter: F.col(f"{mark}{letter}_{kind.name}")
+    some = lambda kind: F.size(step(kind, "m")) > 0
+    lengths = lambda k: F.zip_with(F.transform(step(k, "b"), lambda x: F.length(x)), F.transform(step(k, "m"), lambda x: F.length(x)), lambda gap, size: F.coalesce(gap, F.lit(0)) + F.coalesce(size, F.lit(0)))
+    out = docs.withColumns({f"{mark}m_{k.name}": matches_of(k, text) for k in KINDS})
+    out = out.withColumns({f"{mark}b_{k.name}": F.when(some(k), F.split(text, k.pattern, -1)) for k in KINDS})
+    out = out.withColumns({f"{mark}l_{k.name}": F.when(some(k), lengths(k)) for k in KINDS})
+    out = out.withColumns({f"{mark}f_{k.name}": F.when(some(k), _folded(step(k, "l"), lambda x: x, _add)) for k in KINDS})
+    out = out.withColumns({f"{mark}r_{k.name}": F.when(some(k), F.slice(_running(step(k, "f"), _add), F.lit(1), F.size(step(k, "m")))) for k in KINDS})
+    return out.withColumns({f"{mark}{k.name}": spans_of(k, step(k, "m"), step(k, "b"), step(k, "r")) for k in KINDS})
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, one array of spans for each kind): start and end are code points, end exclusive."""
     docs = pick(docs, ["doc_id", "text"]).select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    return _with_spans(docs, F.col("_text")).select("doc_id", *[F.col(f"_pii_{k.name}").alias(k.name) for k in KINDS])
+    return _with_spans(docs, F.col("_text"), "_pii_").select("doc_id", *[F.col(f"_pii_{k.name}").alias(k.name) for k in KINDS])
 
 
 def joined(kinds: tuple[str, ...]) -> Column:
@@ -144,14 +172,25 @@ def joined(kinds: tuple[str, ...]) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each base or added span replaced by ``[kind]``; of overlapping spans the first by start stays."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    every = F.array_sort(F.flatten(F.array(*[F.col(f"_pii_{k.name}") for k in KINDS])))
-    folded = F.aggregate(
-        every,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
-    )
-    spanned = _with_spans(docs, text)
-    return spanned.withColumn("text", F.when(F.col("text").isNotNull(), folded)).select(*docs.columns)
+    """``docs`` with its base and added spans replaced by ``[kind]``; spans that overlap go as one, named by the first of them."""
+    (mark,) = fresh(docs, "_pii")
+    while any(c.lower().startswith(mark.lower()) for c in docs.columns):
+        mark += "_"
+    every, folded, before, heads, slices = (F.col(f"{mark}{x}") for x in ("every", "folded", "before", "heads", "slices"))
+    out = _with_spans(docs, F.coalesce(F.col("text"), F.lit("")), mark)
+    out = out.withColumn(f"{mark}every", F.array_sort(F.flatten(F.array(*[F.col(f"{mark}{k.name}") for k in KINDS]))))
+    out = out.withColumn(f"{mark}folded", F.when(F.size(every) > 0, _folded(every, lambda x: x["end"], F.greatest)))
+    # The furthest end so far: a span that starts before it belongs to the one before.
+    out = out.withColumn(f"{mark}before", _running(folded, F.greatest))
+    held = F.zip_with(every, before, lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at")))
+    out = out.withColumns({f"{mark}heads": F.filter(held, lambda x: x["start"] >= x["at"]), f"{mark}slices": F.when(F.size(every) > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0)))})
+
+    def part(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / _CUT).cast("int"), F.floor(b / _CUT).cast("int")
+        one = lambda k: F.coalesce(F.get(slices, k), F.lit(""))
+        several = F.concat(F.substr(one(i), a % _CUT + 1), F.array_join(F.slice(slices, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substr(one(j), F.lit(1), b % _CUT))
+        return F.when(i == j, F.substr(one(i), a % _CUT + 1, b - a)).otherwise(several)
+
+    said = F.transform(heads, lambda h: F.concat(part(h["at"], h["start"]), F.lit("["), h["kind"], F.lit("]")))
+    rest = part(F.array_max(F.transform(every, lambda x: x["end"])), F.length("text"))
+    return out.withColumn("text", F.when(F.size(every) > 0, F.concat(F.array_join(said, ""), rest)).otherwise(F.col("text"))).select(*docs.columns)
