@@ -11,8 +11,6 @@ ledger row each; an empty table gives an empty ledger; extra columns of the inpu
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import BASE_A, WORD_SPACE, WordHash, pick, window_hash
+from strandline.llm.common import BASE_A, WORD_SPACE, WordHash, fresh, pick, window_hash
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -139,9 +137,11 @@ def ablation(entries: DataFrame, version: int = CURRENT) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame, version: int = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns. Rows go through the measuring pass as they are; nothing is shuffled."""
-    name = "ledger_" + uuid.uuid4().hex
-    at = docs.columns.index("text")
+    """The rows of ``docs`` that pass, all columns: the ledger's measurements, bits and policy, with each row beside its entry.
+
+    Rows go through the measuring pass as they are; nothing is shuffled.
+    """
+    at, (name,) = docs.columns.index("text"), fresh(docs, "ledger")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +152,5 @@ def keep_passing(docs: DataFrame, version: int = CURRENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, entry], [*batch.schema.names, name])
 
     measured = docs.mapInArrow(run, schema)
-    bits = measured.select(*[measured[c] for c in docs.columns], *[F.col(f"{name}.{m}").alias(f"{name}_{m}") for m in MEASURES])
-    failed = F.lit(False)
-    for rule in RULES:
-        if policy_mask(version) >> rule.bit & 1:
-            failed = failed | F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{name}_\1", rule.fails))
-    return bits.filter(~failed).select(*docs.columns)
+    entries = measured.select(F.struct(*[measured[c] for c in docs.columns]).alias("row"), f"{name}.*").withColumn("failures", failure_bits())
+    return apply_policy(entries, version).filter("kept").select("row.*")
