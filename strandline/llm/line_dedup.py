@@ -9,9 +9,6 @@ line that a repeated unit covers goes; some copy of each line always stays.
 Units are met by the two 64-bit hashes of each of their lines. Bytes are compared once a line: where two different lines
 share both hashes, their units are kept. Texts are shuffled twice, once by line and once by document; the rest is light.
 
-``with_chunks``, ``repeated_chunks`` and ``dedup_lines`` are the single cut into disjoint chunks (one chunk end in
-``DIVISOR`` lines): it finds few of the short runs, and no query uses it.
-
 Defined results: a null text stays null; an empty text is unchanged; kept lines are joined as they stood; rows repeated
 under one doc_id count as one document and each keeps its first copies; a null doc_id takes no part; an empty table gives
 an empty result; extra columns are kept.
@@ -22,80 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, pick
+from strandline.llm.common import fresh, materialize, pick
 
-DIVISOR = 3
-MIN_LINES = 2
 LONG_WORDS = 50  # a line of so many words is a passage of its own
 _NL = "\n"
 _WORD = r"[^ \t\x0B\f\r]"
 _UNIT = ["a1", "a2", "b1", "b2", "gap"]
 
 
-def with_chunks(docs: DataFrame, name: str, divisor: int = DIVISOR) -> DataFrame:
-    """``docs`` with array<string> ``name``: the content-defined chunks of ``text``; joined by line feeds they are the text.
-
-    One projection a step, so that no step's array is computed anew for each element of the next.
-    """
-    lines, hashes, ends = (F.col(f"{name}_{x}") for x in ("lines", "hashes", "ends"))
-    cut = docs.withColumn(f"{name}_lines", F.split("text", _NL, -1))
-    cut = cut.withColumn(f"{name}_hashes", F.transform(lines, lambda x: F.xxhash64(x)))
-    rolled = lambda h, i: F.xxhash64(h, F.when(i > 0, F.get(hashes, i - 1)).otherwise(F.lit(0).cast("long")))
-    is_end = lambda h, i: (F.pmod(rolled(h, i), F.lit(divisor)) == 0) | (i == F.size(hashes) - 1)
-    cut = cut.withColumn(f"{name}_ends", F.filter(F.transform(hashes, lambda h, i: F.when(is_end(h, i), i).otherwise(F.lit(-1))), lambda i: i >= 0))
-    start = lambda j: F.when(j > 0, F.get(ends, j - 1) + 1).otherwise(F.lit(0))
-    cut = cut.withColumn(name, F.transform(ends, lambda e, j: F.array_join(F.slice(lines, start(j) + 1, e - start(j) + 1), _NL)))
-    return cut.drop(f"{name}_lines", f"{name}_hashes", f"{name}_ends")
-
-
-def _countable(chunk: Column, min_lines: int) -> Column:
-    """At least ``min_lines`` lines with text, so that a line between blank ones doesn't count as a passage."""
-    return (F.size(F.filter(F.split(chunk, _NL, -1), lambda x: F.regexp_like(x, F.lit(r"[^ \t\x0B\f\r]")))) >= F.lit(min_lines))
-
-
-def _chunked(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
-    """(doc_id, row, at, chunk) of the countable chunks. (The outer form infers no filter that would chunk a text twice.)"""
-    keyed = pick(docs, ["doc_id", "text"]).filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("row"))
-    return with_chunks(keyed, "all", divisor).select("doc_id", "row", F.posexplode_outer("all").alias("at", "chunk")).filter(_countable(F.col("chunk"), min_lines))
-
-
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, row, at): the chunks to remove, by their place in their document."""
-    held = _chunked(docs, divisor, min_lines).withColumns({"h1": F.xxhash64("chunk"), "h2": F.xxhash64(F.lit(1), F.col("chunk"))})
-    # Equal bytes: the text is part of the key. Few enough rows are left to go on by hash alone, except where two
-    # different chunks share both hashes: those are kept.
-    same = held.groupBy("h1", "h2", "chunk").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    shared = same.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("texts")).filter("n > 1 AND texts = 1").select("h1", "h2", "first")
-    light = held.select("doc_id", "row", "at", "h1", "h2")
-    met = materialize(light.join(materialize(shared, "shared-chunks"), ["h1", "h2"]), "met-chunks")
-    elsewhere = met.filter("doc_id > first").select("doc_id", "row", "at")
-    # Copies inside one document: all but the first. A document's chunks are as many as its own lines at most.
-    here = met.filter("doc_id = first").groupBy("doc_id", "row", "h1", "h2").agg(F.collect_list("at").alias("places")).filter("size(places) > 1")
-    again = here.select("doc_id", "row", F.explode("places").alias("at"), F.array_min("places").alias("low")).filter("at > low").select("doc_id", "row", "at")
-    return elsewhere.union(again)
-
-
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, drop_emptied: bool = True) -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text`` (and ``n_chars``, where there is one, counted anew).
-
-    With ``drop_emptied``, documents of which no word is left go.
-    """
-    gone = repeated_chunks(docs, divisor, min_lines).groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
-    gone = materialize(gone, "gone-chunks").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
-    # The chunks stand for the text in the shuffle.
-    keyed = with_chunks(docs.withColumn("_key", F.xxhash64("text")), "_chunks", divisor).drop("text")
-    # What goes grows with the corpus, so it is never broadcast: one plan at every size, and skewed parts can be split.
-    joined = keyed.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
-    left = F.array_join(F.filter(F.col("_chunks"), lambda x, i: F.col("_gone").isNull() | ~F.array_contains(F.col("_gone"), i)), _NL)
-    word = r"[^ \t\n\x0B\f\r]"
-    changed = joined.withColumn("_new", left)
-    kept = changed.filter(F.col("_gone").isNull() | F.regexp_like("_new", F.lit(word))) if drop_emptied else changed
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.col("_new")}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_gone").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.select(*[c.alias(n) for n, c in out.items()])
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     keyed = pick(docs, ["doc_id", "text"]).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     return keyed.select("doc_id", F.xxhash64("text").alias("row"), F.split("text", _NL, -1).alias("lines"))
@@ -157,17 +88,19 @@ def dedup_passages(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
 
     With ``drop_emptied``, documents of which no word is left go.
     """
-    gone = repeated_lines(docs).groupBy("doc_id", "row").agg(F.collect_set("at").alias("_lines_gone"))
-    gone = materialize(gone, "gone-lines").select(F.col("doc_id").alias("_lines_id"), F.col("row").alias("_lines_row"), "_lines_gone")
+    own = fresh(docs, "id", "row", "gone", "key", "all", "left", "new")
+    id_, row, gone, key, every, left, new = own
+    found = repeated_lines(docs).groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
+    found = materialize(found, "gone-lines").select(F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("gone").alias(gone))
     # What goes grows with the corpus, so it is never broadcast: one plan at every size, and skewed parts can be split.
-    joined = docs.withColumn("_lines_key", F.xxhash64("text")).join(gone.hint("merge"), (F.col("doc_id") == F.col("_lines_id")) & (F.col("_lines_key") == F.col("_lines_row")), "left")
-    cut = joined.withColumn("_lines_all", F.when(F.col("_lines_gone").isNotNull(), F.split("text", _NL, -1)))
-    cut = cut.withColumn("_lines_left", F.array_except(F.sequence(F.lit(0), F.size("_lines_all") - 1), "_lines_gone"))
-    text = F.array_join(F.transform("_lines_left", lambda i: F.get("_lines_all", i)), _NL)
+    joined = docs.withColumn(key, F.xxhash64("text")).join(found.hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.col(key) == F.col(row)), "left")
+    cut = joined.withColumn(every, F.when(F.col(gone).isNotNull(), F.split("text", _NL, -1)))
+    cut = cut.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(gone)))
+    text = F.array_join(F.transform(F.col(left), lambda i: F.get(F.col(every), i)), _NL)
     # Referred to twice, so that no line's look-up splits the text anew.
-    cut = cut.withColumn("_lines_new", F.when(F.col("_lines_all").isNotNull(), text).otherwise(F.col("text")))
-    kept = cut.filter(F.col("_lines_gone").isNull() | F.regexp_like("_lines_new", F.lit(_WORD.replace("[^ ", "[^ \\n")))) if drop_emptied else cut
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.col("_lines_new")}
+    cut = cut.withColumn(new, F.when(F.col(every).isNotNull(), text).otherwise(F.col("text")))
+    kept = cut.filter(F.col(gone).isNull() | F.regexp_like(new, F.lit(_WORD.replace("[^ ", "[^ \\n")))) if drop_emptied else cut
+    out = {c: F.col(c) for c in docs.columns} | {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_lines_gone").isNotNull(), F.length("_lines_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(F.col(gone).isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.select(*[c.alias(n) for n, c in out.items()])

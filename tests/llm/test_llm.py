@@ -246,38 +246,6 @@ def test_substrings_hostile(spark, odd, as_table):
 
 
 
-def test_line_chunks_join_to_the_text(spark, given, odd):
-    df = spark.createDataFrame([(i, t) for i, t in given.items()] + [(10_000, "a\n\n\nb\n"), (10_001, ""), (10_002, "\n"), (10_003, None)], "doc_id long, text string")
-    rows = line_dedup.with_chunks(df, "c").withColumn("again", F.array_join("c", "\n")).filter("NOT (again <=> text)")
-    assert rows.count() == 0
-
-
-def test_line_dedup_against_brute_force(spark, given):
-    shared = "\n".join(f"shared line {i} of the notice" for i in range(12))
-    docs = dict(given) | {5000 + i: f"own {i}\n{shared}\nend {i}" for i in range(5)} | {6000: "solo text\nwithout copies", 6001: f"{shared}\nx\n{shared}"}
-    df = spark.createDataFrame([(i, t, "c") for i, t in docs.items()], "doc_id long, text string, gone string")
-    cut = {r.doc_id: r.c for r in line_dedup.with_chunks(df, "c").select("doc_id", "c").collect()}
-    countable = lambda c: sum(1 for x in c.split("\n") if x.strip(" \t\x0b\x0c\r")) >= line_dedup.MIN_LINES
-    first = {}
-    for i in sorted(cut):
-        for c in cut[i]:
-            if countable(c):
-                first.setdefault(c, i)
-    want = {}
-    for i, cs in cut.items():
-        seen, kept = set(), []
-        for c in cs:
-            if countable(c) and (first[c] < i or c in seen):
-                continue
-            seen.add(c)
-            kept.append(c)
-        want[i] = "\n".join(kept)
-    assert texts_of(line_dedup.dedup_lines(df, drop_emptied=False)) == want
-    # A shared run is cut alike whatever stands before it: most of it goes from all but the first document.
-    assert all(len(want[5000 + i]) < 0.6 * len(docs[5000 + i]) for i in range(1, 5)) and want[6000] == docs[6000]
-    assert set(texts_of(line_dedup.dedup_lines(df))) == {i for i in docs if brute.words(want[i]) or want[i] == docs[i]}
-
-
 def passages_left(docs):
     """{id: text} by the rule of dedup_passages, on unique ids."""
     units, first = {}, {}
