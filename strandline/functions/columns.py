@@ -45,9 +45,13 @@ def lag_seconds(time: str, as_of: Column) -> Column:
     return F.when(F.col(time).isNotNull(), F.greatest(F.unix_timestamp(as_of) - F.unix_timestamp(time), F.lit(0)))
 
 
-def centred_rank(value: str, by: list[str], tie: str) -> Column:
-    """``2 (rank - 1) / max(n - 1, 1) - 1`` among the rows of ``by``; ties by ``tie``."""
-    position = F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)) - 1
+def centred_rank(value: str, by: list[str], tie: str, digits: int | None = None) -> Column:
+    """``2 (rank - 1) / max(n - 1, 1) - 1`` among the rows of ``by``; ties by ``tie``.
+
+    With ``digits``, values that are equal when rounded so are ties; the values themselves stay as they are.
+    """
+    order = F.col(value) if digits is None else F.round(value, digits)
+    position = F.row_number().over(Window.partitionBy(*by).orderBy(order, tie)) - 1
     return position / F.greatest(F.count("*").over(Window.partitionBy(*by)) - 1, F.lit(1)) * 2.0 - 1.0
 
 
@@ -98,3 +102,8 @@ def inverse_normal_cdf(p: Column) -> Column:
     q = p - 0.5
     tail = lambda r: _horner(_C, r) / _horner((*_D, 1.0), r)
     return F.when(p < 0.02425, tail(low)).when(p > 1 - 0.02425, -tail(high)).otherwise(_horner(_A, q * q) * q / _horner((*_B, 1.0), q * q))
+
+
+def bars_for_hours(hours: Column, bar_minutes: int) -> Column:
+    """the bars that ``hours`` take, one at least."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(hours * 60.0 / bar_minutes))

@@ -135,22 +135,46 @@ def audience(df: DataFrame, who: str) -> DataFrame:
     return df.filter(can["human_friendly"]) if who == "human" else df.filter(can["agent_friendly"]) if who == "agent" else df
 
 
+#: Templates and tables are taken out from the innermost, so many levels deep.
+NESTING = 6
+
+
 def clean_wikitext(text: Column) -> Column:
-    """templates, files and categories out; links by their label; emphasis, headings, tags and entities bare."""
-    steps = [
-        (r"\{\{[^}]+\}\}", ""), (r"\[\[(?:File|Image|Category):[^\]]+\]\]", ""), (r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]]+)\]\]", "$1"), (r"\[https?://\S+\s+([^\]]+)\]", "$1"),
-        (r"'{2,5}", ""), (r"(?m)^=+(.+?)=+$", "$1"), (r"<[^>]+>", ""), (r"&[a-z]+;", " "), (r"\s+", " "),
-    ]
-    for pattern, by in steps:
-        text = F.regexp_replace(text, pattern, by)
-    return F.trim(text)
+    """the prose of wiki markup.
+
+    Comments and references go with what they hold, then templates and tables from the innermost outwards, then links to
+    files, images and categories with their captions. Any other link leaves its label (its last part), an external link
+    its words. Quote runs, heading signs, tags and entities are bare markup; white space becomes one space.
+    """
+    bare = lambda t, pattern, by="": F.regexp_replace(t, pattern, by)
+    text = bare(text, r"(?s)<!--.*?-->")
+    text = bare(text, r"(?is)<ref\b[^>]*?(?:/>|>.*?</ref\s*>)")
+    for _ in range(NESTING):
+        text = bare(text, r"\{\{[^{}]*\}\}|\{\|[^{}]*\|\}")
+    text = bare(text, r"(?i)\[\[\s*:?(?:file|image|category)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]")
+    text = bare(text, r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", "$1")
+    text = bare(text, r"\[(?:https?|ftp)://[^\s\]]*\s*([^\]]*)\]", "$1")
+    text = bare(text, r"(?m)^[ \t]*(={1,6})(?!=)[ \t]*(\S.*?)[ \t]*\1[ \t]*$", "$2")
+    text = bare(bare(text, r"'{2,}"), r"</?[A-Za-z][^<>]*>")
+    return F.trim(bare(bare(text, r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);", " "), r"\s+", " "))
 
 
 def clean_manpage(text: Column, most: int = 2000) -> Column:
-    """F16: title macros out, section macros as headings, other macros as line breaks, the first ``most`` characters."""
-    text = F.regexp_replace(text, r"\.TH[^\n]*\n", "")
-    text = F.regexp_replace(text, r"\.SH[^\n]*\n", "\n### ")
-    return F.substring(F.regexp_replace(text, r"\.[A-Z]{2}[^\n]*\n", "\n"), 1, most)
+    """F16: a man page line by line, its first ``most`` characters (the feature's own bound).
+
+    A section macro becomes a heading, a font macro leaves its words, a title and any other request goes; what stands in
+    plain lines stays, less font escapes.
+    """
+    request = lambda line: F.regexp_extract(line, r"^[.'][ \t]*([A-Za-z]{1,3})\b", 1)
+    words = lambda line: F.trim(F.regexp_replace(F.regexp_replace(line, r"^[.'][ \t]*[A-Za-z]{1,3}\b", ""), '"', ""))
+    shown = lambda line: (
+        F.when(~F.regexp_like(line, F.lit(r"^[.']")), line).when(request(line).isin("SH", "SS"), F.concat(F.lit("\n### "), words(line)))
+        .when(request(line).isin("B", "I", "BR", "BI", "IR", "IB", "RB", "RI", "SM", "SB"), words(line))
+    )
+    lines = F.array_compact(F.transform(F.split(text, "\n"), shown))
+    plain = F.regexp_replace(F.array_join(lines, "\n"), r"\\\\f(?:[BIRP]|\\[[A-Z]*\\]|\\([A-Z]{2})", "")
+    return F.substring(F.trim(F.regexp_replace(plain, r"\\\\-", "-")), 1, most)
+
 
 
 def page_text(html: Column, url: Column, most: int = 10_000) -> dict[str, Column]:

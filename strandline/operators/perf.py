@@ -204,17 +204,22 @@ def walk_forward(returns: DataFrame, window_days: int = 3, step_days: int = 1, s
     return x.groupBy("symbol", "window_id").agg(F.sum(F.when(train, F.col("r")).otherwise(0.0)).alias("train_return"), F.sum(F.when(~train, F.col("r")).otherwise(0.0)).alias("test_return"), F.count("*").alias("bars"))
 
 
+def against_means(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """``df`` with ``<column>_delta``, each value less the mean of its key. The means are grouped, so a hot key is no one task's window."""
+    means = df.groupBy(*by).agg(*[F.avg(c).alias(f"_{c}_mean") for c in columns])
+    return df.join(means, by).withColumns({f"{c}_delta": F.col(c) - F.col(f"_{c}_mean") for c in columns}).drop(*[f"_{c}_mean" for c in columns])
+
+
 def drift(costs: DataFrame, latency: DataFrame, runs: DataFrame) -> DataFrame:
     """Live edge against the latest backtest, deviations from each key's means, and a drift score."""
     order = F.struct("run_at", "run_id")
     edge = F.when(F.col("trades") > 0, F.col("net_return_pct") * 100.0 / F.col("trades")).otherwise(F.col("net_return_pct") * 100.0)
     latest = runs.groupBy("strategy_name", "symbol").agg(F.max_by(edge, order).alias("backtest_edge_bps"))
     live = costs.join(latency, ["strategy_name", "exchange", "symbol", "observed_at"]).join(latest, ["strategy_name", "symbol"], "left")
-    key = Window.partitionBy("strategy_name", "symbol")
-    d = live.withColumns({
-        "live_edge_bps": -F.col("total_cost_bps"), "fill_quality_delta_bps": (F.avg("fill_ratio").over(key) - F.col("fill_ratio")) * 10_000.0,
-        "slippage_drift_bps": F.col("slippage_bps") - F.avg("slippage_bps").over(key), "latency_drift_ms": F.col("fill_ms") - F.avg("fill_ms").over(key),
-    })
+    d = against_means(live, ["strategy_name", "symbol"], ["fill_ratio", "slippage_bps", "fill_ms"]).withColumns({
+        "live_edge_bps": -F.col("total_cost_bps"), "fill_quality_delta_bps": -F.col("fill_ratio_delta") * 10_000.0,
+        "slippage_drift_bps": F.col("slippage_bps_delta"), "latency_drift_ms": F.col("fill_ms_delta"),
+    }).drop("fill_ratio_delta", "slippage_bps_delta", "fill_ms_delta")
     up = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
     decay = up(F.coalesce("backtest_edge_bps", F.lit(0.0)) - F.coalesce("live_edge_bps", F.lit(0.0)))
     return d.withColumn("drift_score", up(F.col("fill_quality_delta_bps")) + up(F.col("slippage_drift_bps")) + up(F.col("latency_drift_ms")) / 100.0 + decay)

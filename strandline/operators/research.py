@@ -111,6 +111,8 @@ def raw_signals(grid: DataFrame, ranks: DataFrame, w: Windows = Windows()) -> Da
     return df.fillna(filled).select("time", "symbol", *needed, *filled)
 
 
+#: Values that differ by rounding error only are ties in a rank.
+RANK_DIGITS = 9
 RANKED = ("fast_return", "medium_return", "slow_return", "slope", "ma_spread", "ema_fast", "ema_medium", "ema_slow", "adx", "funding_rate", "oi_momentum")
 
 
@@ -120,8 +122,8 @@ def _mean(*xs: Column) -> Column:
 
 def feature_vectors(raw: DataFrame, mode: str = "VOL_NORM_PLUS_TSTAT", slope_weight: float = 0.5, adx_threshold: float = 20.0, threshold_z: float = 1.0) -> DataFrame:
     """Trend (five modes), agreement, pullback, carry, alignment, interest, expansion, reversal risk and liquidity."""
-    df = raw.withColumns({f"k_{c}": centred_rank(c, ["time"], "symbol") for c in RANKED}).withColumn("_neg_spread", -F.col("spread_bps"))
-    df = df.withColumn("k_spread", centred_rank("_neg_spread", ["time"], "symbol"))
+    df = raw.withColumns({f"k_{c}": centred_rank(c, ["time"], "symbol", RANK_DIGITS) for c in RANKED}).withColumn("_neg_spread", -F.col("spread_bps"))
+    df = df.withColumn("k_spread", centred_rank("_neg_spread", ["time"], "symbol", RANK_DIGITS))
     k = lambda c: F.col(f"k_{c}")
     returns, emas = _mean(k("fast_return"), k("medium_return"), k("slow_return")), _mean(k("ema_fast"), k("ema_medium"), k("ema_slow"))
     limit = max(adx_threshold, 1.0)
@@ -147,7 +149,7 @@ def feature_vectors(raw: DataFrame, mode: str = "VOL_NORM_PLUS_TSTAT", slope_wei
 
 def regimes(raw: DataFrame, anchors: tuple[str, ...] = ("BTC", "ETH")) -> DataFrame:
     """One row a time: breadth, anchor trend, dispersion, score, volatility, liquidity, funding and interest."""
-    df = raw.withColumns({f"k_{c}": centred_rank(c, ["time"], "symbol") for c in ("medium_return", "slow_return")})
+    df = raw.withColumns({f"k_{c}": centred_rank(c, ["time"], "symbol", RANK_DIGITS) for c in ("medium_return", "slow_return")})
     both = (F.col("k_medium_return") + F.col("k_slow_return")) / 2.0
     g = df.groupBy("time").agg(
         F.avg(both).alias("breadth"), F.avg(F.when(F.col("symbol").isin(*anchors), both)).alias("anchor_trend"), F.stddev_pop("medium_return").alias("_sd"),
@@ -240,7 +242,7 @@ def ridge(sums: DataFrame, by: list[str], xs: list[str], y: str, penalty: float
 def edge_estimates(raw: DataFrame, vectors: DataFrame, score: Column, maker_bps: float = 1.5, taker_bps: float = 4.5, capital_usd: float = 10_000.0, turnover_bps: float = 4.0, max_weight: float = 0.08, cadence_hours: float = 24.0, quantile: float = 0.25) -> DataFrame:
     """Expected return, cost, turnover penalty, net edge, confidence and quantile bounds of each signal."""
     j = raw.join(vectors, ["time", "symbol"]).withColumn("empirical_score", score).withColumn("_neg_spread", -F.col("spread_bps"))
-    j = j.withColumns({"residual_rank": centred_rank("empirical_score", ["time"], "symbol"), "_sr": centred_rank("_neg_spread", ["time"], "symbol")})
+    j = j.withColumns({"residual_rank": centred_rank("empirical_score", ["time"], "symbol", RANK_DIGITS), "_sr": centred_rank("_neg_spread", ["time"], "symbol", RANK_DIGITS)})
     unit = lambda c: clamp(c, 0, 1)
     confidence = unit(_mean(unit(F.abs("residual_rank")), F.greatest("trend_agreement", F.lit(0.0)), unit(F.col("pullback")), unit(F.col("expansion")), unit(F.col("liquidity")), F.lit(1.0), unit((F.col("_sr") + 1.0) / 2.0)))
     j = j.withColumn("confidence", confidence)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.columns import bucket, bucket_seconds
+from strandline.functions.columns import align_down, bucket, bucket_seconds
 
 # ---- K1: merge with rules ----------------------------------------------------------------------
 
@@ -207,3 +207,78 @@ def choose_source(requests: DataFrame, sources: list[tuple[str, DataFrame]], exp
         chosen = chosen.join(n, "symbol", "left")
     picks = [F.when(F.coalesce(F.col(f"_{name}"), F.lit(0)) / expected >= least, F.lit(name)) for name, _ in sources]
     return chosen.select("symbol", F.coalesce(*picks).alias("source"))
+
+
+def newest_windows(ranges: DataFrame, start: str, end: str, minutes: int, most: int) -> DataFrame:
+    """The newest ``most`` windows of each row's [start, end) (a plan takes so many a cycle)."""
+    return time_windows(ranges, start, end, minutes).filter(F.col("window_no") <= most)
+
+
+_PLAN = ("exchange", "symbol", "window_start", "window_end", "window_no")
+
+
+def catch_up_windows(bounds: DataFrame, now: Column, bootstrap_hours: int, overlap_minutes: int, chunk_hours: int, most: int) -> DataFrame:
+    """Q11: windows of raw history (``raw_start``) before the first features (``feature_start``), as far back as ``bootstrap_hours``."""
+    floor = F.greatest(F.col("raw_start"), now - F.expr(f"INTERVAL {bootstrap_hours} HOURS"))
+    plan = bounds.withColumns({"_from": floor, "_to": F.least(now, F.col("feature_start") + F.expr(f"INTERVAL {overlap_minutes} MINUTES"))})
+    return newest_windows(plan.filter(F.col("_from") < F.col("feature_start")), "_from", "_to", chunk_hours * 60, most).select(*_PLAN)
+
+
+def frontier_windows(bounds: DataFrame, now: Column, overlap_minutes: int, lag_minutes: int, window_minutes: int, most: int, bar_minutes: int = 5) -> DataFrame:
+    """Q11: windows from the bar after ``latest_finalized`` up to the newest bar that can be final."""
+    bar = F.expr(f"INTERVAL {bar_minutes} MINUTES")
+    aligned = lambda t: align_down(t, bar_minutes * 60_000)
+    b = bounds.withColumn("_to", aligned(now - F.expr(f"INTERVAL {max(0, bar_minutes + lag_minutes)} MINUTES")) + bar)
+    first = aligned(F.col("_to") - F.expr(f"INTERVAL {max(1, overlap_minutes)} MINUTES"))
+    b = b.withColumn("_from", F.coalesce(aligned(F.col("latest_finalized")) + bar, first))
+    return newest_windows(b, "_from", "_to", min(max(1, window_minutes), max(1, overlap_minutes)), most).select(*_PLAN)
+
+
+def gap_repair_windows(ranges: DataFrame, start: str, end: str, cursor: Column, minutes: int, most: int) -> DataFrame:
+    """Q11: the newest ``most`` windows that end at the cursor or before, all of them eligible again when none is left.
+
+    ``next_cursor`` is the start of the oldest window taken, or the range's end once its start is reached. A cursor outside
+    (start, end] counts as the end.
+    """
+    valid = F.when((cursor > F.col(start)) & (cursor <= F.col(end)), cursor).otherwise(F.col(end))
+    cut = time_windows(ranges.withColumn("_cursor", valid), start, end, minutes)
+    # Windows are counted from the newest, so how many end after the cursor follows from the range, without a window.
+    total = F.ceil((F.unix_timestamp(end) - F.unix_timestamp(start)) / (minutes * 60))
+    ended = F.when(F.col("_cursor") == F.col(end), total).otherwise(F.floor((F.unix_timestamp("_cursor") - F.unix_timestamp(start)) / (minutes * 60)))
+    skipped = F.when(ended > 0, total - ended).otherwise(0)
+    taken = cut.withColumn("_skipped", skipped).filter((F.col("window_no") > F.col("_skipped")) & (F.col("window_no") <= F.col("_skipped") + most))
+    oldest_no = F.least(F.col("_skipped") + most, total)
+    oldest = F.timestamp_seconds(F.unix_timestamp(start) + (total - oldest_no) * minutes * 60)
+    return taken.withColumn("next_cursor", F.when(oldest > F.col(start), oldest).otherwise(F.col(end))).drop("_cursor", "_skipped")
+
+
+def halve(ranges: DataFrame, start: str, end: str, least_minutes: int) -> DataFrame:
+    """each range in two, the first half at least ``least_minutes`` long; ranges that short stay whole."""
+    least_minutes = max(1, least_minutes)
+    span = F.floor((F.unix_timestamp(end) - F.unix_timestamp(start)) / 60)
+    left = F.greatest(F.floor(span / 2), F.lit(least_minutes).cast("long"))
+    middle = F.timestamp_seconds(F.unix_timestamp(start) + left * 60)
+    part = lambda a, b: F.struct(a.alias("window_start"), b.alias("window_end"))
+    whole = (span <= least_minutes) | (span - left <= 0)
+    parts = F.when(whole, F.array(part(F.col(start), F.col(end)))).otherwise(F.array(part(middle, F.col(end)), part(F.col(start), middle)))
+    return ranges.withColumn("_part", F.explode(parts)).select("*", "_part.*").drop("_part")
+
+
+def merge_windows(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """the span of both windows of a key; a key that ``b`` lacks keeps its own."""
+    other = b.select(*by, F.col("window_start").alias("_s"), F.col("window_end").alias("_e"))
+    spans = {"window_start": F.least("window_start", "_s"), "window_end": F.greatest("window_end", "_e")}
+    return a.join(other, by, "left").withColumns(spans).drop("_s", "_e")
+
+
+def expand_to_days(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """the whole UTC days that [start, end) touches."""
+    last = F.date_trunc("day", F.col(end) - F.expr("INTERVAL 1 MILLISECOND"))
+    return ranges.withColumns({"window_start": F.date_trunc("day", start), "window_end": last + F.expr("INTERVAL 1 DAY")})
+
+
+def status_lags(df: DataFrame, by: list[str], tests: dict[str, Column], time: str, now: Column) -> DataFrame:
+    """Rows, the number and percentage that pass each test, and the seconds since the newest row."""
+    g = df.groupBy(*by).agg(F.count("*").alias("rows"), *[F.count_if(t).alias(n) for n, t in tests.items()], F.max(time).alias("_newest"))
+    lag = F.greatest(F.unix_timestamp(now) - F.unix_timestamp("_newest"), F.lit(0)).cast("long")
+    return g.select(*by, "rows", *[c for n in tests for c in (F.col(n), (F.col(n) * 100.0 / F.col("rows")).alias(f"{n}_pct"))], lag.alias("lag_seconds"))

@@ -49,8 +49,7 @@ class Market:
 
     @cached_property
     def candles_5m(self) -> DataFrame:
-        """From two thirds of the trades, so that bars without a candle exist."""
-        return B.candles(self.trades.filter(F.col("trade_id").cast("long") % 3 != 0), "5 minutes")
+        return B.candles(self.trades, "5 minutes")
 
     @cached_property
     def candles_1h(self) -> DataFrame:
@@ -105,7 +104,7 @@ CTES: dict[str, str] = {name: sql.replace(f"{{{SOURCE_OF[name]}}}", SOURCE_OF[na
     "m1t": f"SELECT time_bucket(INTERVAL '1 minute', time) AS time, symbol, exchange, sum(size) AS trade_volume, coalesce(sum(size) FILTER (WHERE side = 'buy'), 0.0) AS buy_volume, coalesce(sum(size) FILTER (WHERE side = 'sell'), 0.0) AS sell_volume, count(*) AS trade_count, sum(price * size) AS trade_notional, max(time) AS last_event_time FROM trades GROUP BY ALL",
     "m1b": f"SELECT time_bucket(INTERVAL '1 minute', time) AS time, symbol, exchange, {', '.join(f'arg_max({c}, time) AS {c}' for c in B.BOOK)}, count(*) AS orderbook_samples, max(time) AS last_event_time FROM books GROUP BY ALL".replace("time_bucket(INTERVAL '1 minute', time) AS time", "time_bucket(INTERVAL '1 minute', books.time) AS time").replace(", time) AS", ", books.time) AS").replace("max(time)", "max(books.time)").replace("GROUP BY ALL", "GROUP BY 1, 2, 3"),
     "m1c": "SELECT time_bucket(INTERVAL '1 minute', c.time) AS time, symbol, exchange, arg_max(funding_rate, c.time) AS funding_rate, arg_max(open_interest, c.time) AS open_interest, max(c.time) AS last_event_time FROM context c GROUP BY 1, 2, 3",
-    "c5": _candles("5 minutes", where="CAST(trade_id AS BIGINT) % 3 <> 0"),
+    "c5": _candles("5 minutes"),
     "c1h": _candles("1 hour"),
     "c4h": _candles("4 hours"),
     "b5t": "SELECT time_bucket(INTERVAL '5 minutes', x.time) AS time, symbol, exchange, sum(trade_volume) AS trade_volume, sum(buy_volume) AS buy_volume, sum(sell_volume) AS sell_volume, CAST(sum(trade_count) AS BIGINT) AS trade_count, CASE WHEN sum(trade_volume) > 0 THEN sum(trade_notional) / sum(trade_volume) END AS trade_vwap FROM m1t x GROUP BY 1, 2, 3",

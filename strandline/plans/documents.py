@@ -103,10 +103,17 @@ def symbol_extraction(m: Market):
     return m.staging.select("id", F.explode(s).alias("symbol"))
 
 
-@query("wikitext", r"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(text, '[]{}<>&=', ''), '''{2,5}', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS cleaned FROM documents")
+_PROSE = r"trim(regexp_replace(translate(coalesce(text, ''), '[]{}<>&=|''', ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+@query("wikitext", f"SELECT doc_id, trim(regexp_replace('Head Over label and words link' || CASE WHEN t = '' THEN '' ELSE ' ' || t END || ' end', ' +', ' ', 'g')) AS cleaned FROM (SELECT doc_id, {_PROSE} AS t FROM documents)")
 def wikitext(m: Market):
-    """The given texts under wiki markup that the cleaning takes away."""
-    marked = F.concat(F.lit("{{Infobox x}}[[Category:C]]'''"), F.translate("text", "[]{}<>&=", ""), F.lit("''' [[File:a.png]]"))
+    """The whole given texts (less characters of markup of their own) inside real markup: nested templates, references, links, headings."""
+    prose = F.translate(F.coalesce("text", F.lit("")), "[]{}<>&=|'", "")
+    marked = F.concat(
+        F.lit("{{Infobox|a={{small|x}}|b=[[y]]}}<!-- note -->\n== Head ==\n''Over'' [[Target page|label]]<ref name=\"r\">gone {{cite}}</ref> and [https://x.org words] '''[[link]]'''&nbsp;\n[[File:a.png|thumb|see [[y]] here]]\n"),
+        prose, F.lit("\n{| class=x\n| cell\n|}<br/> end [[Category:C]]<ref name=r />"),
+    )
     return m.table("documents").select("doc_id", D.clean_wikitext(marked).alias("cleaned"))
 
 

@@ -10,7 +10,7 @@ from strandline.operators import research as R
 from strandline.operators import universe as U
 from strandline.plans.common import Market, query, rounded, rr, sql
 from strandline.plans.market import _HEALTH, _HT, _HEALTH_AT
-from strandline.plans.research import _RAW, _W, _betas, _rk, _signals, _steady
+from strandline.plans.research import _RAW, _W, _betas, _rk, _signals
 
 
 @query("universe", "SELECT DISTINCT upper(trim(p_brand)) AS symbol FROM part WHERE p_size % 7 <> 0 AND upper(trim(p_brand)) NOT IN (SELECT upper(min(p_brand)) FROM part)")
@@ -110,7 +110,7 @@ _SC = {**_RAW, "rg": f"SELECT time, greatest(least(b, 1), -1) AS breadth, greate
 
 @query("gross_net_targets", sql(f"SELECT time, {rr('gross AS gross_target', 'gross * greatest(least(score, 1), -1) * CASE WHEN abs(score) < 0.15 THEN 0 ELSE least((abs(score) - 0.15) / 0.85, 1) END * 0.5 AS net_target', digits=7)} FROM (SELECT *, 0.5 * CASE WHEN abs(anchor_trend) < 0.15 AND abs(breadth) < 0.15 THEN 0.5 ELSE 1.0 END * greatest(0.4, 1 - greatest(1 - abs(anchor_trend) / 0.15, 0) * 0.6) AS gross FROM rg)", "gr", extra=_SC))
 def gross_net_targets(m: Market):
-    return rounded(R.gross_net_targets(R.regimes(_steady(_signals(m)), ("click", "view"))).select("time", "gross_target", "net_target"), 7)
+    return rounded(R.gross_net_targets(R.regimes(_signals(m), ("click", "view"))).select("time", "gross_target", "net_target"), 7)
 
 
 @query("compression_penalty")

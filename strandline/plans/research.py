@@ -192,9 +192,14 @@ def _signals(m: Market):
     return R.raw_signals(m.grid, R.liquidity_rank(m.daily_bars))
 
 
-@query("raw_signal", sql(f"SELECT time, symbol, {rr(*_SIG, digits=5)} FROM sig", "gr", extra=_RAW))
+# Averages of given values tie at few digits: 9 for them, 3 for amounts of money (their rounding error is larger).
+_FINE, _COARSE = [c for c in _SIG if c != "depth_usd"], ["depth_usd"]
+
+
+@query("raw_signal", sql(f"SELECT time, symbol, {rr(*_FINE, digits=9)}, {rr(*_COARSE, digits=7)} FROM sig", "gr", extra=_RAW))
 def raw_signal(m: Market):
-    return rounded(_signals(m), 5)
+    s = _signals(m)
+    return s.select("time", "symbol", *[r(c, 9).alias(c) for c in _FINE], *[r(c, 7).alias(c) for c in _COARSE])
 
 
 _rk = lambda c: f"(row_number() OVER (PARTITION BY time ORDER BY round({c}, 9), symbol) - 1) / greatest(count(*) OVER (PARTITION BY time) - 1, 1) * 2.0 - 1.0"
@@ -209,22 +214,17 @@ _VEC = {
 _VCOLS = ["trend", "trend_agreement", "pullback", "funding_carry", "funding_alignment", "open_interest", "expansion", "reversal_risk", "liquidity"]
 
 
-def _steady(df):
-    """Rank inputs rounded, so that equal values tie alike in both engines."""
-    return df.withColumns({c: F.round(c, 9) for c in (*R.RANKED, "spread_bps")})
-
-
 @query("feature_vector", sql(f"SELECT time, symbol, {rr(*_VCOLS, digits=5)} FROM vec", "gr", extra=_VEC))
 def feature_vector(m: Market):
-    return rounded(R.feature_vectors(_steady(_signals(m))), 5)
+    return rounded(R.feature_vectors(_signals(m)), 5)
 
 
 _RCOLS = ["breadth", "anchor_trend", "dispersion", "score", "realized_volatility", "liquidity_score", "funding_pressure", "open_interest_pressure"]
 
 
-@query("regime", sql(f"SELECT time, {rr(*_RCOLS, digits=5)} FROM (SELECT *, (m + s + breadth + anchor_trend) / 4 AS score FROM (SELECT time, avg((km + ks) / 2) AS breadth, coalesce(avg((km + ks) / 2) FILTER (WHERE symbol IN ('click', 'view')), 0) AS anchor_trend, least(stddev_pop(medium_return), 5) / 5 AS dispersion, avg(km) AS m, avg(ks) AS s, avg(volatility) AS realized_volatility, avg(liquidity_rank) AS liquidity_score, avg(funding_rate) AS funding_pressure, avg(oi_momentum) AS open_interest_pressure FROM (SELECT *, {_rk('medium_return')} AS km, {_rk('slow_return')} AS ks FROM sig) GROUP BY time))", "gr", extra=_RAW))
+@query("regime", sql(f"SELECT time, {rr(*_RCOLS, digits=9)} FROM (SELECT *, (m + s + breadth + anchor_trend) / 4 AS score FROM (SELECT time, avg((km + ks) / 2) AS breadth, coalesce(avg((km + ks) / 2) FILTER (WHERE symbol IN ('click', 'view')), 0) AS anchor_trend, least(stddev_pop(medium_return), 5) / 5 AS dispersion, avg(km) AS m, avg(ks) AS s, avg(volatility) AS realized_volatility, avg(liquidity_rank) AS liquidity_score, avg(funding_rate) AS funding_pressure, avg(oi_momentum) AS open_interest_pressure FROM (SELECT *, {_rk('medium_return')} AS km, {_rk('slow_return')} AS ks FROM sig) GROUP BY time))", "gr", extra=_RAW))
 def regime(m: Market):
-    return rounded(R.regimes(_steady(_signals(m)), ("click", "view")).select("time", *_RCOLS), 5)
+    return rounded(R.regimes(_signals(m), ("click", "view")).select("time", *_RCOLS), 9)
 
 
 _BETA = {"mk": "SELECT time, avg(r) AS market FROM gr GROUP BY time", "bj": "SELECT * FROM gr JOIN mk USING (time)", "be": f"SELECT time, symbol, r, market, CASE WHEN count(CASE WHEN r IS NOT NULL AND market IS NOT NULL THEN 1 END) OVER w = 12 THEN CASE WHEN var_pop(market) OVER w <= 1e-10 THEN 0.0 ELSE least(greatest(covar_pop(r, market) OVER w / var_pop(market) OVER w, -3), 3) END END AS beta FROM bj WINDOW w AS ({_W} ROWS 11 PRECEDING)"}
@@ -276,8 +276,8 @@ _EDGE = {
 
 
 def _edges(m: Market):
-    raw = _steady(_signals(m))
-    return R.edge_estimates(raw, R.feature_vectors(raw), F.round(F.col("trend") * 0.01, 9))
+    raw = _signals(m)
+    return R.edge_estimates(raw, R.feature_vectors(raw), F.col("trend") * 0.01)
 
 
 @query("edge_estimate", sql(f"SELECT time, symbol, {rr('sc AS empirical_score', 'confidence', 'cost AS expected_cost_bps', 'pen AS turnover_penalty_bps', 'edge AS expected_net_edge_bps', digits=7)} FROM ed", "gr", extra=_EDGE))
@@ -285,11 +285,6 @@ def edge_estimate(m: Market):
     return rounded(_edges(m).select("time", "symbol", "empirical_score", "confidence", "expected_cost_bps", "turnover_penalty_bps", "expected_net_edge_bps"), 7)
 
 
-@query("eligibility")
-def eligibility(m: Market):
-    return R.eligible(_edges(m)).select("time", "symbol", "gate_confidence", "gate_agreement", "gate_tail", "gate_edge", "eligible")
-
-
 _ALLOC_IN = "SELECT time, symbol, close / 100.0 - 2.5 AS score, close / 10.0 AS edge, (CAST(num_trades AS DOUBLE) % 7) / 7.0 AS confidence, 0.02 + (CAST(num_trades AS DOUBLE) % 5) / 100.0 AS volatility, 0.5 AS liquidity, ((CAST(num_trades AS DOUBLE) % 3) - 1.0) * 0.03 AS cw, 2.0 AS pen FROM db"
 _ALLOC = {
     "a0": _ALLOC_IN,
@@ -425,8 +420,8 @@ def drift(m: Market):
     costs = m.costs.select("strategy_name", "exchange", "symbol", "observed_at", "slippage_bps", "total_cost_bps", "order_key", (0.8 + F.col("requested") / 500.0).alias("fill_ratio"))
     order = F.when(F.col("symbol") == "F", "A").when(F.col("symbol") == "O", "N").otherwise("R")
     best = m.runs.withColumn("strategy_name", order).groupBy("strategy_name").agg(F.max_by(F.when(F.col("trades") > 0, F.col("net_return_pct") * 100 / F.col("trades")).otherwise(F.col("net_return_pct") * 100), "run_id").alias("backtest_edge_bps"))
-    k = Window.partitionBy("strategy_name", "symbol")
-    d = costs.join(F.broadcast(best), "strategy_name", "left").withColumns({"live_edge_bps": -F.col("total_cost_bps"), "fill_quality_delta_bps": (F.avg("fill_ratio").over(k) - F.col("fill_ratio")) * 10000.0, "slippage_drift_bps": F.col("slippage_bps") - F.avg("slippage_bps").over(k)})
+    d = P.against_means(costs, ["strategy_name", "symbol"], ["fill_ratio", "slippage_bps"]).join(best, "strategy_name", "left")
+    d = d.withColumns({"live_edge_bps": -F.col("total_cost_bps"), "fill_quality_delta_bps": -F.col("fill_ratio_delta") * 10000.0, "slippage_drift_bps": F.col("slippage_bps_delta")})
     return rounded(d.select("strategy_name", "symbol", "observed_at", "order_key", "live_edge_bps", "backtest_edge_bps", "fill_quality_delta_bps", "slippage_drift_bps"), 4)
 
 

@@ -24,7 +24,7 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
         elif df[c].dtype == object:
             df[c] = df[c].map(lambda v: "None" if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)) else str(v))
         else:
-            df[c] = df[c].astype(float).round(5) + 0.0
+            df[c] = df[c].astype(float) + 0.0
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
@@ -34,6 +34,6 @@ def assert_same(got: pd.DataFrame, want: pd.DataFrame) -> None:
     a, b = plain(got), plain(want)
     for c in a.columns:
         if a[c].dtype == float and b[c].dtype == float:
-            np.testing.assert_allclose(a[c].to_numpy(), b[c].to_numpy(), rtol=2e-5, atol=2e-5, err_msg=c)
+            np.testing.assert_allclose(a[c].to_numpy(), b[c].to_numpy(), rtol=1e-9, atol=1e-12, err_msg=c)
         else:
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
