@@ -2,8 +2,8 @@
 
 ``write_archives`` puts every page into gzip-per-record WARC segments in the shared folder. ``build_index`` sorts the
 captures by reversed-host URL key and writes index files: compressed blocks of ``BLOCK`` captures, then a sparse directory
-of the blocks (first key, offset, size), then the directory's place. ``lookup`` finds the index files that can hold a
-key from their key ranges, binary-searches the directory of each, reads and searches the blocks, and ``read_records``
+of the blocks (first key, offset, size), then the directory's place. ``lookup`` binary-searches the
+files' key ranges and the directory of each file found, reads and searches the blocks, and ``read_records``
 reads exactly the byte ranges of the captures found.
 
 Files are opened through ``pyarrow.fs`` by URI, so the folder can be on any store that it knows. A task that is run twice
@@ -23,7 +23,6 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -151,19 +150,40 @@ def build_index(captures: DataFrame, folder: str | None = None, block: int = BLO
     return materialize(ordered.mapInArrow(run, "file string, first_key string, last_key string, directory_at long, captures long"), "cdx-files")
 
 
-def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """The captures of each of ``keys`` (key): two range-limited binary searches per key and index file, then block reads.
+def _route(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """(key, cdx): each key with the index files whose key range holds it.
 
-    A key is sent to the files whose key range holds it. Files follow one another in key order, so this is a join of the
-    keys with the file list under a range condition; the list has one row per index file (a few hundred thousand
-    captures each at production size) and is broadcast in blocks of about ``MAX_FILES`` rows.
+    Files follow one another in key order, so a task finds the first one by binary search in the sorted ranges and goes on
+    while ranges still hold the key. The list has one row per index file (a few hundred thousand captures each at production
+    size); it goes to the tasks in blocks of at most ``MAX_FILES`` rows, one pass over the keys each.
     """
-    keys = keys.select("key").distinct()
-    files = index.select(F.col("file").alias("cdx"), "first_key", "last_key")
-    held = (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))
+    context, files = keys.sparkSession.sparkContext, index.select("first_key", "last_key", "file")
     blocks = -(-index.count() // MAX_FILES) or 1
-    parts = [files.filter(F.pmod(F.xxhash64("cdx"), F.lit(blocks)) == b) if blocks > 1 else files for b in range(blocks)]
-    routed = reduce(DataFrame.unionByName, [keys.join(F.broadcast(part), held) for part in parts])
+    out = None
+    for b in range(blocks):
+        part = files.filter(F.pmod(F.xxhash64("file"), F.lit(blocks)) == b) if blocks > 1 else files
+        # Ordered by the last key: the first file that can hold a key is the first whose last key isn't before it.
+        known = context.broadcast(sorted((r["last_key"], r["first_key"], r["file"]) for r in part.collect()))
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            ranges = known.value
+            for batch in batches:
+                rows = []
+                for key in batch.column(0).to_pylist():
+                    at = bisect.bisect_left(ranges, (key,))
+                    while at < len(ranges) and ranges[at][1] <= key:
+                        rows.append((key, ranges[at][2]))
+                        at += 1
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.string())], ["key", "cdx"])
+
+        found = keys.mapInArrow(run, "key string, cdx string")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The captures of each of ``keys`` (key): a binary search for the index file, one in its directory, then block reads."""
+    routed = _route(keys.select("key").filter("key IS NOT NULL").distinct(), index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, source, directory, firsts, held_at, held_block = "", None, [], [], -1, []
@@ -188,20 +208,25 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
                         rows.append(held_block[i])
                         i += 1
                     k += 1
-                if len(rows) >= 10_000:
-                    yield _captures(rows)
-                    rows = []
+                    if len(rows) >= 10_000:  # a block at most above that, however many captures a key has
+                        yield _captures(rows)
+                        rows = []
             if rows:
                 yield _captures(rows)
         if source is not None:
             source.close()
 
-    return routed.select("key", "cdx").repartition("cdx").sortWithinPartitions("cdx", "key").mapInArrow(run, CAPTURES)
+    # By number, so that light rows aren't put together: a task's work is the blocks that it reads.
+    return routed.repartition(_tasks(routed), "cdx").sortWithinPartitions("cdx", "key").mapInArrow(run, CAPTURES)
 
 
 MAX_FILES = 50_000
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _captures(rows: list) -> pa.RecordBatch:
     key, page_id, file, at, size = (pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())))
     return pa.RecordBatch.from_arrays([page_id, key, file, at, size], ["page_id", "key", "file", "at", "size"])
@@ -253,4 +278,4 @@ def read_records(captures: DataFrame, payload: bool = True) -> DataFrame:
 
     types = {pa.int64(): "long", pa.string(): "string"}
     segment = F.floor(F.col("at") / (4 << 20))  # parts of a segment can go to different tasks
-    return captures.repartition("file", segment).sortWithinPartitions("file", "at").select("file", "at", "size").mapInArrow(run, ", ".join(f"{n} {types[_FIELDS[n]]}" for n in names))
+    return captures.repartition(_tasks(captures), "file", segment).sortWithinPartitions("file", "at").select("file", "at", "size").mapInArrow(run, ", ".join(f"{n} {types[_FIELDS[n]]}" for n in names))
