@@ -40,6 +40,7 @@ BITS = 2
 AGREE = 0.45  # share of equal positions that the embedding leaves at the edit bound
 RECALL = 0.999
 BLOCK_ITEMS = 20_000
+SLICE = 2_048  # windows embedded at a time
 _TABLE = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -162,6 +163,31 @@ class Benchmark:
                 out[k] = found
         return out
 
+    def _verify(self, n: int, group: list[tuple[int, int, np.ndarray, np.ndarray]], best: dict) -> None:
+        """Embed the windows of ``n`` words of ``group`` (text, item, hashes, starts) and verify those that meet their item."""
+        windows = np.concatenate([h[at[:, None] + np.arange(n)] for _, _, h, at in group])
+        owner = np.repeat(np.arange(len(group)), [len(at) for *_, at in group])
+        begins = np.concatenate([at for *_, at in group])
+        met = np.zeros(len(windows), bool)
+        lengths = np.array([len(self.items[k].words) for _, k, *_ in group])
+        for size in set(lengths.tolist()):
+            rows = np.flatnonzero(lengths[owner] == size)
+            for seed in range(WALKS):
+                at = sampled(size, seed, self.keys)
+                own = walk(windows[rows], seed, int(at.max()) + 1)[:, at]
+                theirs = np.stack([self.sketch(k, seed) for _, k, *_ in group])
+                met[rows] |= (own == theirs[owner[rows]]).all(axis=2).any(axis=1)
+        for r in np.flatnonzero(met).tolist():
+            i, k, *_ = group[owner[r]]
+            item = self.items[k]
+            had = best.get((i, k), (item.edits + 1, 0, 0))
+            if had[0] == 0:
+                continue  # an exact copy, and starts only grow within a text and item
+            exact = n == len(item.words) and bool((windows[r] == item.words).all())
+            d = 0 if exact else edit_distance(item.words.tolist(), windows[r].tolist())
+            if d <= item.edits and (d, begins[r]) < had[:2]:
+                best[i, k] = d, int(begins[r]), n
+
     def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item_id, start, words, edits): the closest window of each item that contaminates a text."""
         known = WordHash(3)
@@ -174,31 +200,18 @@ class Benchmark:
                     if len(self.items[k].words) - n <= self.items[k].edits:
                         jobs[n].append((i, k, h, at))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        pending: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # at most twice ``SLICE`` windows are embedded at a time
         for n, group in jobs.items():
-            windows = np.concatenate([h[at[:, None] + np.arange(n)] for _, _, h, at in group])
-            owner = np.repeat(np.arange(len(group)), [len(at) for *_, at in group])
-            begins = np.concatenate([at for *_, at in group])
-            met = np.zeros(len(windows), bool)
-            sizes = {len(self.items[k].words) for _, k, *_ in group}
-            for size in sizes:
-                rows = np.flatnonzero(np.array([len(self.items[group[o][1]].words) == size for o in owner]))
-                for seed in range(WALKS):
-                    at = sampled(size, seed, self.keys)
-                    own = walk(windows[rows], seed, int(at.max()) + 1)
-                    for lo in range(0, len(rows), 4096):
-                        part = rows[lo : lo + 4096]
-                        theirs = np.stack([self.sketch(group[o][1], seed) for o in owner[part]])
-                        met[part] |= (own[lo : lo + 4096][:, at] == theirs).all(axis=2).any(axis=1)
-            for r in np.flatnonzero(met).tolist():
-                i, k, *_ = group[owner[r]]
-                item = self.items[k]
-                had = best.get((i, k), (item.edits + 1, 0, 0))
-                if had[0] == 0:
-                    continue  # an exact copy, and starts only grow within a size
-                exact = n == len(item.words) and bool((windows[r] == item.words).all())
-                d = 0 if exact else edit_distance(item.words.tolist(), windows[r].tolist())
-                if d <= item.edits and (d, begins[r]) < had[:2]:
-                    best[i, k] = d, int(begins[r]), n
+            held = 0
+            for i, k, h, at in ((i, k, h, at[lo : lo + SLICE]) for i, k, h, at in group for lo in range(0, len(at), SLICE)):
+                pending.append((i, k, h, at))
+                held += len(at)
+                if held >= SLICE:
+                    self._verify(n, pending, best)
+                    pending, held = [], 0
+            if pending:
+                self._verify(n, pending, best)
+                pending = []
         for (i, k), (d, start, n) in sorted(best.items()):
             yield i, self.items[k].item_id, start, n, d
 
