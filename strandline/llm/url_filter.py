@@ -2,8 +2,11 @@
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains, the longest fitting rule decides. URLs
 without a rule are judged by gradient-boosted trees on length, depth, digit ratio, entropy, parameter counts, host shape
-and suffix statistics, trained from labelled URLs. The trees are fitted on at most about ``TRAIN_ROWS`` labelled rows,
-chosen by a hash of the URL; every URL is judged.
+and suffix statistics, trained from labelled URLs. Suffix statistics (rate and number of positive labels by the host's
+last label) are counted over all labelled rows. Only the fit of the trees uses a sample: at most ``TRAIN_ROWS`` distinct
+labelled URLs, up to half of them of each label, those of the smallest hash, so copies of one URL count once and a rare
+label isn't lost. The rate that a training row sees is that of the other ``FOLDS`` - 1 folds of URLs, never its own label.
+Every URL is judged.
 
 ``seed_labels`` gives labels where none are at hand: URLs whose host holds a word of ``SEED_WORDS`` are positive, the
 others negative. The words themselves are not features, so what is learned is the shape of such addresses.
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import materialize, pick
 
 TRAIN_ROWS = 20_000
+FOLDS = 5
 TREES = 20
 DEPTH = 4
 SEED = 42
@@ -111,43 +115,62 @@ def seed_labels(urls: DataFrame) -> DataFrame:
     return urls.select("url", F.arrays_overlap(words, F.array(*[F.lit(w) for w in SEED_WORDS])).cast("double").alias("label"))
 
 
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(7)), F.lit(FOLDS))
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, fold, ones, rows) over all labelled rows."""
+    held = labelled.select(F.substring_index(host_of(F.col("url")), ".", -1).alias("suffix"), _fold(F.col("url")).alias("fold"), "label")
+    return held.groupBy("suffix", "fold").agg(F.sum("label").alias("ones"), F.count("*").alias("rows"))
+
+
+def _rate(ones: Column, rows: Column) -> Column:
+    """The rate of positives with one row of the average added; no row gives the average."""
+    return (ones + F.col("base")) / (rows + 1)
+
+
 @dataclass
 class Judge:
-    """Fitted trees and the suffix statistics that they were fitted with (no more suffixes than training rows)."""
+    """Fitted trees and the suffix statistics (suffix, suffix_rate, suffix_count) of all labelled rows."""
 
     model: GBTClassificationModel | None
-    suffixes: dict[str, tuple[float, float]]
-
-    def _vectors(self, made: DataFrame) -> DataFrame:
-        if self.suffixes:
-            items = [F.lit(x) for k, v in self.suffixes.items() for x in (k, v[0])]
-            logs = [F.lit(x) for k, v in self.suffixes.items() for x in (k, v[1])]
-            rate, size = F.create_map(*items)[F.col("suffix")], F.create_map(*logs)[F.col("suffix")]
-        else:
-            rate, size = F.lit(None).cast("double"), F.lit(None).cast("double")
-        made = made.withColumns({"suffix_rate": F.coalesce(rate, F.lit(-1.0)), "suffix_count": F.coalesce(size, F.lit(0.0))})
-        return VectorAssembler(inputCols=[*FEATURES, "suffix_rate", "suffix_count"], outputCol="vector").transform(made)
+    suffixes: DataFrame
+    base: float
 
     def judge(self, made: DataFrame) -> DataFrame:
-        """``made`` (from ``features``) with ``blocked``."""
+        """``made`` (from ``features``) with ``blocked``. Suffixes are joined by key: few of them are broadcast, many are shuffled."""
         if self.model is None:
             return made.withColumn("blocked", F.lit(False))
-        return self.model.transform(self._vectors(made)).withColumn("blocked", F.col("prediction") == 1.0)
-
-
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, suffixes: int = 1000) -> Judge:
-    """Trees from labelled URLs (url, label 0 or 1), on about ``rows`` of them at most."""
-    labelled = pick(labelled, ["url", "label"]).filter("url IS NOT NULL AND label IS NOT NULL")
-    share = min(1.0, rows / max(1, labelled.count()))
-    chosen = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else labelled
-    made = materialize(features(chosen, ["url", "label"]), "url-features")
-    # At most ``suffixes`` rows of counts: rarer ones share the default.
-    stats = made.groupBy("suffix").agg(F.avg("label").alias("rate"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(suffixes).collect()
-    judge = Judge(None, {r["suffix"]: (float(r["rate"]), math.log1p(r["n"])) for r in stats})
+        known = made.join(self.suffixes, "suffix", "left")
+        known = known.withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(self.base)), "suffix_count": F.coalesce("suffix_count", F.lit(0.0))})
+        return self.model.transform(_vectors(known)).withColumn("blocked", F.col("prediction") == 1.0)
+
+
+def _vectors(made: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=[*FEATURES, "suffix_rate", "suffix_count"], outputCol="vector").transform(made)
+
+
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Judge:
+    """Trees from labelled URLs (url, label 0 or 1), fitted on at most ``rows`` distinct ones; statistics over all."""
+    labelled = pick(labelled, ["url", "label"]).filter("url IS NOT NULL AND label IS NOT NULL").select("url", F.col("label").cast("double").alias("label"))
+    counts = materialize(suffix_counts(labelled), "suffix-counts")
+    total = counts.agg(F.coalesce(F.sum("ones"), F.lit(0.0)).alias("ones"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    base = total["ones"] / total["rows"] if total["rows"] else 0.0
+    whole = counts.groupBy("suffix").agg(F.sum("ones").alias("all_ones"), F.sum("rows").alias("all_rows")).withColumn("base", F.lit(base))
+    statistics = whole.select("suffix", _rate(F.col("all_ones"), F.col("all_rows")).alias("suffix_rate"), F.log1p("all_rows").alias("suffix_count"))
+    judge = Judge(None, materialize(statistics, "suffix-statistics"), base)
+    distinct = labelled.distinct()
+    parts = [distinct.filter(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(rows // 2) for y in (0.0, 1.0)]
+    made = features(materialize(parts[0].union(parts[1]), "url-sample"), ["url", "label"]).withColumn("fold", _fold(F.col("url")))
+    made = made.join(whole, "suffix").join(counts, ["suffix", "fold"])
+    others = F.col("all_rows") - F.col("rows")
+    made = made.withColumns({"suffix_rate": _rate(F.col("all_ones") - F.col("ones"), others), "suffix_count": F.log1p(others)})
+    made = materialize(made.select("label", *FEATURES, "suffix_rate", "suffix_count"), "url-features")
     if made.select("label").distinct().count() < 2:
         return judge
     trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED, checkpointInterval=-1)
-    judge.model = trees.fit(judge._vectors(made).select("vector", "label").coalesce(4))
+    judge.model = trees.fit(_vectors(made).select("vector", "label").coalesce(4))
     return judge
 
 
