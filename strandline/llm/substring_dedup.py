@@ -32,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BASE_A, BASE_B, WordHash, materialize, mix, pick, window_hash
+from strandline.llm.common import BASE_A, BASE_B, WordHash, fresh, materialize, mix, pick, window_hash
 
 WINDOW = 50
 K = 20
@@ -160,6 +160,8 @@ def remove(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     def kept(text, ranges):
         return text.combine(ranges, lambda t, r: _kept((t or "").encode(), list(r), window)[1].decode())
 
-    keyed = _keyed(docs, "_row")
-    cut = keyed.join(found.withColumnRenamed("row", "_row"), ["doc_id", "_row"], "left")
-    return cut.withColumn("text", F.when(F.col("ranges").isNull(), F.col("text")).otherwise(kept("text", F.coalesce("ranges", F.array().cast("array<struct<lo:int,hi:int>>"))))).select(*docs.columns)
+    id_, row, ranges, key = fresh(docs, "id", "row", "ranges", "key")
+    found = found.select(F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("ranges").alias(ranges))
+    cut = _keyed(docs, key).join(found.hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.col(key) == F.col(row)), "left")
+    changed = kept("text", F.coalesce(ranges, F.array().cast("array<struct<lo:int,hi:int>>")))
+    return cut.withColumn("text", F.when(F.col(ranges).isNull(), F.col("text")).otherwise(changed)).select(*docs.columns)
