@@ -59,9 +59,15 @@ _DAILY = {
 }
 
 
-@query("panel_daily", sql(f"SELECT {_PDX}, {rr(*_PD)} FROM pd", "c4h", "b5", "context", extra=_DAILY))
+def _twice(columns: list[str]) -> list[str]:
+    """To nine digits first, so that averages that end in a tie round alike in both engines."""
+    parts = [c.rpartition(" AS ") for c in columns]
+    return [f"round({e or n}, 9) AS {n}" for e, _, n in parts]
+
+
+@query("panel_daily", sql(f"SELECT {_PDX}, {rr(*_twice(_PD))} FROM pd", "c4h", "b5", "context", extra=_DAILY))
 def panel_daily(m: Market):
-    return rounded(m.panel_daily)
+    return rounded(rounded(m.panel_daily, 9))
 
 
 @query("panel_rebucket", sql(f"SELECT time_bucket(INTERVAL '30 minutes', x.time) AS time, symbol, exchange, {rr('arg_min(open, x.time) AS open', 'max(high) AS high', 'min(low) AS low', 'arg_max(close, x.time) AS close', 'sum(volume) AS volume', 'avg(spread) AS spread', 'avg(funding_rate) AS funding_rate', 'avg(open_interest) AS open_interest')}, count(*) AS bars FROM b5 x WHERE is_finalized GROUP BY 1, 2, 3", "b5"))

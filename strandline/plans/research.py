@@ -441,9 +441,9 @@ def exec_baseline(m: Market):
     return rounded(C.execution_baseline(m.costs.withColumn("metadata", fill), m.runs.filter("false")).drop("backtest_edge_bps"))
 
 
-@query("monthly_runs", sql(f"SELECT date_trunc('month', run_at) AS month, count(*) AS runs, {rr('avg(net_return_pct) AS avg_return_pct', 'median(net_return_pct) AS median_return_pct', 'max(max_drawdown_pct) AS worst_drawdown_pct')} FROM runs GROUP BY 1", "runs"))
+@query("monthly_runs", sql(f"SELECT date_trunc('month', run_at) AS month, count(*) AS runs, {rr('avg(net_return_pct) AS avg_return_pct', 'median(net_return_pct) AS median_return_pct', 'max(max_drawdown_pct) AS worst_drawdown_pct', digits=9)} FROM runs GROUP BY 1", "runs"))
 def monthly_runs(m: Market):
-    return rounded(C.monthly_runs(m.runs))
+    return rounded(C.monthly_runs(m.runs), 9)
 
 
 @query("walk_forward_seed", sql(f'SELECT strategy_name, symbol, min(run_at) AS start, max(run_at) AS "end", count(*) AS runs, {rr("avg(net_return_pct) AS avg_return_pct")} FROM runs GROUP BY 1, 2 ORDER BY max(run_at) DESC, 1, 2 LIMIT 40', "runs"))
