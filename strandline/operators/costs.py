@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.columns import clamp, floor_quantile, safe_divide
+from strandline.functions.columns import clamp, safe_divide
+from strandline.operators.ordering import floor_quantiles
 
 # ---- reports -------------------------------------------------------------------------------------
 
@@ -38,8 +39,9 @@ def walk_forward_seed(runs: DataFrame, newest: int = 40) -> DataFrame:
 def fills_summary(fills: DataFrame, by: list[str], floor: float = 0.85, slip_bps: float = 8.0, latency_ms: int = 1500) -> DataFrame:
     """Fill ratio, slippage by direction, fee, p50 and p95 latency by floor index (T4), and alerts."""
     raw = F.when(F.col("direction") == "LONG", F.col("executed_price") / F.col("expected_price") - 1.0).otherwise(F.col("expected_price") / F.col("executed_price") - 1.0) * 10_000.0
-    g = fills.groupBy(*by).agg((F.sum(F.abs("filled")) / F.greatest(F.sum(F.abs("planned")), F.lit(1e-4))).alias("fill_ratio"), F.avg(raw).alias("avg_slippage_bps"), F.avg("fee_bps").alias("fee_bps"), F.collect_list("latency_ms").alias("_l"))
-    g = g.withColumns({"latency_p50_ms": floor_quantile(F.col("_l"), 0.5), "latency_p95_ms": floor_quantile(F.col("_l"), 0.95)}).drop("_l")
+    g = fills.groupBy(*by).agg((F.sum(F.abs("filled")) / F.greatest(F.sum(F.abs("planned")), F.lit(1e-4))).alias("fill_ratio"), F.avg(raw).alias("avg_slippage_bps"), F.avg("fee_bps").alias("fee_bps"))
+    latency = floor_quantiles(fills, by, "latency_ms", {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})
+    g = g.withColumn("_key", F.struct(*by)).join(latency, "_key", "left").drop("_key")
     return g.withColumn("alerts", F.array_compact(F.array(F.when(F.col("fill_ratio") < floor, F.lit("fill_ratio")), F.when(F.col("avg_slippage_bps") > slip_bps, F.lit("slippage")), F.when(F.col("latency_p95_ms") > latency_ms, F.lit("latency")))))
 
 

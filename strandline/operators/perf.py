@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import inverse_normal_cdf, normal_cdf, safe_divide
+from strandline.operators.ordering import floor_quantiles
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -72,11 +73,10 @@ def participation(df: DataFrame, by: list[str], strength: float) -> DataFrame:
 def tercile_slices(df: DataFrame, by: list[str], value: str, bar_minutes: int) -> DataFrame:
     """Low, mid and high terciles of ``value`` by floor-index cuts; return, Sharpe and bars of each. A bar on a cut counts on both sides of equal cuts."""
     scale = math.sqrt(365 * 24 * 60 / bar_minutes)
-    at = lambda p: F.element_at(F.array_sort(F.collect_list(value)), (F.floor((F.count(value) - 1) * p) + 1).cast("int"))
-    cuts = df.groupBy(*by).agg(at(0.33).alias("_lo"), at(0.67).alias("_hi"))
+    cuts = floor_quantiles(df, by, value, {"_lo": 0.33, "_hi": 0.67})
     v = F.col(value)
     buckets = F.array_compact(F.array(F.when(v <= F.col("_lo"), F.lit("low")), F.when((v > F.col("_lo")) & (v < F.col("_hi")), F.lit("mid")), F.when(v >= F.col("_hi"), F.lit("high"))))
-    g = df.join(cuts, by).withColumn("bucket", F.explode(buckets)).groupBy(*by, "bucket").agg(F.count("*").alias("bars"), F.sum("r").alias("s"), F.avg("r").alias("m"), F.var_pop("r").alias("v"))
+    g = df.withColumn("_key", F.struct(*by)).join(cuts, "_key").withColumn("bucket", F.explode(buckets)).groupBy(*by, "bucket").agg(F.count("*").alias("bars"), F.sum("r").alias("s"), F.avg("r").alias("m"), F.var_pop("r").alias("v"))
     return g.select(*by, "bucket", "bars", ((F.exp("s") - 1.0) * 100.0).alias("net_return_pct"), F.when(F.col("v") <= 1e-12, 0.0).otherwise(F.col("m") / F.sqrt("v") * scale).alias("sharpe"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ordering import positions
+
 
 def universe(symbols: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """P5: listed symbols, upper-cased and distinct; an empty include list keeps all."""
@@ -43,10 +45,10 @@ def list_counts(cards: DataFrame, key: str, archived: str) -> DataFrame:
 
 
 def ordered_merge(priority: DataFrame, rest: DataFrame, key: str, order: str) -> DataFrame:
-    """Distinct keys, the priority list first, each part in its own order."""
+    """Distinct keys, the priority list first, each part in its own order (a number or a timestamp)."""
     u = priority.select(key, order, F.lit(0).alias("_p")).union(rest.select(key, order, F.lit(1).alias("_p")))
-    first = u.groupBy(key).agg(F.min(F.struct("_p", order)).alias("_m"))
-    return first.select(key, F.row_number().over(Window.orderBy("_m", key)).alias("position"))
+    first = u.groupBy(key).agg(F.min(F.struct("_p", F.col(order).alias("_o"))).alias("_m")).select(key, "_m.*")
+    return positions(first, "_p", "_o", key).select(key, "position")
 
 
 def distinct_candidates(df: DataFrame) -> DataFrame:
