@@ -38,6 +38,17 @@ def merge(base: DataFrame, delta: DataFrame, keys: list[str], rules: dict[str, s
     return b.join(d, keys, "full_outer").select(*keys, *[rule(c, k) for c, k in rules.items()])
 
 
+def refresh(stored: DataFrame, fresh: DataFrame, keys: list[str], values: list[str], since: Column) -> DataFrame:
+    """ST3, ST8: ``stored`` bars with those from ``since`` on computed anew.
+
+    Late rows change the values of a final bar, but it stays final and keeps the time at which it became so. Bars that only
+    one side has stay as they are. Both sides hold a key once and have the flags of ``bars.finality``.
+    """
+    rules = {c: "replace" for c in [*values, "finalization_due_at"]} | {"is_finalized": "or", "finalized_at": "first"}
+    made = merge(stored, fresh.filter(F.col("time") >= since), keys, rules)
+    return made.withColumn("is_provisional", ~F.col("is_finalized"))
+
+
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """K2: the row of each key that was ingested last."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))

@@ -225,3 +225,15 @@ def test_purged_folds_keep_sides_apart(spark):
     for fold in {r.fold for r in rows}:
         role = {r.block: r.role for r in rows if r.fold == fold}
         assert all(role.get(b + d) != "train" for b, x in role.items() if x == "active" for d in (-1, 1))
+
+
+def test_late_rows_change_a_final_bar(spark):
+    schema = "time timestamp, close double"
+    final = lambda rows, at: B.finality(spark.createDataFrame(rows, schema), F.lit(at).cast("timestamp"), "1 HOUR", 3)
+    stored = final([(T("2026-01-01 00:00"), 1.0), (T("2026-01-01 01:00"), 2.0), (T("2026-01-01 02:00"), 3.0)], "2026-01-01 02:10:00")
+    fresh = final([(T("2026-01-01 00:00"), 9.0), (T("2026-01-01 01:00"), 5.0), (T("2026-01-01 03:00"), 6.0)], "2026-01-01 04:10:00")
+    rows = S.refresh(stored, fresh, ["time"], ["close"], F.lit("2026-01-01 01:00:00").cast("timestamp")).orderBy("time").collect()
+    # Before the refreshed range; changed by late rows; not computed anew; new.
+    assert [r.close for r in rows] == [1.0, 5.0, 3.0, 6.0]
+    assert [r.is_finalized for r in rows] == [True, True, False, True] and [r.is_provisional for r in rows] == [False, False, True, False]
+    assert [r.finalized_at and r.finalized_at.hour for r in rows] == [2, 2, None, 4]

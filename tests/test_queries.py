@@ -3,7 +3,7 @@
 import pytest
 from oracle import assert_same, connect
 
-from strandline.plans import books, common, documents, market, more, research  # noqa: F401
+from strandline.plans import books, common, documents, keyed, market, more, research  # noqa: F401
 
 
 @pytest.fixture(scope="module")
