@@ -9,8 +9,10 @@ and differ by how far they reach on either side.
 2. Equal blocks compact: one grouped minimum gives the smallest document of each block, and one join sends it back. A
    node with a single block is nonbranching, so for it this decides all windows. In a branching node it decides all
    blocks but one for each group of equal blocks (the smallest document's own).
-3. Only those remaining blocks of branching nodes go back to their source coordinates: their windows are hashed word for
-   word (128 bits) and the smallest document of each window is found the same way.
+3. Repeated blocks and those remaining blocks of branching nodes go back to their source coordinates. Every occurrence of
+   a repeated block is verified by a BLAKE2 digest (128 bits) of its words there; blocks whose occurrences differ decide
+   nothing. The windows of remaining (and of differing) blocks are hashed word for word (128 bits) and the smallest
+   document of each window is found the same way.
 
 Nothing is paired: each step is a grouped minimum, pre-aggregated before its shuffle, and a join with one row a key.
 
@@ -83,41 +85,66 @@ def _keyed(docs: DataFrame, name: str = "row") -> DataFrame:
     return docs.withColumn(name, F.xxhash64("text"))
 
 
-def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(doc_id, row, at, w1, w2) of the windows in the ranges ``wanted`` (doc_id, row, ranges)."""
+_SPAN = "doc_id long, row long, at int, w1 long, w2 long, kmer long, block long"
+
+
+def _read(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """What stands at the source coordinates ``wanted`` (doc_id, row, ranges of lo, hi, kmer, block, whole).
+
+    A whole range gives one row with a digest of its words (kmer, block, w1, w2); any other gives a row for each of its
+    windows (doc_id, row, at, w1, w2).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash(2)
         for batch in batches:
             for doc_id, row, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
-                h = known.array(text.split())
-                at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in ranges]))
-                w1, w2 = window_hash(h, window, BASE_A)[at].view(np.int64), window_hash(h, window, BASE_B)[at].view(np.int64)
-                same = lambda x: pa.array(np.full(len(at), x, np.int64))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([same(doc_id), same(row), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2)], ["doc_id", "row", "at", "w1", "w2"])
+                words = text.split()
+                if whole := [r for r in ranges if r["whole"]]:
+                    digests = b"".join(hashlib.blake2b(b" ".join(words[r["lo"] : r["hi"] + window]), digest_size=16).digest() for r in whole)
+                    w = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                    none = lambda kind: pa.nulls(len(whole), kind)  # noqa: E731, B023
+                    keys = [pa.array([r[c] for r in whole], pa.int64()) for c in ("kmer", "block")]
+                    yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1]), *keys], ["doc_id", "row", "at", "w1", "w2", "kmer", "block"])
+                if parts := [r for r in ranges if not r["whole"]]:
+                    h = known.array(words)
+                    at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in parts]))
+                    w1, w2 = window_hash(h, window, BASE_A)[at].view(np.int64), window_hash(h, window, BASE_B)[at].view(np.int64)
+                    same = lambda x: pa.array(np.full(len(at), x, np.int64))  # noqa: E731, B023
+                    none = pa.nulls(len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays([same(doc_id), same(row), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2), none, none], ["doc_id", "row", "at", "w1", "w2", "kmer", "block"])
 
     joined = _keyed(pick(docs, ["doc_id", "text"])).join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "ranges")
-    return joined.mapInArrow(run, "doc_id long, row long, at int, w1 long, w2 long")
+    return joined.mapInArrow(run, _SPAN)
 
 
-def _ranges(df: DataFrame) -> DataFrame:
-    """One row a text; its ranges number no more than its words."""
-    return df.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+def _ranges(df: DataFrame, *more: str) -> DataFrame:
+    """One row a text; its ranges, each once, number no more than twice its words."""
+    return df.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi", *more)).alias("ranges"))
 
 
 def repeated(docs: DataFrame, reduced: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, row, ranges): the window ranges lo..hi of each text to be removed; texts without any are absent."""
+    name = ["kmer", "block"]
     seen = reduced.filter(F.col("doc_id").isNotNull()).select("doc_id", "row", F.explode("nodes").alias("n")).select("doc_id", "row", "n.*")
-    blocks = materialize(seen.groupBy("kmer", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "blocks")
+    blocks = materialize(seen.groupBy(*name).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "blocks")
     branching = blocks.groupBy("kmer").agg(F.count("*").alias("n")).filter("n > 1").select("kmer", F.lit(True).alias("branching"))
-    marked = blocks.join(branching, "kmer", "left").filter("branching OR first < last").select("kmer", "block", "first", "branching")
-    met = materialize(seen.join(materialize(marked, "marked"), ["kmer", "block"]).filter("doc_id > first OR branching").select("doc_id", "row", "lo", "hi", "first"), "met")
-    settled = met.filter("doc_id > first").select("doc_id", "row", "lo", "hi")
-    open_blocks = met.filter("doc_id = first").distinct()
-    windows = materialize(_windows(docs, _ranges(open_blocks.select("doc_id", "row", "lo", "hi")), window), "windows")
+    marked = blocks.join(branching, "kmer", "left").filter("branching OR first < last")
+    met = materialize(seen.join(materialize(marked, "marked"), name).select("doc_id", "row", "lo", "hi", *name, "first", "last", F.coalesce("branching", F.lit(False)).alias("branching")), "met")
+    # Every occurrence of a repeated block is read at its source, and so are the windows that blocks don't decide.
+    whole = met.filter("first < last").withColumn("whole", F.lit(True))
+    parts = met.filter("branching AND doc_id = first").withColumn("whole", F.lit(False))
+    read = materialize(_read(docs, _ranges(whole.unionByName(parts), *name, "whole"), window), "windows")
+    checked = read.filter("kmer IS NOT NULL").groupBy(*name).agg((F.min("w1") < F.max("w1")).alias("a"), (F.min("w2") < F.max("w2")).alias("b"))
+    differ = materialize(checked.filter("a OR b").select(*name), "differing-blocks")
+    settled, windows = met.filter("doc_id > first"), read.filter("kmer IS NULL")
+    if not differ.isEmpty():  # different words under one name (not seen): their windows decide
+        settled = settled.join(differ.hint("merge"), name, "left_anti")
+        again = met.join(differ.hint("merge"), name).withColumn("whole", F.lit(False))
+        windows = windows.union(materialize(_read(docs, _ranges(again, *name, "whole"), window), "windows")).distinct()
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     single = windows.join(materialize(least, "least"), ["w1", "w2"]).filter("doc_id > first")
-    return _ranges(settled.union(single.select("doc_id", "row", F.col("at").alias("lo"), F.col("at").alias("hi"))))
+    return _ranges(settled.select("doc_id", "row", "lo", "hi").union(single.select("doc_id", "row", F.col("at").alias("lo"), F.col("at").alias("hi"))))
 
 
 def covered(n: int, ranges: list[dict], window: int) -> np.ndarray:
