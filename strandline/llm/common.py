@@ -124,6 +124,29 @@ def window_hash(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     return mix(out)
 
 
+class BitTable:
+    """A set of 64-bit keys as a fixed number of bits: finds all that was put in, and at times more."""
+
+    @staticmethod
+    def has(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which ``keys`` (unsigned) the words of the ``table`` hold."""
+        at = keys & np.uint64(64 * len(table) - 1)
+        return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def bit_table(keys: DataFrame, bits: int) -> np.ndarray:
+    """The bit table of the first column (well-mixed longs): 2 ** ``bits`` bits whatever the number of keys.
+
+    Only its words of 64 bits, joined per word before they move, reach the driver.
+    """
+    name = keys.columns[0]
+    words = keys.select(F.shiftright(F.col(name), 6).bitwiseAND(F.lit((1 << bits - 6) - 1)).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(name).bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << bits - 6, np.uint64)
+    table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return table
+
+
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of an undirected edge list (src, dst): root is the smallest node of the component.
 

@@ -57,16 +57,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def _batches(frame: DataFrame, one, schema: str, kind: pa.DataType, size: int) -> DataFrame:
-    """(doc_id, row, text) -> (doc_id, row, node, values), with ``one`` making the values of the shingle hashes."""
+def _batches(frame: DataFrame, one, schema: str, kind: pa.DataType, size: int, name=lambda text, hashes: node_of(text)) -> DataFrame:
+    """(doc_id, row, text) -> (doc_id, row, node, values), with ``one`` making the values of the shingle hashes and ``name`` the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
-                nodes = np.array([node_of(t) for t in texts], np.uint64).view(np.int64)
-                values = pa.array([one(np.unique(shingle_hashes(t, size))).view(np.int64) for t in texts], kind)
+                sets = [np.unique(shingle_hashes(t, size)) for t in texts]
+                nodes = np.array([name(t, h) for t, h in zip(texts, sets)], np.uint64).view(np.int64)
+                values = pa.array([one(h).view(np.int64) for h in sets], kind)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), values], ["doc_id", "row", "node", "values"])
 
     return frame.mapInArrow(run, schema)
@@ -79,17 +80,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return pick(docs, ["doc_id", "text"]).select("doc_id", F.xxhash64("text").alias("row"), "text")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (src, dst) that are similar by their whole ``sets`` (node, values)."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR, of: int = 10) -> DataFrame:
+    """The ``pairs`` (src, dst) that are similar, ``similar`` parts ``of`` the union, by their whole ``sets`` (node, values)."""
     a, b = (sets.select(F.col("node").alias(x), F.col("values").alias(f"{x}_set")).hint("merge") for x in ("src", "dst"))
     both = F.size(F.array_intersect("src_set", "dst_set"))
     ends = F.size("src_set") + F.size("dst_set")
     shorter, longer = F.least(F.size("src_set"), F.size("dst_set")), F.greatest(F.size("src_set"), F.size("dst_set"))
-    met = pairs.join(a, "src").join(b, "dst").filter(10 * shorter >= SIMILAR * longer)
-    return met.filter(10 * both >= SIMILAR * (ends - both)).select("src", "dst")
+    met = pairs.join(a, "src").join(b, "dst").filter(of * shorter >= similar * longer)
+    return met.filter(of * both >= similar * (ends - both)).select("src", "dst")
 
 
-def _rare_pairs(met: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _rare_pairs(met: DataFrame, sets: DataFrame, roots: DataFrame, similar: int = SIMILAR, of: int = 10) -> DataFrame:
     """(src, dst): pairs of the nodes of large buckets that share a rare shingle where a similar pair must."""
     crowd = met.filter(F.col("n") > BUCKET).select("node").distinct()
     held = sets.join(crowd.hint("merge"), "node").join(roots.hint("merge"), "node", "left")
@@ -114,7 +115,7 @@ def _rare_pairs(met: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
                 part, found = batch.slice(lo, 256), []
                 for values in part.column(3):
                     tokens = values.values.to_numpy(zero_copy_only=False)
-                    first = len(tokens) - -(-len(tokens) * SIMILAR // 10) + 1  # places that a similar pair can share first
+                    first = len(tokens) - -(-len(tokens) * similar // of) + 1  # places that a similar pair can share first
                     found.append(tokens[np.lexsort((tokens, frequency.value[tokens % COUNTERS]))[:first]])
                 sizes = [len(x) for x in found]
                 rows = np.repeat(np.arange(len(found)), sizes)
@@ -130,7 +131,7 @@ def _rare_pairs(met: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     listed = posted.join(heads.select("token", "major").hint("merge"), "token").withColumn("minor", F.col("root") != F.col("major")).drop("major")
     listed = materialize(listed.join(bits.hint("merge"), "node").withColumn("excess", F.col("size") - sum(F.bit_count(m) for m in _MASKS)), "near-lists")
     a, b = listed.filter("minor").alias("a"), listed.alias("b")
-    least = F.ceil((F.col("a.size") + F.col("b.size")) * SIMILAR / (10 + SIMILAR))  # shingles that a similar pair shares
+    least = F.ceil((F.col("a.size") + F.col("b.size")) * similar / (of + similar))  # shingles that a similar pair shares
     fits = (F.col("a.at") <= F.col("a.size") - least) & (F.col("b.at") <= F.col("b.size") - least)
     # Common shingles are at most the common bits and the shingles that had no bit of their own.
     reach = sum(F.bit_count(F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}"))) for m in _MASKS) + F.least("a.excess", "b.excess") >= least
@@ -138,6 +139,22 @@ def _rare_pairs(met: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     return a.join(b.hint("merge"), new).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
+def components_of(met: DataFrame, sets: DataFrame, similar: int = SIMILAR, of: int = 10) -> DataFrame:
+    """(node, root) of the linked nodes among ``met``, the buckets (band, key, node, n, hub), by their ``sets``."""
+    hubs = met.filter("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
+    links = materialize(_confirmed(hubs, sets, similar, of), "near-links")
+    roots = materialize(connected(links), "near-roots")
+    small = met.filter((F.col("n") > 2) & (F.col("n") <= BUCKET)).join(roots.hint("merge"), "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"), "hub")
+    a, b = small.alias("a"), small.alias("b")
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
+    # Pairs with the hub have been compared.
+    new = same & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") != F.col("a.hub"))
+    rest = a.join(b.hint("merge"), new).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    more = materialize(_confirmed(rest.union(_rare_pairs(met, sets, roots, similar, of)).distinct(), sets, similar, of), "near-links")
+    # Only the roots' own links are new; a node without links is its own component.
+    return connected(links.union(more))
+
+
 def near_components(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, row, root) of every row of ``docs``; ``row`` is the hash of its text, ``root`` names its component."""
     found = materialize(_batches(_keyed(docs), band_keys, _SCHEMA, _KIND, size), "near-bands")
@@ -152,16 +169,5 @@ def near_components(docs: DataFrame, size: int) -> DataFrame:
     sets = _batches(texts, lambda h: h, _SCHEMA, _KIND, size).select("node", "values").dropDuplicates(["node"])
     sets = materialize(sets, "near-sets")
 
-    hubs = met.filter("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
-    links = materialize(_confirmed(hubs, sets), "near-links")
-    roots = materialize(connected(links), "near-roots")
-    small = met.filter((F.col("n") > 2) & (F.col("n") <= BUCKET)).join(roots.hint("merge"), "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"), "hub")
-    a, b = small.alias("a"), small.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-    # Pairs with the hub have been compared.
-    new = same & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.node") != F.col("a.hub"))
-    rest = a.join(b.hint("merge"), new).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    more = materialize(_confirmed(rest.union(_rare_pairs(met, sets, roots)).distinct(), sets), "near-links")
-    # Only the roots' own links are new; a node without links is its own component.
-    labels = connected(links.union(more))
+    labels = components_of(met, sets)
     return found.select("doc_id", "row", "node").join(labels.hint("merge"), "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
