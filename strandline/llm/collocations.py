@@ -4,10 +4,10 @@ Every word starts one window of the ``LONGEST`` words from it on, padded where i
 windows are counted; one Spark ROLLUP over the window columns then sums them to every shorter prefix, so that the counts
 of all phrases of 1 to ``LONGEST`` words, and of all words of a language, come out of one aggregation.
 
-A phrase that is frequent has frequent words and frequent pairs only (its parts occur wherever it does). Windows are
-therefore padded from the first word, or pair, that occurs fewer than ``least`` times in its language: what they lose is
-in no candidate and in no part of one. Counts for this are taken on hashes, level by level (words, then pairs); the
-frequent hashes are kept as a bit table of fixed size. Equal hashes and shared bits can only keep more.
+A phrase that is frequent has frequent words, pairs and triples only (its parts occur wherever it does). Windows are
+therefore padded from the first word, pair or triple that occurs fewer than ``least`` times in its language: what they
+lose is in no candidate and in no part of one. Counts for this are taken on hashes (words and pairs, then triples of
+frequent pairs); the frequent hashes are kept as bit tables of fixed size. Equal hashes and shared bits can only keep more.
 
 A candidate is cut in two at each place; l and r count the parts, and the score is floor(1000 * a * n / (l * r)), in
 decimals of 38 digits. The lowest cut counts. A candidate inside a longer one that is as frequent is dropped.
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,7 +42,7 @@ _WINDOW = [f"w{k}" for k in range(1, LONGEST + 1)]
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 #: What separates pieces; everything else that is not a space or a tab is part of a word.
 _PIECES = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
-SLICE = 1 << 22  # characters of text that are tokenised at a time, whole texts only
+SLICE = 1 << 23  # bytes of text that are tokenised at a time, whole texts only
 
 
 class _Words:
@@ -84,56 +83,60 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
 
 
 class _Keys:
-    """64-bit keys of the words (level 1) and pairs (level 2) of a language."""
+    """64-bit keys of the words, pairs and triples of a language; those of a pair or triple count where its piece goes on."""
 
     def __init__(self):
         self.word, self.lang = WordHash(), WordHash(1)
 
-    def of(self, x: _Words) -> list[np.ndarray]:
+    def of(self, x: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             langs = self.lang.array([v.encode() for v in x.langs.dictionary.to_pylist()])
             words = self.word.array(x.names.to_pylist())
             if not len(words):
-                return [np.empty(0, np.uint64)] * 2
+                return (np.empty(0, np.uint64),) * 3
             one = mix(words[x.codes] + langs[x.lang] * BASE_A)
-            after = np.append(one[1:], np.uint64(0))
-            return [one, mix(one * BASE_B + after)]  # the second is meant where a word follows in the piece
+            two = mix(one * BASE_B + _after(one, 1))
+            return one, two, mix(two * BASE_B + _after(one, 2))
 
 
-def _kept(x: _Words, keys: list[np.ndarray], tables: list[np.ndarray]) -> list[np.ndarray]:
-    """For each level with a table, where its key is frequent (and, for pairs, a word follows in the piece)."""
-    masks = [BitTable.has(t, k) for t, k in zip(tables, keys)]
-    if masks:
-        word, follows = masks[0], ~x.last
-        both = word & follows
-        both[:-1] &= word[1:]
-        masks[1:] = [m & both for m in masks[1:]]
-    return masks
+def _after(values: np.ndarray, k: int) -> np.ndarray:
+    """The value ``k`` places on; 0 past the end."""
+    out = np.zeros_like(values)
+    out[: max(len(values) - k, 0)] = values[k:]
+    return out
 
 
-def _level(texts: DataFrame, tables: list, least: int, bits: int):
-    """The bit table of the next level: keys that occur ``least`` times and more, among those that the levels before let through."""
-    level = len(tables)
+def _frequent(x: _Words, keys: tuple, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """Where a word, a pair and a triple starts that is frequent, as far as there are ``tables``."""
+    word = BitTable.has(tables[0], keys[0])
+    pair = BitTable.has(tables[0], keys[1]) & ~x.last & word & _after(word, 1)
+    inside = pair & _after(pair, 1)
+    return [word, pair, inside & BitTable.has(tables[1], keys[2]) if len(tables) > 1 else inside]
+
+
+def _level(texts: DataFrame, tables: list, least: int, bits: int) -> np.ndarray:
+    """The next bit table: words and pairs that occur ``least`` times and more, then triples of frequent pairs that do.
+
+    Words and pairs are counted in each slice first; triples hardly repeat there, so Spark alone combines them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, known = _Keys(), [t.value for t in tables]
         for x in _slices(batches):
-            keys = made.of(x)
-            use = keys[level]
-            if level:
-                word = _kept(x, keys, known)[0]
-                both = word & ~x.last
-                both[:-1] &= word[1:]
-                use = use[both]
-            values, counts = np.unique(use, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["key", "n"])
+            one, two, three = keys = made.of(x)
+            if tables:
+                found = three[_frequent(x, keys, known)[2]]
+                n = np.ones(len(found), np.int64)
+            else:
+                found, n = np.unique(np.concatenate([one, two[~x.last]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["key", "n"])
 
     counted = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return bit_table(counted.filter(F.col("n") >= least).select("key"), bits)
 
 
 def windows(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
-    """(lang, w1 .. w5, n): padded longest windows of (lang, text), counted in each task; pads are empty.
+    """(lang, w1 .. w5, n): padded longest windows of (lang, text), the short ones counted in each slice; pads are empty.
 
     A word below ``least`` is a window of pads only, which counts for nothing but the words of its language.
     """
@@ -146,22 +149,22 @@ def windows(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame
         for x in _slices(batches):
             if not len(x.codes):
                 continue
-            word, pair = _kept(x, made.of(x), known)
-            columns, alive, at = [], word, np.arange(len(x.codes))
-            for k in range(LONGEST):
-                columns.append(np.where(alive, x.codes[np.minimum(at + k, len(at) - 1)], -1))
-                step = np.zeros(len(at), bool)
-                step[: len(at) - k] = pair[k:]
-                alive = alive & step
-            names = ["lang", *_WINDOW]
-            table = pa.table([pa.array(x.lang), *map(pa.array, columns)], names=names).append_column("n", pa.array(np.ones(len(at), np.int64)))
-            table = table.group_by(names).aggregate([("n", "sum")])
-            words = x.names.cast(pa.string())
-            out = [x.langs.dictionary.take(table["lang"].combine_chunks())]
-            for c in _WINDOW:
-                codes = table[c].combine_chunks()
-                out.append(pc.fill_null(words.take(pc.if_else(pc.equal(codes, -1), pa.scalar(None, pa.int64()), codes)), ""))
-            yield pa.RecordBatch.from_arrays([*out, table["n_sum"].combine_chunks()], [*names, "n"])
+            word, pair, triple = _frequent(x, made.of(x), known)
+            words = pa.concat_arrays([x.names.cast(pa.string()), pa.array([""])])
+            pad, size = len(x.names), len(words)
+            first, second = np.where(word, x.codes, pad), np.where(pair, _after(x.codes, 1), pad)
+            short, n = np.unique(((x.lang * size + first) * size + second)[~triple], return_counts=True)
+            yield batch(x, words, short // (size * size), [short // size % size, short % size, *[np.full(len(short), pad)] * (LONGEST - 2)], n)
+            at = np.flatnonzero(triple)
+            columns, alive = [x.codes[at], x.codes[at + 1]], np.ones(len(at), bool)
+            for k in range(2, LONGEST):
+                alive = alive & _after(triple, k - 2)[at]
+                columns.append(np.where(alive, _after(x.codes, k)[at], pad))
+            yield batch(x, words, x.lang[at], columns, np.ones(len(at), np.int64))
+
+    def batch(x: _Words, words: pa.Array, lang: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        taken = [x.langs.dictionary.take(pa.array(lang)), *(words.take(pa.array(c)) for c in columns), pa.array(n)]
+        return pa.RecordBatch.from_arrays(taken, ["lang", *_WINDOW, "n"])
 
     return texts.mapInArrow(run, "lang string, " + ", ".join(f"{c} string" for c in _WINDOW) + ", n long")
 
