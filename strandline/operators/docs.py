@@ -282,20 +282,6 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def text_rank(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Completed documents that hold every term, by BM25 (T2); ties by id. A top-k report."""
-    t = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}0-9_]+"), F.lit(0))
-    times = lambda w: F.size(F.filter("_t", lambda x: x == F.lit(w)))
-    split = docs.filter("embedding_status = 'COMPLETED'").select("id", "collection", t.alias("_t"))  # once a text
-    d = split.select("id", "collection", F.size("_t").alias("len"), *[times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
-    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    j = d.filter(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
-    part = lambda i: F.ln(1.0 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    score = sum((part(i) for i in range(1, len(terms))), part(0))
-    best = j.select("id", "collection", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-
-
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists with a ``key``, ranks from 1 (T17); the vector row's fields win."""
     v = vector_hits.select("key", "collection", "rank", F.lit(0).alias("_s"))

@@ -1,37 +1,36 @@
 """Ordered features of a symbol: panel grid, as-of join, rolling windows and indicators.
 
-Windows are partitioned by symbol, so a symbol's history is one task's sorted run; all symbols are computed at once.
+Rolling windows are partitioned by symbol; recursive averages and the as-of join spread a symbol over blocks of time.
 Every frame that must be complete is gated on the number of bars in it, as a missing bar makes the feature null.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandline.functions.columns import frame
+from strandline.operators.scans import DAY, affine_scan, last_value_scan
 
 BY = ["symbol"]
 
 
 def panel_grid(bars: DataFrame) -> DataFrame:
-    """Every (time, symbol) of the panel, with nulls where a bar is missing. The symbol list is small by nature."""
-    grid = bars.select("time").distinct().crossJoin(F.broadcast(bars.select("symbol").distinct()))
+    """Every (time, symbol) of the panel, with nulls where a bar is missing."""
+    grid = bars.select("time").distinct().crossJoin(bars.select("symbol").distinct())
     return grid.join(bars, ["time", "symbol"], "left")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: list[str], value: str, time: str = "time") -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, by: list[str], value: str, time: str = "time", width: int = DAY) -> DataFrame:
     """The latest non-null ``value`` of ``right`` at or before each row of ``left``.
 
-    A union and a running last value: one sort by key and time, where a lateral join would be quadratic. At equal times
-    the right row comes first and so counts.
+    A union and a running last value over blocks of ``width`` seconds, so that a key of any length spreads over tasks. At
+    equal times the right row comes first and so counts. A left row without a time has no value.
     """
     l = left.withColumns({"_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType)})  # noqa: E741
-    r = right.select(*[F.col(c) if c in by + [time] else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    w = Window.partitionBy(*by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return l.unionByName(r).withColumn(value, F.last("_value", ignorenulls=True).over(w)).filter("_side = 1").drop("_side", "_value")
+    r = right.filter(F.col(value).isNotNull() & F.col(time).isNotNull())
+    r = r.select(*[F.col(c) if c in by + [time] else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("_side"), F.col(value).alias("_value"))
+    return last_value_scan(l.unionByName(r), by, [time, "_side"], "_value", value, width).filter("_side = 1").drop("_side", "_value")
 
 
 def at_least(x: Column, lo: float) -> Column:
@@ -162,15 +161,13 @@ def rolling_median(c: str, n: int) -> Column:
     return F.when(k == n, (F.element_at(values, F.floor((k + 1) / 2).cast("int")) + F.element_at(values, F.ceil((k + 1) / 2).cast("int"))) / 2.0)
 
 
-def ema(df: DataFrame, spans: dict[str, int], c: str = "close", by: list[str] = BY) -> DataFrame:
-    """Recursive averages seeded with the first value. True recursion: one sorted group a symbol, Arrow batches."""
-    schema = T.StructType([*df.schema.fields, *(T.StructField(name, T.DoubleType()) for name in spans)])
+def ema(df: DataFrame, spans: dict[str, int], c: str = "close", by: list[str] = BY, width: int = DAY) -> DataFrame:
+    """Recursive averages seeded with the first value; a row without a value keeps the average of the one before.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time")
-        return pdf.assign(**{name: pdf[c].ewm(span=n, adjust=False).mean() for name, n in spans.items()})
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    A blocked scan (``scans``): no task holds a symbol, all spans in one pass.
+    """
+    maps = {name: (F.lit(1.0 - 2.0 / (n + 1.0)), 2.0 / (n + 1.0) * F.col(c), F.col(c)) for name, n in spans.items()}
+    return affine_scan(df, by, "time", maps, width)
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:

@@ -102,6 +102,18 @@ def purged_folds(timeline: DataFrame, start_index: int, folds: int, block_bars:
     return rows.join(trained, "fold", "left_semi").select("fold", "block", "first_bar", "last_bar", "start_time", "end_time", "role")
 
 
+def train_only(folds: DataFrame, horizon: int) -> DataFrame:
+    """(fold, bar, role, train_only) of every bar of ``purged_folds``: the bar and all up to ``horizon`` bars on are for training.
+
+    The next bar that isn't is found over the few blocks of a fold, and a block's bars come from its bounds.
+    """
+    later = Window.partitionBy("fold").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = folds.withColumns({"_stop": F.min(F.when(F.col("role") != "train", F.col("first_bar"))).over(later), "_end": F.max("last_bar").over(Window.partitionBy("fold"))})
+    bars = ahead.select("fold", "role", "_stop", "_end", F.explode(F.sequence(F.col("first_bar"), F.col("last_bar"))).alias("bar"))
+    clear = (F.col("role") == "train") & (F.col("bar") + horizon <= F.col("_end")) & (F.col("_stop").isNull() | (F.col("bar") + horizon < F.col("_stop")))
+    return bars.select("fold", "bar", "role", clear.alias("train_only"))
+
+
 def sharpe_moments(returns: DataFrame, by: list[str]) -> DataFrame:
     """N, Sharpe (sample deviation), skewness and kurtosis of each key."""
     m = returns.groupBy(*by).agg(F.avg("r").alias("_m"), F.stddev_samp("r").alias("_d"), F.count("*").alias("n"))
@@ -127,21 +139,34 @@ def deflated_benchmark(moments: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, "trials", F.when(F.col("d") <= 1e-12, F.col("m")).otherwise(F.col("m") + F.col("d") * ((1 - EULER_GAMMA) * z1 + EULER_GAMMA * z2)).alias("benchmark"))
 
 
-def reality_check(returns: DataFrame, replications: int = 200, block: int = 5, seed: int = 17) -> DataFrame:
-    """White's p-value of the best candidate's mean, by a circular block bootstrap with hashed block starts (T5).
+def reality_check(returns: DataFrame, replications: int = 200, stationary: bool = True, seed: int = 17) -> DataFrame:
+    """White's p-value of the best candidate's mean (times the root of n), by a block bootstrap with hashed draws (T5).
 
-    ``returns`` has (candidate, time, r) on one timeline.
+    ``returns`` has (candidate, time, r) on one timeline. Blocks have round(sqrt(n)) bars: on average where they are
+    ``stationary`` (each bar starts a new block with that chance), all of them where they are circular. Each candidate
+    has draws of its own. p is null below 8 bars or where a candidate lacks a bar.
     """
     times = returns.select("time").distinct().withColumn("i", F.row_number().over(Window.orderBy("time")) - 1)
     n = times.agg(F.count("*").alias("n"))
-    x = returns.join(times, "time").crossJoin(F.broadcast(n)).select("candidate", "i", "n", "r")
-    mean = x.groupBy("candidate").agg(F.avg("r").alias("mean"))
-    slots = times.crossJoin(F.broadcast(n)).select("i", "n", F.explode(F.sequence(F.lit(1), F.lit(replications))).alias("rep"))
-    start = F.pmod(F.xxhash64(F.lit(seed), "rep", F.floor(F.col("i") / block)), F.col("n"))
-    slots = slots.select("rep", F.pmod(start + F.col("i") % block, F.col("n")).alias("i"))
-    drawn = slots.join(x, "i").groupBy("rep", "candidate").agg(F.avg("r").alias("b")).join(mean, "candidate").withColumn("centred", F.col("b") - F.col("mean")).groupBy("rep").agg(F.max("centred").alias("best"))
-    observed = mean.agg(F.max("mean").alias("observed"))
-    return drawn.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("best_mean"), ((F.count_if(F.col("best") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    x = returns.join(times, "time").select("candidate", "i", "r")
+    mean = x.groupBy("candidate").agg(F.avg("r").alias("mean"), F.count("r").alias("has"))
+    whole = mean.agg(F.max("mean").alias("observed"), F.min("has").alias("least"), F.max("has").alias("most")).crossJoin(n)
+    block = F.greatest(F.lit(1).cast("long"), F.floor(F.sqrt("n") + 0.5))
+    slots = mean.crossJoin(F.broadcast(n)).withColumn("_size", block)
+    slots = slots.select("candidate", "mean", "n", "_size", F.explode(F.sequence(F.lit(1), F.lit(replications))).alias("rep"))
+    slots = slots.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    draw = lambda what, *on: F.xxhash64(F.lit(seed), F.lit(what), "candidate", "rep", *on)
+    if stationary:
+        chance = F.pmod(draw("restart", "o"), F.lit(1 << 30)) * F.col("_size") < F.lit(1 << 30)  # 1 / size
+        w = Window.partitionBy("candidate", "rep").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+        slots = slots.withColumn("_from", F.last(F.when((F.col("o") == 0) | chance, F.col("o")), ignorenulls=True).over(w))
+    else:
+        slots = slots.withColumn("_from", F.col("o") - F.col("o") % F.col("_size"))
+    slots = slots.select("candidate", "mean", "n", "rep", F.pmod(F.pmod(draw("start", "_from"), F.col("n")) + F.col("o") - F.col("_from"), F.col("n")).alias("i"))
+    drawn = slots.join(x, ["candidate", "i"]).groupBy("rep", "candidate").agg((F.avg("r") - F.first("mean")).alias("centred")).groupBy("rep").agg(F.max("centred").alias("best"))
+    told = drawn.crossJoin(F.broadcast(whole)).agg(F.count_if(F.col("best") >= F.col("observed")).alias("above"), F.count("*").alias("draws"))
+    p = F.when((F.col("n") >= 8) & (F.col("least") == F.col("n")) & (F.col("most") == F.col("n")), (F.col("above") + 1) / (F.col("draws") + 1))
+    return whole.crossJoin(told).select(F.col("observed").alias("best_mean"), "n", F.floor(F.sqrt("n") + 0.5).alias("block"), p.alias("p_value"))
 
 
 def by_q_values(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:

@@ -85,9 +85,37 @@ def sync_state(channels: dict[str, DataFrame], base: DataFrame | None = None) ->
 
 def materialisation_state(bars: DataFrame) -> DataFrame:
     """Feature bounds, finalised-through, observed and finalised bars (recomputed in full, T11)."""
-    return bars.groupBy("exchange", "symbol").agg(
+    return bars.groupBy("exchange", "symbol").agg(*_bounds())
+
+
+def _bounds() -> list[Column]:
+    return [
         F.min("time").alias("earliest_feature_time"), F.max("time").alias("latest_feature_time"), F.max(F.when(F.col("is_finalized"), F.col("time"))).alias("finalized_through"),
         F.count("*").alias("feature_rows"), F.count_if("is_finalized").alias("finalized_bars"),
+    ]
+
+
+def feature_partials(bars: DataFrame) -> DataFrame:
+    """K6: mergeable parts of the materialisation state, one row a (exchange, symbol, day)."""
+    return bars.groupBy("exchange", "symbol", F.to_date("time").alias("day")).agg(*_bounds())
+
+
+def refreshed_partials(held: DataFrame, bars: DataFrame, changed: DataFrame) -> DataFrame:
+    """K6: ``held`` parts with those of the days in ``changed`` (exchange, symbol, time) made anew from ``bars``.
+
+    Only those days of ``bars`` are read. A day that has no bars any more has no part. Run twice, the result is the same,
+    and rows that come again are never added up (T11).
+    """
+    days = changed.select("exchange", "symbol", F.to_date("time").alias("day")).distinct()
+    near = bars.withColumn("day", F.to_date("time")).join(days, ["exchange", "symbol", "day"], "left_semi").drop("day")
+    return held.join(days, ["exchange", "symbol", "day"], "left_anti").unionByName(feature_partials(near))
+
+
+def state_of_partials(parts: DataFrame) -> DataFrame:
+    """K6: the materialisation state from its parts, without another look at the bars."""
+    return parts.groupBy("exchange", "symbol").agg(
+        F.min("earliest_feature_time").alias("earliest_feature_time"), F.max("latest_feature_time").alias("latest_feature_time"), F.max("finalized_through").alias("finalized_through"),
+        F.sum("feature_rows").alias("feature_rows"), F.sum("finalized_bars").alias("finalized_bars"),
     )
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import docs as D
+from strandline.operators import postings
 from strandline.operators import state as S
 from strandline.plans.common import Market, query, r, rounded, rr, sql
+from strandline.sources.scratch import scratch_path
 
 #: Frequent tokens of the invented prose; the operators take word lists as arguments.
 POSITIVE = ["the", "of", "and", "der", "und"]
@@ -146,15 +148,21 @@ _BM = {
 }
 
 
+def _ranked(m: Market):
+    path = scratch_path(m.spark, "postings")
+    postings.build(m.staging, path)
+    return postings.rank(m.spark, path, TERMS, 20)
+
+
 @query("text_rank", sql(f"SELECT id, collection, {rr('score')}, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM bm ORDER BY round(score, 9) DESC, id LIMIT 20", "staging", extra=_BM))
 def text_rank(m: Market):
-    return rounded(D.text_rank(m.staging, TERMS, 20))
+    return rounded(_ranked(m))
 
 
 @query("hybrid_rrf", sql(f"SELECT key, collection, lists, {rr('score', digits=9)} FROM (SELECT key, sum(1.0::DOUBLE / (60 + rank)) AS score, arg_min(collection, s) AS collection, count(*) AS lists FROM (SELECT id AS key, collection, 0 AS s, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM v ORDER BY score DESC, id LIMIT 20) UNION ALL SELECT id, collection, 1, row_number() OVER (ORDER BY round(score, 9) DESC, id) FROM (SELECT * FROM bm ORDER BY round(score, 9) DESC, id LIMIT 20)) GROUP BY key) ORDER BY round(score, 12) DESC, key LIMIT 20", "vectors", "staging", extra={"v": _VEC, **_BM}))
 def hybrid_rrf(m: Market):
     v = D.vector_top_k(m.vectors, _QV, 20).withColumnRenamed("id", "key")
-    t = D.text_rank(m.staging, TERMS, 20).withColumnRenamed("id", "key")
+    t = _ranked(m).withColumnRenamed("id", "key")
     return D.fuse(v, t, 20).select("key", "collection", "lists", r("score", 9).alias("score"))
 
 

@@ -392,10 +392,15 @@ def participation(m: Market):
     return rounded(P.participation(m.daily_bars.select("symbol", ((F.col("close") - 250) / 250).alias("regime"), net.alias("net"), F.abs(net).alias("gross")), ["symbol"], 0.3))
 
 
-@query("ema_backtest")
+_STEPS_521 = ("close AS a, close AS b", f"{_alpha(5)} * o.close + (1 - {_alpha(5)}) * e.a, {_alpha(21)} * o.close + (1 - {_alpha(21)}) * e.b")
+
+
+@query("ema_backtest", _recursive(f"""SELECT symbol, time, {rr('position', 'sr AS strategy_ret', 'eq AS equity', 'eq / max(eq) OVER (PARTITION BY symbol ORDER BY time) - 1 AS drawdown', digits=8)} FROM (SELECT *, exp(sum(ln(1 + sr)) OVER ({_W})) AS eq FROM
+    (SELECT *, greatest(-0.9999, position * ret - abs(position - coalesce(lag(position) OVER ({_W}), 0)) * 6 / 10000.0) AS sr FROM (SELECT *, coalesce(lag(CASE WHEN a > b AND vol <= mv THEN 1.0 ELSE 0.0 END) OVER ({_W}), 0) AS position FROM
+    (SELECT *, avg(vol) OVER ({_W}) AS mv FROM (SELECT *, stddev_pop(ret) OVER ({_W} ROWS 59 PRECEDING) AS vol FROM (SELECT e.symbol, e.time, a, b, coalesce(o.close / nullif(lag(o.close) OVER (PARTITION BY e.symbol ORDER BY e.time), 0) - 1, 0) AS ret FROM e JOIN o ON o.symbol = e.symbol AND o.k = e.k))))))""", *_STEPS_521))
 def ema_backtest(m: Market):
-    """The recursion is checked by ``ewm_ema``; the tests compare this with a pandas fold."""
-    return P.cross_backtest(X.ema(m.daily_bars.select("symbol", "time", "close"), {"ema_fast": 5, "ema_slow": 21})).select("symbol", "time", "position", "strategy_ret", "equity", "drawdown")
+    done = P.cross_backtest(X.ema(m.daily_bars.select("symbol", "time", "close"), {"ema_fast": 5, "ema_slow": 21}))
+    return rounded(done.select("symbol", "time", "position", "strategy_ret", "equity", "drawdown"), 8)
 
 
 @query("sweep", sql(f"""SELECT symbol, fast, slow, {rr('exp(sum(CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN ln(1 + net) ELSE 0 END)) - 1 AS train_return', 'exp(sum(CASE WHEN i > floor(n * 0.7::DOUBLE) THEN ln(1 + net) ELSE 0 END)) - 1 AS test_return', digits=8)} FROM (SELECT *, greatest(pos * ret - abs(pos - coalesce(lag(pos) OVER pw, 0)) * 6 / 10000.0, -0.9999) AS net FROM (SELECT *, coalesce(lag(CASE WHEN fa - sa > 1e-9 THEN 1.0 ELSE 0.0 END) OVER pw, 0) AS pos FROM sg WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)) WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)) GROUP BY 1, 2, 3""", "db", extra={
