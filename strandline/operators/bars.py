@@ -62,9 +62,10 @@ def bars_5m(candles_5m: DataFrame, trades_1m: DataFrame, books_1m: DataFrame, co
     o = books_1m.groupBy(*by).agg(*[F.avg(c).alias(c) for c in BOOK], F.sum("orderbook_samples").alias("orderbook_samples"))
     a = context_1m.groupBy(*by).agg(F.avg("funding_rate").alias("funding_rate"), F.avg("open_interest").alias("open_interest"), F.count("*").alias("context_samples"))
     c = candles_5m.select(*KEYS, "open", "high", "low", "close", "volume", "num_trades")
-    spine = reduce(DataFrame.union, [x.select(*KEYS) for x in (c, t, o)]).distinct()
-    seen = lambda df, name: df.withColumn(name, F.lit(True))
-    j = spine.join(seen(c, "_c"), KEYS, "left").join(seen(t, "_t"), KEYS, "left").join(seen(o, "_o"), KEYS, "left").join(a, KEYS, "left")
+    # Each part holds a key once, so one grouped pass over their union joins them; a bucket needs a candle, a trade or a book.
+    parts = [df.withColumn(flag, F.lit(True)) for df, flag in ((c, "_c"), (t, "_t"), (o, "_o"), (a, "_a"))]
+    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    j = both.groupBy(*KEYS).agg(*[F.max(x).alias(x) for x in both.columns if x not in KEYS]).filter("_c OR _t OR _o")
     price = lambda name: F.coalesce(F.col(name), F.col("trade_vwap"), F.nullif("mid_price", F.lit(0.0)), F.col("best_bid"), F.col("best_ask"))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     out = j.select(

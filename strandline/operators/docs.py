@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -135,8 +136,30 @@ def audience(df: DataFrame, who: str) -> DataFrame:
     return df.filter(can["human_friendly"]) if who == "human" else df.filter(can["agent_friendly"]) if who == "agent" else df
 
 
-#: Templates and tables are taken out from the innermost, so many levels deep.
-NESTING = 6
+def _outside_braces(text: Column) -> Column:
+    """What stands in no template and no table, however deep they nest. Braces without a partner stay.
+
+    The text is cut at the signs ``{{ }} {| |}``; one fold keeps the texts of the open levels, and a closing sign drops the
+    innermost level of its kind.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\{\{|\}\}|\{\||\|\}|(?:(?!\{\{|\}\}|\{\||\|\}).)+"), F.lit(0))
+    # Levels from the outermost: what opened the level, and its text so far.
+    level = lambda sign, text: F.struct(sign.alias("sign"), text.alias("text"))
+    top = lambda levels: F.element_at(levels, -1)
+    below = lambda levels: F.slice(levels, 1, F.size(levels) - 1)
+    added = lambda levels, more: F.concat(below(levels), F.array(level(top(levels)["sign"], F.concat(top(levels)["text"], more))))
+
+    def step(levels: Column, part: Column) -> Column:
+        closes = F.when(part == "}}", "{{").when(part == "|}", "{|")
+        return (
+            F.when(part.isin("{{", "{|"), F.concat(levels, F.array(level(part, F.lit("")))))
+            .when(closes.isNotNull() & (top(levels)["sign"] == closes), below(levels))
+            .otherwise(added(levels, part))
+        )
+
+    start = F.array(level(F.lit(""), F.lit("")))
+    done = F.aggregate(parts, start, step)
+    return F.array_join(F.transform(done, lambda x: F.concat(x["sign"], x["text"])), "")
 
 
 def clean_wikitext(text: Column) -> Column:
@@ -149,8 +172,7 @@ def clean_wikitext(text: Column) -> Column:
     bare = lambda t, pattern, by="": F.regexp_replace(t, pattern, by)
     text = bare(text, r"(?s)<!--.*?-->")
     text = bare(text, r"(?is)<ref\b[^>]*?(?:/>|>.*?</ref\s*>)")
-    for _ in range(NESTING):
-        text = bare(text, r"\{\{[^{}]*\}\}|\{\|[^{}]*\|\}")
+    text = _outside_braces(text)
     text = bare(text, r"(?i)\[\[\s*:?(?:file|image|category)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]")
     text = bare(text, r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", "$1")
     text = bare(text, r"\[(?:https?|ftp)://[^\s\]]*\s*([^\]]*)\]", "$1")
@@ -159,22 +181,50 @@ def clean_wikitext(text: Column) -> Column:
     return F.trim(bare(bare(text, r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);", " "), r"\s+", " "))
 
 
+#: What a man page loses, in order; the heading sign takes the place of a whole section line.
+MANPAGE = (("\\.TH[^\n]*\n", ""), ("\\.SH[^\n]*\n", "\n### "), ("\\.[A-Z]{2}[^\n]*\n", "\n"))
+
+
 def clean_manpage(text: Column, most: int = 2000) -> Column:
-    """F16: a man page line by line, its first ``most`` characters (the feature's own bound).
+    """F16: a man page without its title, with a heading sign for each section line and without other requests of two
+    capitals; the first ``most`` characters (the feature's own bound)."""
+    return F.substring(reduce(lambda t, rule: F.regexp_replace(t, *rule), MANPAGE, text), 1, most)
+
+
+def render_manpage(title: Column, kind: Column, section: Column, path: Column, content: Column, most: int = 2000) -> Column:
+    """F16: a man page as text: its fields, then its clean content and, where that was longer, the length of the whole."""
+    field = lambda name, c: F.concat(F.lit(f"**{name}:** "), c)
+    more = F.when(F.length(content) > most, F.concat(F.lit("\n...\n*(Full content: "), F.length(content).cast("string"), F.lit(" characters)*")))
+    return F.concat_ws("\n", F.concat(F.lit("# "), title), F.lit(""), field("Type", kind), field("Section", section), field("Path", path), F.lit(""), F.lit("## Content"), F.lit(""), clean_manpage(content, most), more)
+
+
+def byte_size(n: Column) -> Column:
+    """bytes in the largest of B, KB, MB and GB that they fill."""
+    unit = lambda k, name: F.concat(F.format_string("%.2f", n / float(1024**k)), F.lit(f" {name}"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1, "KB")).when(n < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
+
+
+def render_torrent() -> Column:
+    """a row of ``io.read_torrents`` as text."""
+    created = F.when(F.col("created").isNotNull(), F.concat(F.lit("**Created:** "), F.date_format(F.timestamp_seconds("created"), "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    counts = F.format_string("**Seeders:** %d | **Leechers:** %d | **Completed:** %d", "seeders", "leechers", "completed")
+    return F.concat_ws("\n", F.concat(F.lit("# "), "name"), F.lit(""), F.concat(F.lit("**Infohash:** "), "infohash"), F.concat(F.lit("**Size:** "), byte_size(F.col("size_bytes"))), created, counts, F.lit(""), F.concat(F.lit("**Magnet Link:** magnet:?xt=urn:btih:"), "infohash"))
+
+
+def render_vulnerability(most: int = 10) -> Column:
+    """a row of ``flatten_vulnerability`` as text, with its first ``most`` products and the number of the others."""
+    score = F.coalesce(F.concat(F.lit(" (CVSS: "), F.col("base_score").cast("string"), F.lit(")")), F.lit(""))
+    left = F.size("products") - most
+    listed = F.concat(F.transform(F.slice("products", 1, most), lambda p: F.concat(F.lit("- "), p)), F.when(left > 0, F.array(F.concat(F.lit("- ... and "), left.cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>")))
+    products = F.when(F.size("products") > 0, F.concat(F.lit("\n## Affected Products\n"), F.array_join(listed, "\n")))
+    return F.concat_ws("\n", F.concat(F.lit("# "), "id"), F.lit(""), F.concat(F.lit("**Severity:** "), "severity", score), F.concat(F.lit("**Published:** "), "published"), F.lit(""), F.lit("## Description"), "description", products)
 
-    A section macro becomes a heading, a font macro leaves its words, a title and any other request goes; what stands in
-    plain lines stays, less font escapes.
-    """
-    request = lambda line: F.regexp_extract(line, r"^[.'][ \t]*([A-Za-z]{1,3})\b", 1)
-    words = lambda line: F.trim(F.regexp_replace(F.regexp_replace(line, r"^[.'][ \t]*[A-Za-z]{1,3}\b", ""), '"', ""))
-    shown = lambda line: (
-        F.when(~F.regexp_like(line, F.lit(r"^[.']")), line).when(request(line).isin("SH", "SS"), F.concat(F.lit("\n### "), words(line)))
-        .when(request(line).isin("B", "I", "BR", "BI", "IR", "IB", "RB", "RI", "SM", "SB"), words(line))
-    )
-    lines = F.array_compact(F.transform(F.split(text, "\n"), shown))
-    plain = F.regexp_replace(F.array_join(lines, "\n"), r"\\\\f(?:[BIRP]|\\[[A-Z]*\\]|\\([A-Z]{2})", "")
-    return F.substring(F.trim(F.regexp_replace(plain, r"\\\\-", "-")), 1, most)
 
+def json_list(text: Column) -> Column:
+    """a JSON array of texts as a list, a JSON text or bare text as a list of one; null and empty text as none."""
+    listed = F.from_json(text, "array<string>")
+    one = F.regexp_replace(F.trim(text), r'^"(.*)"$', "$1")
+    return F.when(F.coalesce(F.trim(text), F.lit("")).isin("", "null"), F.array().cast("array<string>")).when(F.startswith(F.trim(text), F.lit("[")), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.array(one))
 
 
 def page_text(html: Column, url: Column, most: int = 10_000) -> dict[str, Column]:

@@ -161,6 +161,11 @@ def rolling_median(c: str, n: int) -> Column:
     return F.when(k == n, (F.element_at(values, F.floor((k + 1) / 2).cast("int")) + F.element_at(values, F.ceil((k + 1) / 2).cast("int"))) / 2.0)
 
 
+def relative_to_median(c: str, n: int) -> Column:
+    """A value over its median of the last ``n`` rows; null where that is zero or rows are missing."""
+    return F.try_divide(F.col(c), rolling_median(c, n))
+
+
 def ema(df: DataFrame, spans: dict[str, int], c: str = "close", by: list[str] = BY, width: int = DAY) -> DataFrame:
     """Recursive averages seeded with the first value; a row without a value keeps the average of the one before.
 

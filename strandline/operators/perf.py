@@ -219,6 +219,12 @@ def sweep(bars: DataFrame, fast: list[int], slow: list[int], fee_bps: float = 6.
     return j.groupBy("symbol", "fast", "slow").agg(part(inside).alias("train_return"), part(~inside).alias("test_return"))
 
 
+def best_out_of_sample(swept: DataFrame, by: list[str], params: list[str], top: int = 5) -> DataFrame:
+    """B2: the ``top`` parameter sets of each key by their return in sample, with their rank and return out of sample."""
+    order = Window.partitionBy(*by).orderBy(F.desc(F.round("train_return", 10)), *params)
+    return swept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(*by, *params, "rank", "train_return", "test_return")
+
+
 def walk_forward(returns: DataFrame, window_days: int = 3, step_days: int = 1, split: float = 0.7) -> DataFrame:
     """Overlapping windows of days, each cut into train and test; return of both parts by symbol and window."""
     day = F.datediff("time", F.lit("1970-01-01"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -255,7 +257,7 @@ def edge_estimates(raw: DataFrame, vectors: DataFrame, score: Column, maker_bps:
     j = j.withColumn("expected_net_edge_bps", F.col("empirical_score") * 10_000.0 - F.col("expected_cost_bps") - F.col("turnover_penalty_bps"))
     bounds = j.groupBy("time").agg(F.collect_list("expected_net_edge_bps").alias("_e")).select("time", floor_quantile(F.col("_e"), quantile).alias("lower_bound"), floor_quantile(F.col("_e"), 1 - quantile).alias("upper_bound"))
     out = j.join(bounds, "time")
-    return out.select("time", "symbol", "empirical_score", "residual_rank", "confidence", "expected_cost_bps", "turnover_penalty_bps", "expected_net_edge_bps", "lower_bound", "upper_bound", F.when(F.col("expected_net_edge_bps") >= 0, "LONG").otherwise("SHORT").alias("direction"), "volatility", "liquidity_rank", "trend_agreement")
+    return out.select("time", "symbol", "empirical_score", "residual_rank", "confidence", "expected_cost_bps", "turnover_penalty_bps", "expected_net_edge_bps", "lower_bound", "upper_bound", F.when(F.col("expected_net_edge_bps") >= 0, "LONG").otherwise("SHORT").alias("direction"), "volatility", "liquidity_rank", "trend_agreement", "pullback", "expansion")
 
 
 def impact_bps(weight: Column, capital_usd: float, depth_usd: Column) -> Column:
@@ -276,6 +278,55 @@ def eligible(edges: DataFrame, min_confidence: float = 0.2, min_agreement: float
     return edges.withColumns({"gate_confidence": F.col("confidence") >= min_confidence, "gate_agreement": F.col("trend_agreement") >= min_agreement, "gate_tail": tail, "gate_edge": F.abs("expected_net_edge_bps") >= edge_floor_bps}).withColumn("eligible", F.col("gate_confidence") & F.col("gate_agreement") & F.col("gate_tail") & F.col("gate_edge"))
 
 
+@dataclass(frozen=True)
+class GateRules:
+    """Thresholds of the entry gates. ``flat_gate`` is none, gross, edge or combined; ``flat_entry`` none, dispersion, confirmation or combined."""
+
+    min_confidence: float = 0.2
+    min_agreement: float = 0.0
+    entry_edge_bps: float = 0.0
+    hold_edge_bps: float = 0.0
+    plateau_bps: float = 0.0
+    suppression: float = 0.5  # regime score from which one direction is closed
+    flat_trend: float = 0.15
+    flat_breadth: float = 0.15
+    flat_gate: str = "none"
+    flat_edge_boost_bps: float = 0.0
+    flat_entry: str = "none"
+    flat_min_dispersion: float = 0.0
+    flat_agreement_boost: float = 0.0
+
+
+def entry_gates(signals: DataFrame, regimes: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
+    """The gates of each signal under its time's regime, for new entries and for what is held already.
+
+    ``signals`` as of ``edge_estimates`` with a ``current_weight``; ``regimes`` as of ``regimes``. A position held in the
+    signal's direction needs no entry style, no dispersion and no stronger agreement, and only the edge to hold.
+    """
+    at = regimes.select("time", F.col("score").alias("_score"), F.col("anchor_trend").alias("_trend"), F.col("breadth").alias("_breadth"), F.col("dispersion").alias("_dispersion"))
+    j = signals.join(at, "time")
+    long = F.col("direction") == "LONG"
+    edge = F.when(long, F.col("expected_net_edge_bps")).otherwise(-F.col("expected_net_edge_bps"))
+    held = F.when(long, F.col("current_weight") > 1e-9).otherwise(F.col("current_weight") < -1e-9)
+    flat = (F.abs("_trend") <= min(max(rules.flat_trend, 0.0), 1.0)) & (F.abs("_breadth") <= min(max(rules.flat_breadth, 0.0), 1.0))
+    checked = lambda *modes: flat & ~held & F.lit(rules.flat_entry in modes)
+    raised = min(max(rules.min_agreement + rules.flat_agreement_boost, 0.0), 1.0)
+    needed = F.when(checked("confirmation", "combined"), raised).otherwise(rules.min_agreement)
+    boost = F.when(flat & F.lit(rules.flat_gate in ("edge", "combined")), max(rules.flat_edge_boost_bps, 0.0)).otherwise(0.0)
+    bound = F.when(long, F.col("upper_bound")).otherwise(-F.col("lower_bound"))
+    gates = {
+        "gate_confidence": F.col("confidence") >= rules.min_confidence,
+        "gate_agreement": F.col("trend_agreement") >= needed,
+        "gate_style": held | (F.col("pullback") >= 1.0) | (F.col("expansion") >= 0.55) & (F.col("trend_agreement") >= max(rules.min_agreement, 0.25)),
+        "gate_regime": (F.abs("_score") < min(max(rules.suppression, 0.0), 1.0)) | F.when(F.col("_score") > 0, long).when(F.col("_score") < 0, ~long).otherwise(True),
+        "gate_dispersion": ~checked("dispersion", "combined") | (F.col("_dispersion") >= min(max(rules.flat_min_dispersion, 0.0), 1.0)),
+        "gate_edge": edge >= F.when(held, rules.hold_edge_bps).otherwise(F.lit(rules.entry_edge_bps) + boost),
+        "gate_tail": (edge + max(rules.plateau_bps, 0.0) >= bound) | held & (edge >= rules.hold_edge_bps),
+    }
+    out = j.withColumns(gates | {"incumbent": held}).drop("_score", "_trend", "_breadth", "_dispersion")
+    return out.withColumn("eligible", reduce(lambda a, b: a & b, [F.col(g) for g in gates]))
+
+
 def allocate(signals: DataFrame, quantile: float = 0.25, max_side: int = 8, gross: float = 0.5, net: float = 0.0, max_weight: float = 0.08, turnover_bps: float = 4.0, exposure: tuple[float, float] = (0.35, 1.0), equal: bool = False, long_short: bool = True) -> DataFrame:
     """Sides by sign of the score, the best by priority with an incumbent bonus, volatility-scaled or equal weights,
     capped, and dropped where the edge after turnover isn't positive. ``signals`` holds one portfolio a ``time``."""

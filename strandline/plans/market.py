@@ -12,6 +12,7 @@ from strandline.operators import research as R
 from strandline.operators import state as S
 from strandline.plans.common import AS_OF_TEXT, START_TEXT, Market, as_of, query, r, rounded, rr, sql, start
 from strandline.sources import io
+from strandline.sources.scratch import stored
 
 T = f"TIMESTAMP '{AS_OF_TEXT}'"
 T0 = f"TIMESTAMP '{START_TEXT}'"
@@ -293,8 +294,8 @@ _HNUM = ["coverage_ratio", "finalized_ratio", "finalized_lag_minutes", "recent_c
 
 
 def _symbols(m: Market):
-    bars = m.bars_5m
-    return H.symbol_health(m.sync, bars, F.lit(_HEALTH_AT).cast("timestamp"))
+    # Both are read several times; the bars and the bounds are computed once.
+    return H.symbol_health(stored(m.sync, "sync"), stored(m.bars_5m, "bars"), F.lit(_HEALTH_AT).cast("timestamp"))
 
 
 @query("health_symbol", sql(f"SELECT {', '.join(_HCOLS)}, {rr(*_HNUM)} FROM h", "sync", "b5", extra=_HEALTH))

@@ -10,6 +10,7 @@ from strandline.operators import features as X
 from strandline.operators import perf as P
 from strandline.operators import research as R
 from strandline.plans.common import Market, query, r, rounded, rr, sql
+from strandline.sources.scratch import stored
 
 _W = "PARTITION BY symbol ORDER BY time"
 
@@ -276,7 +277,7 @@ _EDGE = {
 
 
 def _edges(m: Market):
-    raw = _signals(m)
+    raw = stored(_signals(m), "signals")
     return R.edge_estimates(raw, R.feature_vectors(raw), F.col("trend") * 0.01)
 
 

@@ -1,15 +1,17 @@
-"""Registered queries on incremental state, anchored search spaces, train-only windows, multi-pass fits and bootstraps."""
+"""Registered queries on incremental state, search spaces, train-only windows, multi-pass fits, bootstraps, entry gates and renderings."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.operators import bars as B
+from strandline.operators import docs as D
 from strandline.operators import perf as P
 from strandline.operators import research as R
 from strandline.operators import space
 from strandline.operators import state as S
-from strandline.plans.common import Market, query, sql
-from strandline.plans.research import _GX, _ret, _signals
+from strandline.plans.common import Market, as_of, query, rounded, rr, sql
+from strandline.plans.research import _EDGE, _GX, _W, _edges, _rk, _ret, _signals
 from strandline.sources.scratch import stored
 
 _CUT, _LATE_DAY = "2024-01-20", "2024-01-10"
@@ -63,3 +65,130 @@ def ridge_multipass(m: Market):
 def reality_check_circular(m: Market):
     """Hashed draws, so there is no SQL form; the tests compare p with a simulation."""
     return P.reality_check(_ret(m).select(F.col("symbol").alias("candidate"), "time", "r"), stationary=False)
+
+
+# ---- entry gates -----------------------------------------------------------------------------------
+
+_RULES = R.GateRules(min_confidence=0.3, min_agreement=0.1, entry_edge_bps=2.0, hold_edge_bps=-5.0, plateau_bps=3.0, suppression=0.2, flat_trend=0.4, flat_breadth=0.3, flat_gate="combined", flat_edge_boost_bps=4.0, flat_entry="combined", flat_min_dispersion=0.1, flat_agreement_boost=0.15)
+_GATES = {
+    **_EDGE,
+    "rgm": f"SELECT time, (avg(km) + avg(ks) + avg((km + ks) / 2) + coalesce(avg((km + ks) / 2) FILTER (WHERE symbol IN ('click', 'view')), 0)) / 4 AS score, coalesce(avg((km + ks) / 2) FILTER (WHERE symbol IN ('click', 'view')), 0) AS market_trend, avg((km + ks) / 2) AS breadth, least(stddev_pop(medium_return), 5) / 5 AS dispersion FROM (SELECT *, {_rk('medium_return')} AS km, {_rk('slow_return')} AS ks FROM sig) GROUP BY time",
+    "bnd": "SELECT time, list_sort(list(edge))[CAST(floor((count(*) - 1) * 0.25) AS BIGINT) + 1] AS lo, list_sort(list(edge))[CAST(floor((count(*) - 1) * 0.75) AS BIGINT) + 1] AS hi FROM ed GROUP BY time",
+    "g1": "SELECT ed.*, lo, hi, score, dispersion, edge >= 0 AS long, CASE WHEN residual_rank > 0.4 THEN 0.05 WHEN residual_rank < -0.4 THEN -0.05 ELSE 0 END AS cw, abs(market_trend) <= 0.4 AND abs(breadth) <= 0.3 AS flat FROM ed JOIN bnd USING (time) JOIN rgm USING (time)",
+    "g2": "SELECT *, CASE WHEN long THEN edge ELSE -edge END AS de, CASE WHEN long THEN cw > 1e-9 ELSE cw < -1e-9 END AS held FROM g1",
+    "g3": """SELECT time, symbol, held AS incumbent, confidence >= 0.3 AS gate_confidence, trend_agreement >= CASE WHEN flat AND NOT held THEN 0.25 ELSE 0.1 END AS gate_agreement, held OR pullback >= 1 OR (expansion >= 0.55 AND trend_agreement >= 0.25) AS gate_style,
+        abs(score) < 0.2 OR CASE WHEN score > 0 THEN long ELSE NOT long END AS gate_regime, NOT (flat AND NOT held) OR dispersion >= 0.1 AS gate_dispersion, de >= CASE WHEN held THEN -5.0 WHEN flat THEN 6.0 ELSE 2.0 END AS gate_edge, de + 3.0 >= CASE WHEN long THEN hi ELSE -lo END OR (held AND de >= -5.0) AS gate_tail FROM g2""",
+}
+
+
+@query("entry_gates", sql("SELECT *, gate_confidence AND gate_agreement AND gate_style AND gate_regime AND gate_dispersion AND gate_edge AND gate_tail AS eligible FROM g3", "gr", extra=_GATES))
+def entry_gates(m: Market):
+    """R16 with all gates; positions are held on the side of the outer ranks."""
+    rank = F.col("residual_rank")
+    edges = stored(_edges(m).withColumn("current_weight", F.when(rank > 0.4, 0.05).when(rank < -0.4, -0.05).otherwise(0.0)), "edges")
+    out = R.entry_gates(edges, R.regimes(_signals(m), ("click", "view")), _RULES)
+    return out.select("time", "symbol", "incumbent", *[c for c in out.columns if c.startswith("gate_")], "eligible")
+
+
+# ---- drift, repair, sweeps -------------------------------------------------------------------------
+
+_LIVE_RUNS = "SELECT CASE WHEN o_orderstatus = 'F' THEN 'A' WHEN o_orderstatus = 'O' THEN 'N' ELSE 'R' END AS strategy_name, CAST(o_orderkey % 20 AS VARCHAR) AS symbol, trades, net_return_pct, run_at, run_id FROM runs JOIN orders ON run_id = o_orderkey"
+
+
+@query("drift_score", sql(f"""SELECT strategy_name, exchange, symbol, observed_at, order_key, {rr('live AS live_edge_bps', 'e AS backtest_edge_bps', 'fq AS fill_quality_delta_bps', 'sd AS slippage_drift_bps', 'ld AS latency_drift_ms', 'greatest(fq, 0) + greatest(sd, 0) + greatest(ld, 0) / 100 + greatest(coalesce(e, 0) - live, 0) AS drift_score', digits=4)} FROM
+    (SELECT *, -total_cost_bps AS live, (avg(fill_ratio) OVER k - fill_ratio) * 10000 AS fq, slippage_bps - avg(slippage_bps) OVER k AS sd, fill_ms - avg(fill_ms) OVER k AS ld FROM (SELECT *, 0.8 + requested / 500.0 AS fill_ratio FROM costs) JOIN
+    (SELECT strategy_name, exchange, symbol, observed_at, avg(order_key % 997) AS fill_ms FROM costs GROUP BY ALL) USING (strategy_name, exchange, symbol, observed_at) WINDOW k AS (PARTITION BY strategy_name, symbol))
+    LEFT JOIN (SELECT strategy_name, symbol, arg_max(CASE WHEN trades > 0 THEN net_return_pct * 100 / trades ELSE net_return_pct * 100 END, (run_at, run_id)) AS e FROM lr GROUP BY ALL) USING (strategy_name, symbol)""", "costs", "runs", extra={"lr": _LIVE_RUNS}))
+def drift_score(m: Market):
+    """With latencies at the same instants and the score of all four parts."""
+    four = ["strategy_name", "exchange", "symbol", "observed_at"]
+    costs = m.costs.withColumn("fill_ratio", 0.8 + F.col("requested") / 500.0)
+    latency = costs.groupBy(*four).agg(F.avg(F.col("order_key") % 997).alias("fill_ms"))
+    d = P.drift(costs, latency, _live_runs(m))
+    return rounded(d.select(*four, "order_key", "live_edge_bps", "backtest_edge_bps", "fill_quality_delta_bps", "slippage_drift_bps", "latency_drift_ms", "drift_score"), 4)
+
+
+def _live_runs(m: Market):
+    status = F.col("o_orderstatus")
+    names = m.table("orders").select(F.col("o_orderkey").alias("run_id"), F.when(status == "F", "A").when(status == "O", "N").otherwise("R").alias("strategy_name"), (F.col("o_orderkey") % 20).cast("string").alias("symbol"))
+    return m.runs.drop("strategy_name", "symbol").join(names, "run_id")
+
+
+@query("baseline_latest_run", sql(f"SELECT strategy_name, {rr('avg(total_cost_bps) AS avg_total_cost_bps', 'avg(slippage_bps) AS avg_slippage_bps', 'avg(CASE WHEN order_key % 3 <> 0 THEN requested / 50.0 END) AS avg_fill_ratio', 'max(e) AS backtest_edge_bps')} FROM costs LEFT JOIN (SELECT strategy_name, arg_max(CASE WHEN trades > 0 THEN net_return_pct * 100 / trades END, (run_at, run_id)) AS e FROM lr WHERE trades > 0 GROUP BY 1) USING (strategy_name) GROUP BY 1", "costs", "runs", extra={"lr": _LIVE_RUNS}))
+def baseline_latest_run(m: Market):
+    """Costs by strategy beside the edge per trade of its latest run with trades."""
+    from strandline.operators import costs as C
+
+    fill = F.when(F.col("order_key") % 3 == 0, F.lit('{"fillRatio": "n/a"}')).otherwise(F.concat(F.lit('{"fillRatio": '), (F.col("requested") / 50.0).cast("string"), F.lit("}")))
+    return rounded(C.execution_baseline(m.costs.withColumn("metadata", fill), _live_runs(m).filter("trades > 0")))
+
+
+@query("repair_missing", sql("SELECT time, symbol, exchange FROM (SELECT time_bucket(INTERVAL '5 minutes', t.time) AS time, symbol, exchange FROM trades t EXCEPT SELECT time_bucket(INTERVAL '5 minutes', t.time), symbol, exchange FROM trades t WHERE side = 'buy') ORDER BY 1 DESC, 2, 3 LIMIT 500", "trades"))
+def repair_missing(m: Market):
+    """J7 where candles are missing: bars whose candles saw the buys only."""
+    from strandline.functions.columns import bucket
+
+    bars = B.bars_5m(B.candles(m.trades.filter("side = 'buy'"), "5 minutes"), B.minute_trades(m.trades), B.minute_books(m.books), B.minute_context(m.context), as_of())
+    return S.repair_times(m.trades.select(bucket("time", "5 minutes").alias("time"), "symbol", "exchange"), bars, 500)
+
+
+_FAST, _SLOW = (2, 3, 5), (8, 10, 20)
+_SWEPT = {
+    "sa0": f"SELECT symbol, time, coalesce(close / nullif(lag(close) OVER ({_W}), 0) - 1, 0) AS ret, row_number() OVER ({_W}) AS i, count(*) OVER (PARTITION BY symbol) AS n, {', '.join(f'avg(close) OVER ({_W} ROWS {n - 1} PRECEDING) AS a{n}' for n in (*_FAST, *_SLOW))} FROM db",
+    "sg": " UNION ALL ".join(f"SELECT symbol, time, ret, i, n, {f} AS fast, {s} AS slow, a{f} AS fa, a{s} AS sa FROM sa0" for f in _FAST for s in _SLOW),
+    "sp": "SELECT *, coalesce(lag(CASE WHEN fa - sa > 1e-9 THEN 1.0 ELSE 0.0 END) OVER pw, 0) AS pos FROM sg WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)",
+    "sn": "SELECT *, greatest(pos * ret - abs(pos - coalesce(lag(pos) OVER pw, 0)) * 6 / 10000.0, -0.9999) AS net FROM sp WINDOW pw AS (PARTITION BY symbol, fast, slow ORDER BY time)",
+    "st": "SELECT symbol, fast, slow, exp(sum(CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN ln(1 + net) ELSE 0 END)) - 1 AS train_return, exp(sum(CASE WHEN i > floor(n * 0.7::DOUBLE) THEN ln(1 + net) ELSE 0 END)) - 1 AS test_return FROM sn GROUP BY 1, 2, 3",
+}
+
+
+@query("sweep_best", sql(f"SELECT symbol, fast, slow, rank, {rr('train_return', 'test_return', digits=8)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(train_return, 10) DESC, fast, slow) AS rank FROM st) WHERE rank <= 5", "db", extra=_SWEPT))
+def sweep_best(m: Market):
+    """B2: the five best of nine parameter pairs in sample, and what they do out of it."""
+    return rounded(P.best_out_of_sample(P.sweep(m.daily_bars, list(_FAST), list(_SLOW)), ["symbol"], ["fast", "slow"], 5), 8)
+
+
+@query("relative_volatility", sql(f"SELECT symbol, time, {rr('v / nullif(med, 0) AS relative_volatility')} FROM (SELECT *, CASE WHEN count(v) OVER w = 20 THEN median(v) OVER w END AS med FROM (SELECT symbol, time, CASE WHEN count(r) OVER (PARTITION BY symbol ORDER BY time ROWS 9 PRECEDING) = 10 THEN stddev_samp(r) OVER (PARTITION BY symbol ORDER BY time ROWS 9 PRECEDING) END AS v FROM gr) WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS 19 PRECEDING))", "gr"))
+def relative_volatility(m: Market):
+    """The deviation of ten returns over its median of twenty bars."""
+    from strandline.operators import features as X
+
+    ten = X.frame(X.BY, "time", 9)
+    df = X.with_returns(m.grid).withColumn("v", F.when(F.count("r").over(ten) == 10, F.stddev_samp("r").over(ten)))
+    return rounded(df.withColumn("relative_volatility", X.relative_to_median("v", 20)).select("symbol", "time", "relative_volatility"))
+
+
+# ---- renderings ------------------------------------------------------------------------------------
+
+
+@query("manpages", sql(r"""SELECT id, '# ' || id || chr(10) || chr(10) || '**Type:** man' || chr(10) || '**Section:** 1' || chr(10) || '**Path:** /' || source || chr(10) || chr(10) || '## Content' || chr(10) || chr(10) || left(c, 2000) || CASE WHEN length(t) > 2000 THEN chr(10) || chr(10) || '...' || chr(10) || '*(Full content: ' || length(t) || ' characters)*' ELSE '' END AS page FROM
+    (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '\.TH[^\n]*\n', '', 'g'), '\.SH[^\n]*\n', chr(10) || '### ', 'g'), '\.[A-Z]{2}[^\n]*\n', chr(10), 'g') AS c FROM (SELECT id, source, '.TH ' || id || ' 1' || chr(10) || '.SH NAME' || chr(10) || replace(coalesce(text, ''), chr(10), chr(10) || '.PP' || chr(10)) AS t FROM staging))""", "staging"))
+def manpages(m: Market):
+    """F16: the given texts set as man pages, a paragraph request between lines."""
+    page = F.concat(F.lit(".TH "), "id", F.lit(" 1\n.SH NAME\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n.PP\n")))
+    return m.staging.select("id", D.render_manpage(F.col("id"), F.lit("man"), F.lit("1"), F.concat(F.lit("/"), "source"), page).alias("page"))
+
+
+@query("render_torrents", sql("""SELECT infohash, concat_ws(chr(10), '# ' || p_name, '', '**Infohash:** ' || infohash, '**Size:** ' || CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f', n / 1024.0::DOUBLE) || ' KB' WHEN n < 1073741824 THEN printf('%.2f', n / 1048576.0::DOUBLE) || ' MB' ELSE printf('%.2f', n / 1073741824.0::DOUBLE) || ' GB' END,
+    CASE WHEN p_size % 3 <> 0 THEN '**Created:** ' || strftime(make_timestamp((1700000000 + p_partkey) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END, '**Seeders:** ' || p_size || ' | **Leechers:** ' || p_partkey % 7 || ' | **Completed:** ' || p_partkey, '', '**Magnet Link:** magnet:?xt=urn:btih:' || infohash) AS page FROM (SELECT *, md5(p_name || p_partkey) AS infohash, CAST(p_partkey AS BIGINT) * p_partkey * p_size * 37 AS n FROM part)"""))
+def render_torrents(m: Market):
+    """parts as rows of a torrent list, of all orders of size."""
+    p, key = m.table("part"), F.col("p_partkey")
+    rows = p.select(
+        F.md5(F.concat("p_name", key.cast("string")).cast("binary")).alias("infohash"), F.col("p_name").alias("name"), (key.cast("long") * key * F.col("p_size") * 37).alias("size_bytes"),
+        F.when(F.col("p_size") % 3 != 0, F.lit(1700000000) + key).alias("created"), F.col("p_size").cast("int").alias("seeders"), (key % 7).cast("int").alias("leechers"), key.cast("int").alias("completed"),
+    )
+    return rows.select("infohash", D.render_torrent().alias("page"))
+
+
+@query("render_vulnerabilities", sql("""SELECT c_custkey, concat_ws(chr(10), '# ' || c_name, '', '**Severity:** ' || c_mktsegment || CASE WHEN c_custkey % 4 <> 0 THEN ' (CVSS: ' || (c_custkey % 10) || '.5)' ELSE '' END, '**Published:** 2024', '', '## Description', c_name || ' of ' || c_nationkey, CASE WHEN len(w) > 0 THEN chr(10) || '## Affected Products' || chr(10) || array_to_string(list_transform(w[1:10], lambda x: '- ' || x), chr(10)) || CASE WHEN len(w) > 10 THEN chr(10) || '- ... and ' || (len(w) - 10) || ' more' ELSE '' END END) AS page
+    FROM (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, coalesce(list_sort(list(DISTINCT CAST(o_orderkey AS VARCHAR)) FILTER (WHERE o_orderkey IS NOT NULL)), []) AS w FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)"""))
+def render_vulnerabilities(m: Market):
+    """customers as records, their orders as the products."""
+    products = m.table("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_set(F.col("o_orderkey").cast("string"))).alias("products"))
+    key = F.col("c_custkey")
+    rows = m.table("customer").join(products, "c_custkey", "left").select(
+        "c_custkey", F.col("c_name").alias("id"), F.col("c_mktsegment").alias("severity"), F.when(key % 4 != 0, (key % 10).cast("double") + 0.5).alias("base_score"), F.lit("2024").alias("published"),
+        F.concat("c_name", F.lit(" of "), F.col("c_nationkey").cast("string")).alias("description"), F.coalesce("products", F.array().cast("array<string>")).alias("products"),
+    )
+    return rows.select("c_custkey", D.render_vulnerability().alias("page"))
