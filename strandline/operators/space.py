@@ -8,8 +8,6 @@ that no product is ever built. ``rising`` axes are one wheel of the combinations
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,13 +65,13 @@ def anchored_space(bases: DataFrame, key: list[str], axes: dict[str, list], mode
         elif n == rising[0]:
             wheels.append((f"_w_{n}", _rising([(m, wheel[m]) for m in rising]), list(rising)))
     held = bases.select(*key, *[w.alias(c) for c, w, _ in wheels])
-    sizes = [F.size(c).cast("long") for c, _, _ in wheels]
-    # The number of all combinations, held at the cap so that it can't run over.
-    total = reduce(lambda a, b: F.least(a * b, F.lit(cap).cast("long")), sizes[1:], F.least(sizes[0], F.lit(cap).cast("long")))
-    held = held.withColumn("_total", total).filter("_total > 0")
-    rows = held.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_total") - 1)))
-    chosen, left = [], F.col("place")
-    for (c, _, members), size in reversed(list(zip(wheels, sizes))):
-        chosen += [F.get(c, F.pmod(left, size).cast("int"))[m].alias(m) for m in members]
-        left = F.floor(left / size)
+    # How many configurations pass while a wheel moves on by one: exact up to 2 ** 53, and beyond that above any place.
+    step = F.lit(1.0)
+    for c, _, _ in reversed(wheels):
+        held = held.withColumns({f"_step{c}": step, f"_size{c}": F.size(c).cast("long")})
+        step = F.col(f"_step{c}") * F.col(f"_size{c}")
+    total = F.least(step, F.lit(float(cap))).cast("long")
+    rows = held.withColumn("place", F.explode(F.when(total > 0, F.sequence(F.lit(0).cast("long"), total - 1))))
+    turned = lambda c: F.pmod(F.floor(F.col("place") / F.col(f"_step{c}")), F.col(f"_size{c}")).cast("int")
+    chosen = [F.get(c, turned(c))[m].alias(m) for c, _, members in wheels for m in members]
     return rows.select(*key, "place", *chosen).select(*key, "place", *names)
