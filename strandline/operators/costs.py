@@ -51,8 +51,11 @@ def universe_breakdown(symbols: DataFrame) -> DataFrame:
     return g.unpivot([], ["deep", "core", "tradable", "fragile"], "kind", "symbols")
 
 
-def forward_costs(df: DataFrame, notional_usd: float = 1000.0, maker_bps: float = 1.5, taker_bps: float = 4.5, minutes: int = 15) -> DataFrame:
-    """seven cost components in bps, edge after cost, fill ratio and dollars. Needs spread_pct, ret, depth, mid_price, micro_alpha, funding_rate."""
+def forward_costs(df: DataFrame, notional_usd: float = 1000.0, maker_bps: float = 1.5, taker_bps: float = 4.5, minutes: int = 15, recent_return: Column | None = None) -> DataFrame:
+    """seven cost components in bps, edge after cost, fill ratio and dollars. Needs spread_pct, ret, depth, mid_price, micro_alpha, funding_rate.
+
+    ``recent_return`` is the mean of the last ten returns (null: not known yet), from which the basis drifts.
+    """
     spread = F.greatest("spread_pct", F.lit(0.0)) * 100.0
     alpha = F.abs("micro_alpha")
     depth = F.col("depth") * F.col("mid_price")
@@ -60,11 +63,12 @@ def forward_costs(df: DataFrame, notional_usd: float = 1000.0, maker_bps: float
         "fee_bps": F.when(alpha > 0.35, taker_bps).otherwise(maker_bps), "spread_cost_bps": spread, "slippage_bps": clamp(1.5 + spread * 0.25 + F.abs("ret") * 7000.0, 0.2, 30.0),
         "impact_bps": clamp(F.coalesce(0.6 + safe_divide(F.lit(notional_usd), depth) * 12.0, F.lit(2.0)), 0.3, 18.0), "adverse_selection_bps": clamp(0.8 + alpha * 3.5, 0.4, 8.0),
         "funding_drift_bps": clamp(-F.coalesce("funding_rate", F.lit(0.0)) * 10_000.0 * minutes / 60.0, -5.0, 5.0),
+        "basis_drift_bps": clamp(F.coalesce(F.lit(None).cast("double") if recent_return is None else recent_return, F.lit(0.0)) * 1_000.0, -5.0, 5.0),
     }
     out = df.withColumns(parts)
     total = sum((F.col(c) for c in list(parts)[1:]), F.col("fee_bps"))
     edge = clamp(F.col("micro_alpha") * 10.0, -25.0, 25.0)
-    return out.withColumn("total_cost_bps", total).withColumns({"edge_after_cost_bps": edge - F.col("total_cost_bps"), "fill_ratio": clamp(0.92 - spread / 200.0 - alpha * 0.08, 0.35, 1.0), "estimated_cost_usd": notional_usd * F.abs("total_cost_bps") / 10_000.0})
+    return out.withColumn("total_cost_bps", total).withColumns({"edge_after_cost_bps": edge - F.col("total_cost_bps"), "fill_ratio": clamp(0.92 - spread / 200.0 - alpha * 0.08, 0.35, 1.0), "estimated_fee_usd": notional_usd * F.abs("fee_bps") / 10_000.0, "estimated_cost_usd": notional_usd * F.abs("total_cost_bps") / 10_000.0})
 
 
 # ---- risk ----------------------------------------------------------------------------------------

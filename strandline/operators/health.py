@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.columns import bucket_seconds, lag_seconds
@@ -141,6 +141,33 @@ def summary(evaluated: DataFrame, sample: int = 12) -> DataFrame:
     )
 
 
+def counters(evaluated: DataFrame, t: Thresholds = Thresholds(), sample: int = 12) -> DataFrame:
+    """The whole summary in one row: symbols by state and by what fails, averages and longest lags of the active ones,
+    and the critical symbols with the longest candle lag (never seen first; ties by name). A report of ``sample`` names."""
+    on = F.col("active_recent")
+    fails = {
+        "symbols_missing_required_channels": F.size("missing_channels") > 0, "stale_candle_symbols": F.array_contains("stale_channels", "candle_5m"),
+        "stale_feature_symbols": F.coalesce(F.col("feature_lag_seconds") > t.feature_lag, F.lit(True)), "coverage_fail_symbols": F.col("coverage_ratio") < t.coverage, "finalized_fail_symbols": F.col("finalized_ratio") < t.finalized,
+        "execution_fail_symbols": (F.col("liveness_class") != "LIVE_SPARSE") & (
+            (F.col("recent_feature_rows_24h") > 0) & (F.col("recent_execution_observed_share_24h") < t.execution_observed) | F.exists("missing_channels", lambda c: c != "candle_5m")
+            | F.exists("stale_channels", lambda c: c != "candle_5m") | ~F.col("readiness_eligible") & (F.col("status") != "IDLE_LIVE")
+        ),
+    }
+    counted = {"active_symbols": on, "eligible_symbols": F.col("readiness_eligible"), "inactive_symbols": ~on, "live_sparse_symbols": F.col("liveness_class") == "LIVE_SPARSE"}
+    counted |= {f"{s.lower()}_symbols": F.col("status") == s for s in ("IDLE_LIVE", "HEALTHY", "DEGRADED", "CRITICAL")}
+    mean = lambda c: F.coalesce(F.avg(F.when(on, F.col(c))), F.lit(0.0))
+    most = lambda c: F.coalesce(F.max(F.when(on, F.coalesce(F.col(c), F.lit(0)))), F.lit(0))
+    g = evaluated.agg(
+        F.count("*").alias("tracked_symbols"), *[F.count_if(c).alias(n) for n, c in counted.items()], *[F.count_if(on & c).alias(n) for n, c in fails.items()],
+        mean("coverage_ratio").alias("avg_coverage_ratio_active"), mean("finalized_ratio").alias("avg_finalized_ratio_active"), mean("recent_execution_observed_share_24h").alias("avg_recent_execution_observed_share_24h_active"),
+        most("candle_5m_raw_lag_seconds").alias("max_candle_lag_seconds_active"), most("feature_lag_seconds").alias("max_feature_lag_seconds_active"),
+    )
+    worst = evaluated.filter("status = 'CRITICAL'").orderBy(F.desc_nulls_first("candle_5m_raw_lag_seconds"), "exchange", "symbol").limit(sample)
+    order = F.row_number().over(Window.orderBy(F.desc_nulls_first("candle_5m_raw_lag_seconds"), "exchange", "symbol"))
+    names = worst.select(order.alias("k"), "symbol").agg(F.array_sort(F.collect_list(F.struct("k", "symbol"))).alias("s")).select(F.col("s.symbol").alias("critical_sample"))
+    return g.crossJoin(names)  # both of one row
+
+
 def venue_sanity(local: DataFrame, external: DataFrame) -> DataFrame:
     """Q5: presence of each symbol here and at the venue, and what that means."""
     j = external.select("symbol", F.col("active").alias("listed")).join(local.select("symbol", "active_recent"), "symbol", "full_outer")

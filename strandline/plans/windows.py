@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import bars as B
+from strandline.operators import costs as C
 from strandline.operators import docs as D
+from strandline.operators import health as H
 from strandline.operators import perf as P
 from strandline.operators import research as R
 from strandline.operators import space
 from strandline.operators import state as S
+from strandline.plans import market as M
 from strandline.plans.common import Market, as_of, query, rounded, rr, sql
 from strandline.plans.research import _EDGE, _GX, _W, _edges, _rk, _ret, _signals
 from strandline.sources.scratch import stored
 
+_WX = "PARTITION BY symbol, exchange ORDER BY time"
 _CUT, _LATE_DAY = "2024-01-20", "2024-01-10"
 
 
@@ -117,8 +122,6 @@ def _live_runs(m: Market):
 @query("baseline_latest_run", sql(f"SELECT strategy_name, {rr('avg(total_cost_bps) AS avg_total_cost_bps', 'avg(slippage_bps) AS avg_slippage_bps', 'avg(CASE WHEN order_key % 3 <> 0 THEN requested / 50.0 END) AS avg_fill_ratio', 'max(e) AS backtest_edge_bps')} FROM costs LEFT JOIN (SELECT strategy_name, arg_max(CASE WHEN trades > 0 THEN net_return_pct * 100 / trades END, (run_at, run_id)) AS e FROM lr WHERE trades > 0 GROUP BY 1) USING (strategy_name) GROUP BY 1", "costs", "runs", extra={"lr": _LIVE_RUNS}))
 def baseline_latest_run(m: Market):
     """Costs by strategy beside the edge per trade of its latest run with trades."""
-    from strandline.operators import costs as C
-
     fill = F.when(F.col("order_key") % 3 == 0, F.lit('{"fillRatio": "n/a"}')).otherwise(F.concat(F.lit('{"fillRatio": '), (F.col("requested") / 50.0).cast("string"), F.lit("}")))
     return rounded(C.execution_baseline(m.costs.withColumn("metadata", fill), _live_runs(m).filter("trades > 0")))
 
@@ -192,3 +195,49 @@ def render_vulnerabilities(m: Market):
         F.concat("c_name", F.lit(" of "), F.col("c_nationkey").cast("string")).alias("description"), F.coalesce("products", F.array().cast("array<string>")).alias("products"),
     )
     return rows.select("c_custkey", D.render_vulnerability().alias("page"))
+
+
+# ---- health counters, forward costs -----------------------------------------------------------------
+
+_REQ = {c: f"({c}_latest_raw_time IS NULL)" for c in M._TH.required}
+_IDLE = {c: f"(NOT readiness_eligible AND live AND NOT {g})" if c in ("trade", "candle_5m") else "FALSE" for c, g in _REQ.items()}
+_STALE = {c: f"({M._LATE(c)} AND NOT {_IDLE[c]})" for c in _REQ}
+_any = lambda tests, *but: " OR ".join(x for c, x in tests.items() if c not in but)
+_COUNTERS = f"""SELECT count(*) AS tracked_symbols, count(*) FILTER (WHERE active_recent) AS active_symbols, count(*) FILTER (WHERE readiness_eligible) AS eligible_symbols, count(*) FILTER (WHERE NOT active_recent) AS inactive_symbols, count(*) FILTER (WHERE liveness_class = 'LIVE_SPARSE') AS live_sparse_symbols,
+    {', '.join(f"count(*) FILTER (WHERE status = '{x}') AS {x.lower()}_symbols" for x in ('IDLE_LIVE', 'HEALTHY', 'DEGRADED', 'CRITICAL'))},
+    count(*) FILTER (WHERE active_recent AND ({_any(_REQ)})) AS symbols_missing_required_channels, count(*) FILTER (WHERE active_recent AND {_STALE['candle_5m']}) AS stale_candle_symbols, count(*) FILTER (WHERE active_recent AND coalesce(feature_lag_seconds > {M._TH.feature_lag}, TRUE)) AS stale_feature_symbols,
+    count(*) FILTER (WHERE active_recent AND coverage_ratio < {M._TH.coverage}) AS coverage_fail_symbols, count(*) FILTER (WHERE active_recent AND finalized_ratio < {M._TH.finalized}) AS finalized_fail_symbols,
+    count(*) FILTER (WHERE active_recent AND liveness_class <> 'LIVE_SPARSE' AND ((recent_feature_rows_24h > 0 AND recent_execution_observed_share_24h < {M._TH.execution_observed}) OR {_any(_REQ, 'candle_5m')} OR {_any(_STALE, 'candle_5m')} OR (NOT readiness_eligible AND status <> 'IDLE_LIVE'))) AS execution_fail_symbols,
+    {rr('coalesce(avg(coverage_ratio) FILTER (WHERE active_recent), 0) AS avg_coverage_ratio_active', 'coalesce(avg(finalized_ratio) FILTER (WHERE active_recent), 0) AS avg_finalized_ratio_active', 'coalesce(avg(recent_execution_observed_share_24h) FILTER (WHERE active_recent), 0) AS avg_recent_execution_observed_share_24h_active')},
+    CAST(coalesce(max(coalesce(candle_5m_raw_lag_seconds, 0)) FILTER (WHERE active_recent), 0) AS BIGINT) AS max_candle_lag_seconds_active, CAST(coalesce(max(coalesce(feature_lag_seconds, 0)) FILTER (WHERE active_recent), 0) AS BIGINT) AS max_feature_lag_seconds_active,
+    coalesce((SELECT string_agg(symbol, ',' ORDER BY candle_5m_raw_lag_seconds DESC NULLS FIRST, exchange, symbol) FROM (SELECT * FROM e3 WHERE status = 'CRITICAL' ORDER BY candle_5m_raw_lag_seconds DESC NULLS FIRST, exchange, symbol LIMIT 12)), '') AS critical_sample FROM e3"""
+
+
+@query("health_counters", sql(_COUNTERS, "sync", "b5", extra=M._EVAL))
+def health_counters(m: Market):
+    """A34 in full, the critical sample included."""
+    found = H.counters(stored(H.evaluate(M._symbols(m), M._TH), "health"), M._TH)
+    return rounded(found.withColumn("critical_sample", F.array_join("critical_sample", ",")))
+
+
+_clip = lambda x, lo, hi: f"least(greatest({x}, {lo}), {hi})"
+_FORWARD = {
+    "fw": f"SELECT time, symbol, exchange, spread_pct, mid_price, funding_rate, coalesce(bid_depth_10, 0) + coalesce(ask_depth_10, 0) AS depth, coalesce(close / nullif(lag(close) OVER ({_WX}), 0) - 1, 0) AS ret, (bid_depth_10 - ask_depth_10) / nullif(bid_depth_10 + ask_depth_10, 0) AS alpha FROM b5",
+    "fx": f"SELECT *, coalesce(alpha, 0) AS ma, greatest(coalesce(spread_pct, 0), 0) * 100 AS sp, CASE WHEN count(ret) OVER ({_WX} ROWS 9 PRECEDING) = 10 THEN avg(ret) OVER ({_WX} ROWS 9 PRECEDING) END AS r10 FROM fw",
+    "fy": f"""SELECT *, CASE WHEN abs(ma) > 0.35 THEN 4.5 ELSE 1.5 END AS fee_bps, sp AS spread_cost_bps, {_clip('1.5 + sp * 0.25 + abs(ret) * 7000', 0.2, 30)} AS slippage_bps, {_clip('coalesce(0.6 + 1000.0 / nullif(depth * mid_price, 0) * 12, 2.0)', 0.3, 18)} AS impact_bps, {_clip('0.8 + abs(ma) * 3.5', 0.4, 8)} AS adverse_selection_bps,
+        {_clip('-coalesce(funding_rate, 0) * 10000 * 15 / 60.0', -5, 5)} AS funding_drift_bps, {_clip('coalesce(r10, 0) * 1000', -5, 5)} AS basis_drift_bps FROM fx""",
+    "fz": "SELECT *, fee_bps + spread_cost_bps + slippage_bps + impact_bps + adverse_selection_bps + funding_drift_bps + basis_drift_bps AS total_cost_bps FROM fy",
+}
+_PARTS = ["fee_bps", "spread_cost_bps", "slippage_bps", "impact_bps", "adverse_selection_bps", "funding_drift_bps", "basis_drift_bps", "total_cost_bps"]
+
+
+@query("forward_costs", sql(f"SELECT time, symbol, exchange, {rr(*_PARTS, _clip('ma * 10', -25, 25) + ' - total_cost_bps AS edge_after_cost_bps', _clip('0.92 - sp / 200 - abs(ma) * 0.08', 0.35, 1) + ' AS fill_ratio', '1000.0 * abs(fee_bps) / 10000 AS estimated_fee_usd', '1000.0 * abs(total_cost_bps) / 10000 AS estimated_cost_usd', digits=5)} FROM fz", "b5", extra=_FORWARD))
+def forward_costs(m: Market):
+    """all seven components on the five-minute bars."""
+    w = Window.partitionBy("symbol", "exchange").orderBy("time")
+    last, ten = F.lag("close").over(w), w.rowsBetween(-9, 0)
+    bid, ask = F.col("bid_depth_10"), F.col("ask_depth_10")
+    df = m.bars_5m.withColumns({"ret": F.coalesce(F.try_divide(F.col("close"), last) - 1.0, F.lit(0.0)), "micro_alpha": F.coalesce(F.try_divide(bid - ask, bid + ask), F.lit(0.0)), "depth": F.coalesce(bid, F.lit(0.0)) + F.coalesce(ask, F.lit(0.0)), "spread_pct": F.coalesce("spread_pct", F.lit(0.0))})
+    df = df.withColumn("recent", F.when(F.count("ret").over(ten) == 10, F.avg("ret").over(ten)))
+    out = C.forward_costs(df, recent_return=F.col("recent"))
+    return rounded(out.select("time", "symbol", "exchange", *_PARTS, "edge_after_cost_bps", "fill_ratio", "estimated_fee_usd", "estimated_cost_usd"), 5)
