@@ -211,10 +211,11 @@ def distinct_bucket_cov(m: Market):
     return rounded(S.distinct_coverage(m.bars_5m, 30 * 288))
 
 
-@query("repair_windows", sql("SELECT DISTINCT c.time, c.symbol, c.exchange FROM (SELECT DISTINCT time_bucket(INTERVAL '5 minutes', t.time) AS time, symbol, exchange FROM trades t) c LEFT JOIN b5 b USING (time, symbol, exchange) WHERE b.candle_observed IS NULL OR NOT b.candle_observed ORDER BY 1 DESC, 2, 3 LIMIT 500", "b5"))
+@query("repair_windows", sql("SELECT time, symbol, exchange FROM (SELECT time_bucket(INTERVAL '5 minutes', t.time) AS time, symbol, exchange FROM trades t EXCEPT SELECT time_bucket(INTERVAL '5 minutes', t.time), symbol, exchange FROM trades t WHERE side = 'buy') ORDER BY 1 DESC, 2, 3 LIMIT 500", "trades"))
 def repair_windows(m: Market):
-    times = m.trades.select(bucket("time", "5 minutes").alias("time"), "symbol", "exchange")
-    return S.repair_times(times, m.bars_5m, 500)
+    """J7 where candles are missing: bars whose candles saw the buys only."""
+    bars = B.bars_5m(B.candles(m.trades.filter("side = 'buy'"), "5 minutes"), B.minute_trades(m.trades), B.minute_books(m.books), B.minute_context(m.context), as_of())
+    return S.repair_times(m.trades.select(bucket("time", "5 minutes").alias("time"), "symbol", "exchange"), bars, 500)
 
 
 _MISSING = f"""SELECT symbol, min(time) AS earliest_missing, max(time) AS latest_missing, count(*) AS missing FROM (SELECT s.symbol, g.time FROM (SELECT DISTINCT symbol FROM trades) s CROSS JOIN (SELECT unnest(generate_series({T0}, {T} - INTERVAL 30 MINUTE, INTERVAL 30 MINUTE)) AS time) g EXCEPT SELECT symbol, time_bucket(INTERVAL '30 minutes', t.time) FROM trades t) GROUP BY symbol"""

@@ -249,9 +249,9 @@ _GX = ["fast_return", "slope", "perturbation"]
 _GP = [(a, b) for i, a in enumerate(["one", *_GX, "close"]) for b in ["one", *_GX, "close"][i:]]
 
 
-@query("gram", sql("SELECT symbol, " + rr(*[f"sum({'1.0' if a == 'one' else a} * {'1.0' if b == 'one' else b}) AS {a}__{b}" for a, b in _GP], digits=3) + " FROM sig GROUP BY symbol", "gr", extra=_RAW))
+@query("gram", sql("SELECT symbol, " + rr(*[f"sum({'1.0' if a == 'one' else a} * {'1.0' if b == 'one' else b}) AS {a}__{b}" for a, b in _GP], digits=5) + " FROM sig GROUP BY symbol", "gr", extra=_RAW))
 def gram(m: Market):
-    return rounded(R.gram(_signals(m), ["symbol"], _GX, "close"), 3)
+    return rounded(R.gram(_signals(m), ["symbol"], _GX, "close"), 5)  # squares of prices have four decimals: no ties
 
 
 @query("ridge_fit")

@@ -126,15 +126,6 @@ def baseline_latest_run(m: Market):
     return rounded(C.execution_baseline(m.costs.withColumn("metadata", fill), _live_runs(m).filter("trades > 0")))
 
 
-@query("repair_missing", sql("SELECT time, symbol, exchange FROM (SELECT time_bucket(INTERVAL '5 minutes', t.time) AS time, symbol, exchange FROM trades t EXCEPT SELECT time_bucket(INTERVAL '5 minutes', t.time), symbol, exchange FROM trades t WHERE side = 'buy') ORDER BY 1 DESC, 2, 3 LIMIT 500", "trades"))
-def repair_missing(m: Market):
-    """J7 where candles are missing: bars whose candles saw the buys only."""
-    from strandline.functions.columns import bucket
-
-    bars = B.bars_5m(B.candles(m.trades.filter("side = 'buy'"), "5 minutes"), B.minute_trades(m.trades), B.minute_books(m.books), B.minute_context(m.context), as_of())
-    return S.repair_times(m.trades.select(bucket("time", "5 minutes").alias("time"), "symbol", "exchange"), bars, 500)
-
-
 _FAST, _SLOW = (2, 3, 5), (8, 10, 20)
 _SWEPT = {
     "sa0": f"SELECT symbol, time, coalesce(close / nullif(lag(close) OVER ({_W}), 0) - 1, 0) AS ret, row_number() OVER ({_W}) AS i, count(*) OVER (PARTITION BY symbol) AS n, {', '.join(f'avg(close) OVER ({_W} ROWS {n - 1} PRECEDING) AS a{n}' for n in (*_FAST, *_SLOW))} FROM db",
