@@ -310,4 +310,4 @@ def test_scratch_needs_a_shared_folder():
 def test_fresh_names(spark):
     df = spark.createDataFrame([], "Id int, row int, row_ int")
     assert common.fresh(df, "id", "row", "key") == ["id_", "row__", "key"]
-    assert np.array_equal(sorted(queries.oracle_sql()), sorted(["op4_substring_dedup", "op8_warc", "op10_quality_rules"]))
+    assert set(queries.oracle_sql()) <= set(queries.queries())

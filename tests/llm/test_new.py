@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import oracle
 import pytest
 from brute import words
 from pyspark.sql import functions as F
@@ -227,6 +228,13 @@ def test_signatures_are_selective(spark, data_dir):
     assert len(every) - len(np.unique(every)) < 5
 
 
+@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_collocations", "op13_jaccard_join"])
+def test_against_sql(spark, data_dir, name):
+    got = queries.queries()[name](spark, data_dir).toPandas()
+    oracle.assert_same(got, oracle.connect(data_dir).sql(queries.oracle_sql()[name]).df())
+    assert len(got) > 0
+
+
 @pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_collocations", "op13_jaccard_join"])
 def test_empty_table(spark, tmp_path, name):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
