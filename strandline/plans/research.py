@@ -310,11 +310,11 @@ def allocate(m: Market):
     return rounded(_allocation(m))
 
 
-@query("portfolio_returns", sql(f"SELECT time, {rr('ln(1 + sum(w * fwd)) AS r', 'sum(abs(w)) AS gross', 'sum(w) AS net')} FROM (SELECT time, symbol, weight * sd AS w FROM a7 WHERE adj > 0) JOIN (SELECT time, symbol, lead(close) OVER ({_W}) / nullif(close, 0) - 1 AS fwd FROM db) USING (time, symbol) WHERE fwd IS NOT NULL GROUP BY time", "db", extra=_ALLOC))
+@query("portfolio_returns", sql(f"SELECT time, {rr('ln(1 + sum(w * fwd)) AS r', 'sum(abs(w)) AS gross', 'sum(w) AS net', 'sum(turn) AS turnover')} FROM (SELECT *, abs(w - coalesce(lag(w) OVER ({_W}), 0)) AS turn FROM (SELECT time, symbol, weight * sd AS w FROM a7 WHERE adj > 0)) JOIN (SELECT time, symbol, lead(close) OVER ({_W}) / nullif(close, 0) - 1 AS fwd FROM db) USING (time, symbol) WHERE fwd IS NOT NULL GROUP BY time", "db", extra=_ALLOC))
 def portfolio_returns(m: Market):
     w = _allocation(m).select("time", "symbol", F.when(F.col("direction") == "LONG", F.col("weight")).otherwise(-F.col("weight")).alias("weight"))
     forward = m.daily_bars.withColumn("forward", F.try_divide(F.lead("close").over(Window.partitionBy("symbol").orderBy("time")), F.col("close")) - 1.0).filter("forward IS NOT NULL").select("time", "symbol", "forward")
-    return rounded(P.portfolio_returns(w, forward).select("time", "r", "gross", "net"))
+    return rounded(P.portfolio_returns(w, forward).select("time", "r", "gross", "net", "turnover"))
 
 
 @query("leaderboard", "SELECT o_orderpriority AS strategy_name, o_orderstatus AS symbol, runs, round(avg_return, 6) + 0.0 AS avg_return, row_number() OVER (ORDER BY round(avg_return, 9) DESC, o_orderpriority, o_orderstatus) AS rank FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS runs, avg(o_totalprice / 100000.0 - 1) AS avg_return FROM orders GROUP BY 1, 2)")
@@ -323,9 +323,9 @@ def leaderboard(m: Market):
     return R.leaderboard(g, [F.desc(F.round("avg_return", 9)), F.asc("strategy_name"), F.asc("symbol")]).withColumn("avg_return", r("avg_return"))
 
 
-@query("calibrate", "SELECT threshold, count(*) FILTER (WHERE edge >= threshold) AS accepted, round(median(edge) FILTER (WHERE edge >= threshold), 6) + 0.0 AS median_edge, round(median(dd) FILTER (WHERE edge >= threshold), 6) + 0.0 AS median_drawdown, count(*) FILTER (WHERE edge >= threshold) >= 100 AS feasible FROM (SELECT o_totalprice / 100000.0 - 1 AS edge, CAST(o_custkey % 30 AS DOUBLE) AS dd FROM orders) CROSS JOIN (SELECT unnest([0.0::DOUBLE, 0.5, 1.0, 1.5, 2.0]) AS threshold) GROUP BY threshold")
+@query("calibrate", "SELECT *, feasible AND row_number() OVER (ORDER BY feasible DESC, median_edge DESC, threshold) = 1 AS best FROM (SELECT threshold, count(*) FILTER (WHERE edge >= threshold) AS accepted, round(median(edge) FILTER (WHERE edge >= threshold), 6) + 0.0 AS median_edge, round(median(dd) FILTER (WHERE edge >= threshold), 6) + 0.0 AS median_drawdown, count(*) FILTER (WHERE edge >= threshold) >= 100 AS feasible FROM (SELECT o_totalprice / 100000.0 - 1 AS edge, CAST(o_custkey % 30 AS DOUBLE) AS dd FROM orders) CROSS JOIN (SELECT unnest([0.0::DOUBLE, 0.5, 1.0, 1.5, 2.0]) AS threshold) GROUP BY threshold)")
 def calibrate(m: Market):
-    return rounded(R.calibrate(m.runs.select(F.col("net_return_pct").alias("edge"), F.col("max_drawdown_pct").alias("drawdown")), [0.0, 0.5, 1.0, 1.5, 2.0], 100).drop("best"))
+    return rounded(R.calibrate(m.runs.select(F.col("net_return_pct").alias("edge"), F.col("max_drawdown_pct").alias("drawdown")), [0.0, 0.5, 1.0, 1.5, 2.0], 100))
 
 
 @query("sleeve_correlation")
@@ -341,12 +341,13 @@ _RET = {"rt": f"SELECT symbol, time, r, volume FROM (SELECT *, ln(close / lag(cl
 _SCALE = repr((365 * 24 * 60 / 240) ** 0.5)
 
 
-@query("performance", sql(f"""SELECT symbol, bars, start_time, end_time, {rr('(exp(s) - 1) * 100 AS net_return_pct', 'CASE WHEN v <= 1e-12 THEN 0 ELSE mu / sqrt(v) * ' + _SCALE + ' END AS sharpe', 'mdd AS max_drawdown_pct', 'ulcer AS ulcer_index', 'uw * 100 AS time_under_water_pct', 'cv AS cvar_1d_pct', digits=4)} FROM
-    (SELECT symbol, count(*) AS bars, min(time) AS start_time, max(time) AS end_time, sum(r) AS s, avg(r) AS mu, var_pop(r) AS v, max(dd) AS mdd, sqrt(avg(dd * dd)) AS ulcer, avg(CASE WHEN eq + 1e-9 < pk THEN 1.0 ELSE 0.0 END) AS uw FROM (SELECT *, (pk - eq) / pk * 100 AS dd FROM (SELECT *, greatest(max(eq) OVER ({_W}), 1.0) AS pk FROM (SELECT *, exp(sum(r) OVER ({_W})) AS eq FROM rt))) GROUP BY symbol)
+@query("performance", sql(f"""SELECT symbol, bars, start_time, end_time, {rr('(exp(s) - 1) * 100 AS net_return_pct', 'CASE WHEN v <= 1e-12 THEN 0 ELSE mu / sqrt(v) * ' + _SCALE + ' END AS sharpe', 'mdd AS max_drawdown_pct', 'ulcer AS ulcer_index', 'uw * 100 AS time_under_water_pct', 'cv AS cvar_1d_pct', digits=4)}, printf('%.5e', an) AS annualized, printf('%.5e', CASE WHEN mdd <= 1e-9 THEN an ELSE an / mdd END) AS calmar_ratio FROM
+    (SELECT *, CASE WHEN epoch(end_time) > epoch(start_time) THEN (exp(s / ((epoch(end_time) - epoch(start_time)) / (365 * 24 * 3600.0))) - 1) * 100 ELSE 0 END AS an FROM
+    (SELECT symbol, count(*) AS bars, min(time) AS start_time, max(time) AS end_time, sum(r) AS s, avg(r) AS mu, var_pop(r) AS v, max(dd) AS mdd, sqrt(avg(dd * dd)) AS ulcer, avg(CASE WHEN eq + 1e-9 < pk THEN 1.0 ELSE 0.0 END) AS uw FROM (SELECT *, (pk - eq) / pk * 100 AS dd FROM (SELECT *, greatest(max(eq) OVER ({_W}), 1.0) AS pk FROM (SELECT *, exp(sum(r) OVER ({_W})) AS eq FROM rt))) GROUP BY symbol))
     JOIN (SELECT symbol, avg(d) AS cv FROM (SELECT symbol, d, row_number() OVER (PARTITION BY symbol ORDER BY d) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT symbol, day, (exp(sum(r)) - 1) * 100 AS d FROM (SELECT *, floor((row_number() OVER ({_W}) - 1) / 6) AS day FROM rt) GROUP BY 1, 2)) WHERE k <= greatest(ceil(n * 0.05), 1) GROUP BY symbol) USING (symbol)""", "db", extra=_RET))
 def performance(m: Market):
     p = P.performance(_ret(m), ["symbol"], 240)
-    return rounded(p.select("symbol", "bars", "start_time", "end_time", "net_return_pct", "sharpe", "max_drawdown_pct", "ulcer_index", "time_under_water_pct", "cvar_1d_pct"), 4)
+    return rounded(p.select("symbol", "bars", "start_time", "end_time", "net_return_pct", "sharpe", "max_drawdown_pct", "ulcer_index", "time_under_water_pct", "cvar_1d_pct", F.format_string("%.5e", "annualized_return_pct").alias("annualized"), F.format_string("%.5e", "calmar").alias("calmar_ratio")), 4)
 
 
 @query("regime_slices", sql(f"""SELECT symbol, bucket, count(*) AS bars, {rr('(exp(sum(r)) - 1) * 100 AS net_return_pct', 'CASE WHEN var_pop(r) <= 1e-12 THEN 0 ELSE avg(r) / sqrt(var_pop(r)) * ' + _SCALE + ' END AS sharpe', digits=4)} FROM (SELECT rt.*, unnest(list_filter([CASE WHEN volume <= lo THEN 'low' END, CASE WHEN volume > lo AND volume < hi THEN 'mid' END, CASE WHEN volume >= hi THEN 'high' END], lambda x: x IS NOT NULL)) AS bucket
@@ -366,9 +367,12 @@ def by_qvalues(m: Market):
     return P.by_q_values(c, ["c_nationkey"], "p", "c_custkey").select("c_custkey", r("q_value").alias("q_value"))
 
 
-@query("psr_dsr", sql(f"SELECT symbol, n, {rr('sharpe', 'skew', 'kurtosis', 'sharpe * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) * sharpe * sharpe / 4, 1e-9)) AS psr_z', digits=5)} FROM (SELECT symbol, n, mu / sd AS sharpe, avg(power((r - mu) / sd, 3)) AS skew, avg(power((r - mu) / sd, 4)) AS kurtosis FROM rt JOIN (SELECT symbol, count(*) AS n, avg(r) AS mu, stddev_samp(r) AS sd FROM rt GROUP BY symbol) USING (symbol) GROUP BY symbol, n, mu, sd)", "db", extra=_RET))
+_ERF = "(1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2))"
+
+
+@query("psr_dsr", sql(f"SELECT symbol, n, {rr('sharpe', 'skew', 'kurtosis', 'z AS psr_z', f'least(greatest(1 - 0.5 * (1 + CASE WHEN z < 0 THEN -{_ERF} ELSE {_ERF} END), 0), 1) AS p_value', digits=5)} FROM (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM (SELECT *, sharpe * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) * sharpe * sharpe / 4, 1e-9)) AS z FROM (SELECT symbol, n, mu / sd AS sharpe, avg(power((r - mu) / sd, 3)) AS skew, avg(power((r - mu) / sd, 4)) AS kurtosis FROM rt JOIN (SELECT symbol, count(*) AS n, avg(r) AS mu, stddev_samp(r) AS sd FROM rt GROUP BY symbol) USING (symbol) GROUP BY symbol, n, mu, sd)))", "db", extra=_RET))
 def psr_dsr(m: Market):
-    return rounded(P.probabilistic_sharpe(P.sharpe_moments(_ret(m), ["symbol"]), F.lit(0.0)).drop("p_value"), 5)
+    return rounded(P.probabilistic_sharpe(P.sharpe_moments(_ret(m), ["symbol"]), F.lit(0.0)), 5)
 
 
 @query("deflated_sharpe")
@@ -457,10 +461,10 @@ def walk_forward_seed(m: Market):
     return rounded(C.walk_forward_seed(m.runs))
 
 
-@query("fills_summary", sql(f"""SELECT strategy_name, {rr('sum(0.9 * requested) / sum(requested) AS fill_ratio', "avg(CASE WHEN side = 'buy' THEN ((1 + slippage_bps / 10000) - 1) * 10000 ELSE (1 / (1 + slippage_bps / 10000) - 1) * 10000 END) AS avg_slippage_bps", 'avg(fee_bps) AS fee_bps')}, list_sort(list(order_key % 997))[CAST(floor((count(*) - 1) * 0.5) AS BIGINT) + 1] AS latency_p50_ms, list_sort(list(order_key % 997))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS latency_p95_ms FROM costs GROUP BY 1""", "costs"))
+@query("fills_summary", sql(f"""SELECT *, concat_ws(',', CASE WHEN fill_ratio < 0.95 THEN 'fill_ratio' END, CASE WHEN avg_slippage_bps > 0.01 THEN 'slippage' END, CASE WHEN latency_p95_ms > 900 THEN 'latency' END) AS alerts FROM (SELECT strategy_name, {rr('sum(0.9 * requested) / sum(requested) AS fill_ratio', "avg(CASE WHEN side = 'buy' THEN ((1 + slippage_bps / 10000) - 1) * 10000 ELSE (1 / (1 + slippage_bps / 10000) - 1) * 10000 END) AS avg_slippage_bps", 'avg(fee_bps) AS fee_bps')}, list_sort(list(order_key % 997))[CAST(floor((count(*) - 1) * 0.5) AS BIGINT) + 1] AS latency_p50_ms, list_sort(list(order_key % 997))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS latency_p95_ms FROM costs GROUP BY 1)""", "costs"))
 def fills_summary(m: Market):
     f = m.costs.select("strategy_name", F.when(F.col("side") == "buy", "LONG").otherwise("SHORT").alias("direction"), (F.col("requested") * 0.9).alias("filled"), F.col("requested").alias("planned"), F.lit(1.0).alias("expected_price"), (1.0 + F.col("slippage_bps") / 10_000).alias("executed_price"), "fee_bps", (F.col("order_key") % 997).alias("latency_ms"))
-    return rounded(C.fills_summary(f, ["strategy_name"]).drop("alerts"))
+    return rounded(C.fills_summary(f, ["strategy_name"], floor=0.95, slip_bps=0.01, latency_ms=900).withColumn("alerts", F.array_join("alerts", ",")))
 
 
 @query("strategy_perf", sql(f"SELECT strategy_name, trades, wins, {rr('avg_win', 'avg_loss', 'wins / trades AS win_rate', 'CASE WHEN l > 0 THEN g / l WHEN g > 0 THEN 999.0 ELSE 0.0 END AS profit_factor', 'CASE WHEN sd > 0 THEN mu / sd * sqrt(trades) ELSE 0 END AS sharpe')} FROM (SELECT strategy_name, count(*) AS trades, count(*) FILTER (WHERE x > 0) AS wins, avg(x) FILTER (WHERE x > 0) AS avg_win, avg(x) FILTER (WHERE x < 0) AS avg_loss, coalesce(sum(x) FILTER (WHERE x > 0), 0) AS g, coalesce(-sum(x) FILTER (WHERE x < 0), 0) AS l, avg(x) AS mu, stddev_pop(x) AS sd FROM (SELECT strategy_name, net_return_pct AS x FROM runs) GROUP BY 1)", "runs"))
