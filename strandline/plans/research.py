@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.functions import columns as K
 from strandline.operators import costs as C
 from strandline.operators import features as X
 from strandline.operators import perf as P
@@ -375,10 +376,32 @@ def psr_dsr(m: Market):
     return rounded(P.probabilistic_sharpe(P.sharpe_moments(_ret(m), ["symbol"]), F.lit(0.0)), 5)
 
 
-@query("deflated_sharpe")
+def _folded(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _inverse(p: str) -> str:
+    """DuckDB: the inverse normal distribution by the same fixed constants."""
+    tail = lambda r: f"{_folded(K._C, r)} / {_folded((*K._D, 1.0), r)}"
+    low, high, q = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - ({p})))", f"(({p}) - 0.5)"
+    return f"CASE WHEN ({p}) < 0.02425 THEN {tail(low)} WHEN ({p}) > 1 - 0.02425 THEN -({tail(high)}) ELSE {_folded(K._A, f'({q} * {q})')} * {q} / {_folded((*K._B, 1.0), f'({q} * {q})')} END"
+
+
+_DSR = {
+    **_RET,
+    "mo": "SELECT symbol, n, mu / sd AS sharpe, avg(power((r - mu) / sd, 3)) AS skew, avg(power((r - mu) / sd, 4)) AS kurtosis FROM rt JOIN (SELECT symbol, count(*) AS n, avg(r) AS mu, stddev_samp(r) AS sd FROM rt GROUP BY symbol) USING (symbol) GROUP BY symbol, n, mu, sd",
+    "be": f"SELECT trials, m + d * ((1 - {P.EULER_GAMMA}) * z1 + {P.EULER_GAMMA} * z2) AS benchmark FROM (SELECT *, {_inverse('1 - 1.0 / trials')} AS z1, {_inverse('1 - 1 / (trials * exp(1.0))')} AS z2 FROM (SELECT greatest(count(*), 2) AS trials, avg(sharpe) AS m, stddev_samp(sharpe) AS d FROM mo))",
+    "zz": "SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM (SELECT *, (sharpe - benchmark) * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) * sharpe * sharpe / 4, 1e-9)) AS z FROM mo CROSS JOIN be)",
+}
+
+
+@query("deflated_sharpe", sql(f"SELECT 'all' AS family, symbol, n, trials, {rr('sharpe', 'skew', 'kurtosis', 'benchmark', 'z AS psr_z', f'least(greatest(1 - 0.5 * (1 + CASE WHEN z < 0 THEN -{_ERF} ELSE {_ERF} END), 0), 1) AS p_value', digits=5)} FROM zz", "db", extra=_DSR))
 def deflated_sharpe(m: Market):
     mo = P.sharpe_moments(_ret(m), ["symbol"]).withColumn("family", F.lit("all"))
-    return P.probabilistic_sharpe(mo.join(P.deflated_benchmark(mo, ["family"]), "family"), F.col("benchmark"))
+    return rounded(P.probabilistic_sharpe(mo.join(P.deflated_benchmark(mo, ["family"]), "family"), F.col("benchmark")), 5)
 
 
 @query("bootstrap")
@@ -493,7 +516,7 @@ def child_orders(m: Market):
     return C.child_orders(p).select("p_partkey", "style", "sequence", "slices", r("child_weight").alias("child_weight"), "trigger_minutes")
 
 
-@query("plan_cost")
+@query("plan_cost", f"SELECT p_partkey, {rr('1.5 * m + 4.5 * (1 - m) + 4.0 * CASE WHEN m = 0.8 THEN 0.35 ELSE 0.5 END + 3.0 / n AS estimated_cost_bps', 'm AS estimated_maker_share')}, n AS child_orders FROM (SELECT p_partkey, CAST(greatest(ceil(p_size / 500.0 / 0.02), 1) AS BIGINT) AS n, CASE WHEN p_partkey % 11 >= 8 THEN 0.8 WHEN p_partkey % 11 >= 6 THEN 0.5 WHEN p_partkey % 11 >= 4 THEN 0.35 ELSE 0.4 END AS m FROM part)")
 def plan_cost(m: Market):
     p = m.table("part").select("p_partkey", (F.col("p_size") / 500.0).alias("weight"), (F.col("p_partkey") % 11 / 10.0).alias("confidence"))
     return rounded(C.plan_cost(C.child_orders(p), ["p_partkey"]))
