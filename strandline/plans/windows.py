@@ -16,6 +16,7 @@ from strandline.operators import state as S
 from strandline.plans import market as M
 from strandline.plans.common import Market, as_of, query, rounded, rr, sql
 from strandline.plans.research import _EDGE, _GX, _W, _edges, _rk, _ret, _signals
+from strandline.sources import io
 from strandline.sources.scratch import stored
 
 _WX = "PARTITION BY symbol, exchange ORDER BY time"
@@ -232,3 +233,12 @@ def forward_costs(m: Market):
     df = df.withColumn("recent", F.when(F.count("ret").over(ten) == 10, F.avg("ret").over(ten)))
     out = C.forward_costs(df, recent_return=F.col("recent"))
     return rounded(out.select("time", "symbol", "exchange", *_PARTS, "edge_after_cost_bps", "fill_ratio", "estimated_fee_usd", "estimated_cost_usd"), 5)
+
+
+@query("book_fallback", sql("SELECT symbol, exchange, max(time) AS time, arg_max(best_bid, time) AS best_bid, arg_max(best_ask, time) AS best_ask, round((arg_max(best_bid, time) + arg_max(best_ask, time)) / 2, 6) + 0.0 AS mid_price FROM books WHERE CASE WHEN exchange = 'ex0' AND symbol IN ('click', 'view') THEN TRUE ELSE time < TIMESTAMP '2024-01-10' END GROUP BY 1, 2", "books"))
+def book_fallback(m: Market):
+    """IO5: two symbols with current books, the others with a legacy table that ends earlier."""
+    live = m.books.filter("exchange = 'ex0'")
+    legacy = m.books.filter("time < TIMESTAMP '2024-01-10'").select("symbol", "exchange", "time", F.col("best_bid").alias("bid_price"), F.col("best_ask").alias("ask_price"))
+    minute = live.filter("symbol = 'click'").withColumn("last_event_time", F.col("time"))
+    return rounded(io.current_books(minute, live.filter("symbol IN ('click', 'view')"), legacy, ["symbol", "exchange"], ["best_bid", "best_ask", "mid_price"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.docs import flatten_vulnerability
 from strandline.operators.state import insert_ignore, merge
+from strandline.sources.snapshots import SnapshotTable
 
 # ---- reads of the market tables --------------------------------------------------------------------
 
@@ -43,6 +44,20 @@ def newer_of(minute: DataFrame, raw: DataFrame, keys: list[str], columns: list[s
     return m.union(r).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_p")
 
 
+def current_books(minute: DataFrame, raw: DataFrame, legacy: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """IO5: the newer of minute state and raw book; for keys that neither has, the newest row of the legacy table.
+
+    ``legacy`` names its sides ``bid_price`` and ``ask_price``; what else it lacks of ``columns`` is null, the middle and the
+    spread are computed.
+    """
+    known = newer_of(minute, raw, keys, columns)
+    old = latest(legacy.select(*keys, "time", "bid_price", "ask_price"), keys)
+    bid, ask = F.col("bid_price"), F.col("ask_price")
+    made = {"best_bid": bid, "best_ask": ask, "mid_price": (bid + ask) / 2.0, "spread": ask - bid}
+    rest = old.select(*keys, "time", *[made.get(c, F.lit(None)).cast(known.schema[c].dataType).alias(c) for c in columns])
+    return known.select(*keys, "time", *columns).unionByName(rest.join(known.select(*keys), keys, "left_anti"))
+
+
 def latest_candidates(df: DataFrame, aliases: list[str], everywhere: str, since: Column, time: str) -> DataFrame:
     """IO7: the newest row over a symbol's aliases and a global symbol within the lookback."""
     return latest(df.filter(F.col("symbol").isin(*aliases, everywhere) & (F.col(time) >= since)).withColumn("_one", F.lit(1)), ["_one"], time).drop("_one")
@@ -52,7 +67,7 @@ def latest_candidates(df: DataFrame, aliases: list[str], everywhere: str, since:
 
 
 def read_torrents(spark: SparkSession, path: str) -> DataFrame:
-    """IO11: infohash;name;size;created;seeders;leechers;completed with quotes; fewer than three fields are dropped, missing numbers are 0 or null."""
+    """IO11: infohash, name, size, created, seeders, leechers and completed, with commas and quotes; fewer than three fields are dropped, missing numbers are 0 or null."""
     names = ["infohash", "name", "size_bytes", "created", "seeders", "leechers", "completed"]
     raw = spark.read.option("sep", ",").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").schema(", ".join(f"{n} string" for n in names)).csv(path)
     number = lambda c, kind, otherwise: F.coalesce(F.expr(f"try_cast({c} AS {kind})"), F.lit(otherwise)) if otherwise is not None else F.expr(f"try_cast({c} AS {kind})")
@@ -135,6 +150,22 @@ def replace_range(base: DataFrame, fresh: DataFrame, keys: list[str], time: str)
     return kept.unionByName(fresh)
 
 
+def vector_table(spark: SparkSession, root: str) -> SnapshotTable:
+    """IO19: vectors of one row a (collection, point id), dealt by collection and the first digits of the id."""
+    part = "concat(collection, '-', left(point_id, 2))"
+    return SnapshotTable(spark, root, "collection string, point_id string, id string, embedding array<float>", ["collection", "point_id"], {"id": "replace", "embedding": "replace"}, part=part)
+
+
+def upsert_vectors(table: SnapshotTable, df: DataFrame, writer: str, batch: int) -> bool:
+    """IO19: put vectors in place of those with their id; of several rows of an id the last by ``df``'s own order of values stays.
+
+    A batch that the table holds already changes nothing.
+    """
+    rows = df.select("collection", F.sha2("id", 256).alias("point_id"), "id", "embedding")
+    one = rows.groupBy("collection", "point_id").agg(F.max(F.struct("embedding", "id")).alias("_x")).select("collection", "point_id", "_x.id", "_x.embedding")
+    return table.upsert(one, writer, batch)
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     """IO19: vectors under a deterministic id, one folder a collection."""
     df.withColumn("point_id", F.sha2("id", 256)).write.mode("append").partitionBy("collection").parquet(path)

@@ -56,3 +56,19 @@ def test_reads(spark):
     assert [r[0] for r in spark.createDataFrame([("B",), ("buy",), ("x",)], "s string").select(io.side_of(F.col("s"))).collect()] == ["buy", "buy", "sell"]
     text = spark.range(1).select(io.render_feed_item(F.lit("T"), F.lit("l"), F.lit(None).cast("string"), F.array(F.lit("c")), F.lit("b"))).first()[0]
     assert text == "# T\nLink: l\nCategories: c\n\nb"
+
+
+def test_vectors_are_replaced_by_id(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, collection string, embedding array<float>")
+    table = io.vector_table(spark, str(tmp_path / "v"))
+    first, second = rows(("1", "c", [0.5]), ("2", "c", [1.0]), ("1", "d", [9.0])), rows(("1", "c", [2.0]), ("3", "c", [3.0]), ("3", "c", [3.0]))
+    assert io.upsert_vectors(table, first, "w", 0) and io.upsert_vectors(table, second, "w", 1) and not io.upsert_vectors(table, first, "w", 1)
+    assert sorted((r.collection, r.id, r.embedding) for r in table.read().collect()) == [("c", "1", [2.0]), ("c", "2", [1.0]), ("c", "3", [3.0]), ("d", "1", [9.0])]
+
+
+def test_current_books_fall_back(spark):
+    df = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 's' else 'long' if 'time' in n else 'double'}" for n in names.split()))
+    minute, raw = df([("A", 1, 5, 1.0, 2.0)], "s time last_event_time best_bid spread"), df([("A", 4, 9.0, 9.0), ("B", 3, 3.0, 1.0)], "s time best_bid spread")
+    legacy = df([("A", 99, 7.0, 8.0), ("C", 1, 1.0, 2.0), ("C", 2, 4.0, 6.5)], "s time bid_price ask_price")
+    got = {r.s: (r.time, r.best_bid, r.spread) for r in io.current_books(minute, raw, legacy, ["s"], ["best_bid", "spread"]).collect()}
+    assert got == {"A": (5, 1.0, 2.0), "B": (3, 3.0, 1.0), "C": (2, 4.0, 2.5)}
