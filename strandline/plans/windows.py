@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.functions import columns as K
 from strandline.operators import bars as B
 from strandline.operators import costs as C
 from strandline.operators import docs as D
@@ -13,6 +14,7 @@ from strandline.operators import perf as P
 from strandline.operators import research as R
 from strandline.operators import space
 from strandline.operators import state as S
+from strandline.operators import universe as U
 from strandline.plans import market as M
 from strandline.plans.common import Market, as_of, query, rounded, rr, sql
 from strandline.plans.research import _EDGE, _GX, _W, _edges, _rk, _ret, _signals
@@ -242,3 +244,44 @@ def book_fallback(m: Market):
     legacy = m.books.filter("time < TIMESTAMP '2024-01-10'").select("symbol", "exchange", "time", F.col("best_bid").alias("bid_price"), F.col("best_ask").alias("ask_price"))
     minute = live.filter("symbol = 'click'").withColumn("last_event_time", F.col("time"))
     return rounded(io.current_books(minute, live.filter("symbol IN ('click', 'view')"), legacy, ["symbol", "exchange"], ["best_bid", "best_ask", "mid_price"]))
+
+
+# ---- small rules -----------------------------------------------------------------------------------
+
+
+@query("exchange_alias", sql("SELECT symbol, count(*) AS trades FROM trades WHERE exchange IN ('ex1', 'exchange-one') GROUP BY 1", "trades"))
+def exchange_alias(m: Market):
+    """P8."""
+    return U.aliases(m.trades, ["ex1", "exchange-one"]).groupBy("symbol").agg(F.count("*").alias("trades"))
+
+
+@query("squashed", f"SELECT c_custkey, {rr('x / 2000 / sqrt(1 + x / 2000 * x / 2000) AS squashed', '1 / (1 + exp(-x / 1000)) AS logistic')} FROM (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS x FROM customer)")
+def squashed(m: Market):
+    """F7."""
+    x = F.col("c_acctbal").cast("double")
+    return rounded(m.table("customer").select("c_custkey", K.squash(x, 2000.0).alias("squashed"), K.logistic(x / 1000.0).alias("logistic")))
+
+
+_LINKED = "SELECT symbol, source, time_bucket(INTERVAL '1 hour', observed_at) AS observed_at, CASE WHEN confidence > 0.5 THEN 'u' || CAST(floor(confidence * 10) AS INTEGER) % 3 END AS article_url FROM sentiment"
+
+
+@query("sentiment_unique", sql("SELECT DISTINCT source, symbol, observed_at, coalesce(article_url, '') AS url FROM li", "sentiment", extra={"li": _LINKED}))
+def sentiment_unique(m: Market):
+    """K3: by source, symbol, hour and link, a missing link being the empty one."""
+    rows = m.sentiment.select("symbol", "source", F.date_trunc("hour", "observed_at").alias("observed_at"), F.when(F.col("confidence") > 0.5, F.concat(F.lit("u"), (F.floor(F.col("confidence") * 10) % 3).cast("string"))).alias("article_url"), F.lit(None).cast("string").alias("article_title"))
+    return S.sentiment_unique(rows).select("source", "symbol", "observed_at", F.coalesce("article_url", F.lit("")).alias("url"))
+
+
+@query("audience", sql("SELECT id, kind AS content_type FROM (SELECT id, CASE source WHEN 'web' THEN 'article' WHEN 'forum' THEN 'code' ELSE CASE WHEN length(source) % 2 = 0 THEN 'documentation' ELSE 'vulnerability' END END AS kind FROM staging) WHERE kind IN ('code', 'documentation', 'vulnerability')", "staging"))
+def audience(m: Market):
+    """Documents fit for agents, by a content type of their source."""
+    source = F.col("source")
+    kind = F.when(source == "web", "article").when(source == "forum", "code").when(F.length(source) % 2 == 0, "documentation").otherwise("vulnerability")
+    return D.audience(m.staging.withColumn("content_type", kind), "agent").select("id", "content_type")
+
+
+@query("trade_page", sql("SELECT trade_id, time, price, CASE WHEN lower(side) IN ('buy', 'b') THEN 'buy' ELSE 'sell' END AS side FROM trades WHERE symbol = 'click' AND time >= TIMESTAMP '2024-01-10' AND time <= TIMESTAMP '2024-01-20' ORDER BY time DESC LIMIT 100", "trades"))
+def trade_page(m: Market):
+    """IO3: the newest hundred trades of a symbol in a range."""
+    at = lambda d: F.lit(d).cast("timestamp")
+    return io.newest(m.trades, "click", at("2024-01-10"), at("2024-01-20"), 100).select("trade_id", "time", "price", io.side_of(F.col("side")).alias("side"))
