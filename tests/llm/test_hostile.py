@@ -6,7 +6,6 @@ import time
 from collections import Counter
 
 import brute
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
