@@ -7,8 +7,8 @@ hashed into n1 = ceil((k + 1) / (SPARE + 1)) parts, one of which then holds at m
 into ``SPLIT`` smaller ones. A signature is a part and a choice of all but ``SPARE`` of its smaller parts, with the sum of
 the hashed features that fall there: similar sets share at least one, so no pair is lost.
 
-Signatures are counted over distinct sets before anything is joined, so most are gone after one light aggregation. Sets
-that share one meet as in ``minhash``: first with the smallest set of the signature, then in pairs that aren't in one
+A window over the signatures finds those that different sets have, in one shuffle; most are gone after it. Sets that
+share one meet as in ``minhash``: first with the smallest set of the signature, then in pairs that aren't in one
 component yet, and where more than ``minhash.BUCKET`` sets share a signature, through their rarest shingles (an exact
 prefix filter). Each pair is compared by its whole sets. Nothing is capped.
 
@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import BASE_A, BASE_B, materialize, mix, pick
@@ -108,15 +108,15 @@ def jaccard_components(docs: DataFrame, similar: int = SIMILAR, shingle: int = S
     found = materialize(_sets(keyed, lambda s: signatures(s, lows, similar), shingle), "join-signatures")
     # One row stands for a set; copies have the same signatures.
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-    nodes = found.filter("size > 0").groupBy("node").agg(F.min(first).alias("first"), F.min("values").alias("values"))
-    nodes = materialize(nodes, "join-nodes")
-    posted = nodes.select("node", F.explode("values").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    # Few signatures are shared; the sets that have one are in proportion to those.
-    met = posted.join(shared.hint("merge"), "key")
-    met = materialize(met.select(F.lit(0).alias("band"), "key", "node", "n"), "join-met")
-    hubs = met.groupBy("key").agg(F.min("node").alias("hub"))
-    met = materialize(met.join(hubs.hint("merge"), "key"), "join-buckets")
+    nodes = materialize(found.filter("size > 0").groupBy("node").agg(F.min(first).alias("first")), "join-nodes")
+    # One shuffle of the signatures: of each key the window tells whether different sets have it. Copies come along (they
+    # have equal signatures) and are one row from there on. Few signatures are shared.
+    key = Window.partitionBy("key")
+    posted = found.select("node", F.explode("values").alias("key"))
+    ends = posted.withColumns({"hub": F.min("node").over(key), "last": F.max("node").over(key)})
+    once = ends.filter("hub <> last").groupBy("key", "node", "hub").agg(F.lit(0).alias("band"))
+    met = once.withColumn("n", F.count("*").over(key))
+    met = materialize(met.select("band", "key", "node", "n", "hub"), "join-buckets")
     involved = met.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_row"))
     texts = keyed.join(involved.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "text")
     sets = materialize(_sets(texts, lambda s: s, shingle).select("node", "values").dropDuplicates(["node"]), "join-sets")

@@ -104,9 +104,9 @@ def _rare_pairs(met: DataFrame, sets: DataFrame, roots: DataFrame, similar: int
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["k", "n"])
 
-    counted = held.select("values").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    counted = held.select("values").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(COUNTERS, np.int64)
-    table[[r["k"] for r in counted]] = [r["n"] for r in counted]
+    table[counted["k"].to_numpy()] = counted["n"].to_numpy()
     frequency = held.sparkSession.sparkContext.broadcast(table)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

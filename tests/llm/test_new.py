@@ -198,6 +198,20 @@ def test_jaccard_join_against_all_pairs(spark, related, monkeypatch, bucket):
     assert got == want and len({w[2] for w in want}) < len(want) - 60
 
 
+def test_signatures_are_shuffled_once(spark, related, monkeypatch):
+    """The signatures of a text are most of what the join moves: they aren't kept per set again, and one exchange serves."""
+    plans, write = {}, jaccard_join.materialize
+
+    def spy(df, label):
+        plans[label] = (df.columns, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(jaccard_join, "materialize", spy)
+    assert jaccard_join.jaccard_components(related).count() == related.count()
+    assert "values" not in plans["join-nodes"][0]
+    assert plans["join-buckets"][1].count("Exchange hashpartitioning") == 1 and "join-met" not in plans
+
+
 @pytest.mark.parametrize("similar", [60, 80, 90, 97])
 def test_signatures_lose_no_pair(similar):
     """Sets at the least allowed similarity always share a signature, in one band or across two."""
