@@ -310,3 +310,17 @@ def test_fresh_names(spark):
     df = spark.createDataFrame([], "Id int, row int, row_ int")
     assert common.fresh(df, "id", "row", "key") == ["id_", "row__", "key"]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_stage_links_by_the_fingerprint_index(spark, monkeypatch):
+    """Near copies within four bits are candidates of the byte-position index, without any look at rare shingles."""
+    from strandline.llm import minhash
+
+    words = [f"near{j}" for j in range(600)]
+    texts = {0: " ".join(words), 1: " ".join(words + ["end"]), 2: " ".join(["start"] + words), 3: "quite another text of a few words only"}
+    fps = [simhash.fingerprint_of(texts[k].encode(), simhash.NEAR_SHINGLE) for k in range(3)]
+    assert all(0 < (fps[0] ^ f).bit_count() <= simhash.MAX_BITS or fps[0] == f for f in fps)
+    rare = minhash._rare_shingles
+    monkeypatch.setattr(minhash, "_rare_shingles", lambda *args: rare(*args).filter("false"))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {0, 3}
