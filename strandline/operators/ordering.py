@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 CELLS = 1024
 
 
-def _span(value: str) -> list[Column]:
+def span(value: str) -> list[Column]:
     return [F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high")]
 
 
-def _cell(value: str) -> Column:
+def cell(value: str) -> Column:
     """-1 for null; 0 for all where the span is no number (NaN or infinite values)."""
     share = (F.col(value).cast("double") - F.col("_low")) / (F.col("_high") - F.col("_low"))
     return F.when(F.col(value).isNull(), -1).when(F.col("_high") > F.col("_low"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(0).cast("int")
@@ -30,7 +30,7 @@ def floor_quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, floa
     The key is the struct ``_key`` of the columns ``by`` (null is a key like any other); keys without a value are absent.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.struct(*by).alias("_key"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = counted.join(counted.groupBy("_key").agg(*_span("_v"), F.sum("_n").alias("_all")), "_key").select("_key", "_v", "_n", "_all", _cell("_v").alias("_cell"))
+    placed = counted.join(counted.groupBy("_key").agg(*span("_v"), F.sum("_n").alias("_all")), "_key").select("_key", "_v", "_n", "_all", cell("_v").alias("_cell"))
     up_to = lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.floor((F.col("_all") - 1) * F.lit(p)).alias("at")) for name, p in at.items()])
     cells = placed.groupBy("_key", "_cell", "_all").agg(F.sum("_n").alias("_n"))
@@ -45,7 +45,7 @@ def floor_quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, floa
 
 def positions(df: DataFrame, part: str, order: str, tie: str) -> DataFrame:
     """``df`` with ``position`` (from 1) in the order of ``part`` (few values), ``order`` (a number or a timestamp; null first) and ``tie``."""
-    placed = df.join(F.broadcast(df.agg(*_span(order)))).withColumn("_cell", _cell(order)).drop("_low", "_high")
+    placed = df.join(F.broadcast(df.agg(*span(order)))).withColumn("_cell", cell(order)).drop("_low", "_high")
     cells = placed.groupBy(part, "_cell").agg(F.count("*").alias("_n"))
     # At most CELLS + 1 rows a part.
     before = cells.select(part, "_cell", (F.sum("_n").over(Window.orderBy(part, "_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
