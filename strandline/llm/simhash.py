@@ -108,18 +108,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     last = F.get(F.array(*[F.lit(c[-1]) for c in POSITIONS]), F.col("a.choice").cast("int"))
     tally = sum(F.when((F.lit(i) <= last) & (F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0), 1).otherwise(0) for i in range(8))
     met = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.shared") == F.col("b.shared")) & (F.col("a.fp") < F.col("b.fp"))
-    return a.join(b, met & (F.bit_count(differ) <= max_bits) & (tally == 8 - MAX_BITS)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    # Spark doesn't count what the explode adds, so it would take 70 rows for each fingerprint for a table to broadcast.
+    return a.join(b.hint("merge"), met & (F.bit_count(differ) <= max_bits) & (tally == 8 - MAX_BITS)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
 def components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included."""
     fps = materialize(fps, "simhash-fp")
     labels = connected(links(fps, max_bits))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(labels.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
     classes = classes.select("fp", "first", "root")
     smallest = classes.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("reached"))
-    named = classes.join(smallest, "root", "left").select("fp", F.coalesce("reached", "first").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(smallest.hint("merge"), "root", "left").select("fp", F.coalesce("reached", "first").alias("component_id"))
+    return fps.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
