@@ -2,16 +2,18 @@
 
 A unit is a pair of neighbouring lines that hold text (with the blank lines between them), or one line of at least
 ``LONG_WORDS`` words. Units overlap and depend on nothing outside themselves, so every shared run of two or more lines is
-found whole wherever it stands. Units with equal bytes in documents with different ids stay in the document with the
-smallest id; within one document the first copy stays (and lines that a later copy shares with the first one). Every
-line that a repeated unit covers goes; some copy of each line always stays.
+found whole wherever it stands. Units with equal bytes in different documents stay in the document with the smallest id,
+then with the smallest text hash; within one document the first copy stays (and lines that a later copy shares with the
+first one). Every line that a repeated unit covers goes; some copy of each line always stays.
 
 Units are met by the two 64-bit hashes of each of their lines. Bytes are compared once a line: where two different lines
-share both hashes, their units are kept. Texts are shuffled twice, once by line and once by document; the rest is light.
+share both hashes, their units are met by their bytes. Texts are shuffled twice, once by line and once by document; the
+rest is light.
 
-Defined results: a null text stays null; an empty text is unchanged; kept lines are joined as they stood; rows repeated
-under one doc_id count as one document and each keeps its first copies; a null doc_id takes no part; an empty table gives
-an empty result; extra columns are kept.
+Defined results: a null text stays null; an empty text is unchanged; kept lines are joined as they stood; texts under one
+doc_id are documents of their own, and so are texts without a doc_id, which come after all others; rows with the same
+doc_id and text count as one document and each keeps its first copies; an empty table gives an empty result; extra columns
+are kept.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ _UNIT = ["a1", "a2", "b1", "b2", "gap"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    keyed = pick(docs, ["doc_id", "text"]).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    keyed = pick(docs, ["doc_id", "text"]).filter("text IS NOT NULL")
     return keyed.select("doc_id", F.xxhash64("text").alias("row"), F.split("text", _NL, -1).alias("lines"))
 
 
+def _hashes(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")
+
+
 def _units(docs: DataFrame) -> DataFrame:
     """(doc_id, row, at, end, and the key: the hashes of both lines and what stands between them)."""
     none = F.lit(-1)
@@ -41,7 +47,7 @@ def _units(docs: DataFrame) -> DataFrame:
         x = F.get("lines", i)
         # The shortest line of so many words: one character a word, one between two.
         long = (F.length(x) >= 2 * LONG_WORDS - 1) & (F.regexp_count(x, F.lit(_WORD + "+")) >= LONG_WORDS)
-        return F.struct(i.alias("at"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), long.alias("long"))
+        return F.struct(i.alias("at"), *_hashes(x), long.alias("long"))
 
     marks = held.select("doc_id", "row", "lines", "held", F.transform("held", mark).alias("marks"))
 
@@ -63,23 +69,44 @@ def _units(docs: DataFrame) -> DataFrame:
 def _clashes(docs: DataFrame) -> DataFrame:
     """(h1, h2) that two different lines share; as a rule none."""
     lines = _lines(docs).select(F.explode("lines").alias("line")).filter(F.regexp_like("line", F.lit(_WORD)))
-    same = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))}).groupBy("h1", "h2", "line").agg(F.lit(1).alias("one"))
+    same = lines.select("line", *_hashes(F.col("line"))).groupBy("h1", "h2", "line").agg(F.lit(1).alias("one"))
     return same.groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter("texts > 1").select("h1", "h2")
 
 
+def _by_bytes(units: DataFrame, clashes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``units`` with their whole bytes in the key where a line of theirs shares its hashes with another."""
+    for x in "ab":
+        named = clashes.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.lit(True).alias(f"clash_{x}"))
+        units = units.join(named.hint("merge"), [f"{x}1", f"{x}2"], "left")
+    held = F.coalesce("clash_a", "clash_b", F.lit(False))
+    texts = _lines(docs).dropDuplicates(["doc_id", "row"]).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "lines")
+    told = units.filter(held).join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
+    # A long line alone has no neighbour, and no pair starts and ends at one place, so the bytes tell them apart too.
+    told = told.withColumn("gap", F.concat_ws(_NL, F.when(F.col("at") == F.col("end"), F.lit("single")).otherwise(F.lit("pair")), F.slice("lines", F.col("at") + 1, F.col("end") - F.col("at") + 1)))
+    columns = ["doc_id", "row", "at", "end", *_UNIT]
+    return units.filter(~held).select(*columns).union(told.select(*columns))
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, at): the lines to remove, by their place in their document; a line may be named more than once."""
     units = materialize(_units(docs), "line-units")
-    shared = units.groupBy(*_UNIT).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     clashes = materialize(_clashes(docs), "line-clashes")
     if not clashes.isEmpty():
-        for a, b in (("a1", "a2"), ("b1", "b2")):
-            shared = shared.join(clashes.select(F.col("h1").alias(a), F.col("h2").alias(b)).hint("merge"), [a, b], "left_anti")
+        units = materialize(_by_bytes(units, clashes, docs), "line-units")
+    # The smallest id is null where no text that holds the unit has one.
+    shared = units.groupBy(*_UNIT).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     met = materialize(units.join(shared.hint("merge"), _UNIT), "met-units")
-    elsewhere = met.filter("doc_id > first").select("doc_id", "row", "at", "end")
-    # Copies inside one document: all but the first, less the lines of the first.
-    lowest = met.filter("doc_id = first").groupBy("doc_id", "row", *_UNIT).agg(F.min("at").alias("low"), F.min("end").alias("low_end"), F.max("at").alias("high")).filter("high > low")
-    again = met.filter("doc_id = first").join(lowest.hint("merge"), ["doc_id", "row", *_UNIT]).filter("at > low").select("doc_id", "row", F.greatest("at", F.col("low_end") + 1).alias("at"), "end")
+    elsewhere = met.filter("NOT doc_id <=> first").select("doc_id", "row", "at", "end")
+    own = met.filter("doc_id <=> first")
+    several = units.groupBy("doc_id").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high")
+    if not several.isEmpty():  # texts that share an id, or have none: the one with the smallest hash has the first copies
+        heads = own.groupBy(*_UNIT).agg(F.min("row").alias("head"))
+        own = materialize(own.join(heads.hint("merge"), _UNIT), "own-units")
+        elsewhere = elsewhere.union(own.filter("row > head").select("doc_id", "row", "at", "end"))
+        own = own.filter("row = head")
+    # Copies inside one document: all but the first, less the lines of the first. The unit gives the id.
+    lowest = own.groupBy("row", *_UNIT).agg(F.min("at").alias("low"), F.min("end").alias("low_end"), F.max("at").alias("high")).filter("high > low")
+    again = own.join(lowest.hint("merge"), ["row", *_UNIT]).filter("at > low").select("doc_id", "row", F.greatest("at", F.col("low_end") + 1).alias("at"), "end")
     return elsewhere.union(again).filter("at <= end").select("doc_id", "row", F.explode(F.sequence("at", "end")).alias("at"))
 
 
@@ -93,7 +120,7 @@ def dedup_passages(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     found = repeated_lines(docs).groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
     found = materialize(found, "gone-lines").select(F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("gone").alias(gone))
     # What goes grows with the corpus, so it is never broadcast: one plan at every size, and skewed parts can be split.
-    joined = docs.withColumn(key, F.xxhash64("text")).join(found.hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.col(key) == F.col(row)), "left")
+    joined = docs.withColumn(key, F.xxhash64("text")).join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(row)), "left")
     cut = joined.withColumn(every, F.when(F.col(gone).isNotNull(), F.split("text", _NL, -1)))
     cut = cut.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(gone)))
     text = F.array_join(F.transform(F.col(left), lambda i: F.get(F.col(every), i)), _NL)
