@@ -33,3 +33,12 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     edges = spark.range(400).select(F.col("id").alias("src"), (F.col("id") + 1 + F.col("id") % 2).alias("dst"))
     assert common.connected(edges).filter("root <> 0").count() == 0
     assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(name, None)
+    written = common.materialize(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n")), "test-shuffled")
+    assert files() <= before and spark.conf.get(name, None) == had
+    assert written.agg(F.sum("n")).first()[0] == 10_000
